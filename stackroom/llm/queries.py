@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing
-from .common import table
+from . import bpe, chat, embedding_dedup, exact_dedup, language, packing, simhash
+from .common import doc_hash, table
 
 
 def word_tokenizer() -> str:
@@ -22,6 +22,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_hash(F.col("doc_id"), 4) == 2)
+    profiles = language.learn(docs.filter("not held_out"))
+    return language.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.group(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op6_exact_dedup, op7_packing, op10_chat)}
+    return {f.__name__: f for f in (op2_bpe, op4_language, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
