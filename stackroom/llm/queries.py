@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, language, packing, simhash
+from . import bpe, chat, embedding_dedup, exact_dedup, language, packing, quality, simhash, warc
 from .common import doc_hash, table
 
 
@@ -22,12 +22,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, folder = warc.archive(table(spark, sf_dir, "pages"))
+    got = warc.read(archives, folder, payloads=False)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_hash(F.col("doc_id"), 4) == 2)
     profiles = language.learn(docs.filter("not held_out"))
     return language.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_low", "p_toxic", "quality_score", "kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -53,11 +64,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_language, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
+    return {f.__name__: f for f in (op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+            g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+            SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+            FROM g""",
         "op6_exact_dedup": r"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
             g AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
