@@ -22,7 +22,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import quiet_gc, small_batches, text_or_empty
+from .common import portions, quiet_gc, small_batches, text_or_empty
 
 #: Words remembered by a worker in each of two generations.
 CACHE_WORDS = 150_000
@@ -107,6 +107,7 @@ class WordBpe:
         self.id_text = [str(i) for i in range(max(self.tokens) + 1)]
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
+        self.packed: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge until no pair of neighbours has a rank."""
@@ -205,6 +206,22 @@ class WordBpe:
         out_ids, out_tokens = [""] * len(pieces), [""] * len(pieces)
         raws = [p.encode() for p in pieces]
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        for some, ids in self.merged_blocks(raws, sizes):
+            left = ids != _PAD
+            stops = np.cumsum(left.sum(1)).tolist()
+            flat_ids = ids[left].tolist()
+            as_ids, as_tokens = [*map(self.id_text.__getitem__, flat_ids)], [*map(self.tokens.__getitem__, flat_ids)]
+            start = 0
+            for x, stop in zip(some.tolist(), stops):
+                out_ids[x], out_tokens[x] = " ".join(as_ids[start:stop]), " ".join(as_tokens[start:stop])
+                start = stop
+        for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            ids = self.merge(self.byte_ids(pieces[x]))
+            out_ids[x], out_tokens[x] = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+        return out_ids, out_tokens
+
+    def merged_blocks(self, raws: list[bytes], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(which pieces, their merged ids with padding) for all pieces that fit a tree."""
         for width, under in zip(WIDTHS, (0, *WIDTHS)):
             where = np.flatnonzero((sizes <= width) & (sizes > under))
             for at in range(0, len(where), BLOCK):
@@ -216,19 +233,7 @@ class WordBpe:
                 ids[inside] = self.first_ids[flat]
                 ends = np.arange(len(some)), n - 1
                 ids[ends] = self.last_ids[flat[np.cumsum(n) - 1]]
-                ids = self.merge_block(ids)
-                left = ids != _PAD
-                stops = np.cumsum(left.sum(1)).tolist()
-                flat_ids = ids[left].tolist()
-                as_ids, as_tokens = [*map(self.id_text.__getitem__, flat_ids)], [*map(self.tokens.__getitem__, flat_ids)]
-                start = 0
-                for x, stop in zip(some.tolist(), stops):
-                    out_ids[x], out_tokens[x] = " ".join(as_ids[start:stop]), " ".join(as_tokens[start:stop])
-                    start = stop
-        for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
-            ids = self.merge(self.byte_ids(pieces[x]))
-            out_ids[x], out_tokens[x] = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-        return out_ids, out_tokens
+                yield some, self.merge_block(ids)
 
     def words(self, text: str) -> list[str]:
         """Stretches between white space as the tokenizer sees it."""
@@ -260,19 +265,55 @@ class WordBpe:
 
     def encode_texts(self, texts: list[str], most: int = 1 << 22) -> Iterator[tuple[str, str]]:
         """For each text its decimal ids, and its tokens, joined by spaces. most: characters looked up at once."""
-        done = 0
-        while done < len(texts):
-            size, stop = 0, done
-            while stop < len(texts) and (stop == done or size + len(texts[stop]) <= most):
-                size += len(texts[stop])
-                stop += 1
-            split = [self.words(t) for t in texts[done:stop]]
+        for part in portions(texts, most):
+            split = [self.words(t) for t in part]
             self.learn({w for ws in split for w in ws})
             known = self.young
             for ws in split:
                 got = [known[w] for w in ws]
                 yield " ".join([x[0] for x in got if x[0]]), " ".join([x[1] for x in got if x[0]])
-            done = stop
+
+    def encode_ids(self, texts: list[str], end_id: int, most: int = 1 << 22) -> Iterator[np.ndarray]:
+        """For each text its ids and the end id, as unsigned 16-bit numbers where they fit."""
+        kind = np.dtype("<u2" if max(max(self.tokens), end_id) < 1 << 16 else "<u4")
+        end, remembered = np.array([end_id], kind).tobytes(), self.packed
+        for part in portions(texts, most):
+            split = [self.words(t) for t in part]
+            words = {w for ws in split for w in ws}
+            if len(remembered) > 2 * CACHE_WORDS:
+                remembered.clear()
+            new = {w: self.pieces(w) for w in words if w not in remembered}
+            at = {p: i for i, p in enumerate({p for ps in new.values() for p in ps if not isinstance(p, int)})}
+            flat, stops = self.merge_flat(list(at), kind)
+            for w, ps in new.items():
+                if len(ps) == 1 and not isinstance(p := ps[0], int):
+                    i = at[p]
+                    remembered[w] = flat[stops[i] : stops[i + 1]]
+                else:
+                    remembered[w] = b"".join([np.array([p], kind).tobytes() if isinstance(p, int) else flat[stops[at[p]] : stops[at[p] + 1]] for p in ps])
+            for ws in split:
+                yield np.frombuffer(b"".join([*map(remembered.__getitem__, ws), end]), kind)
+
+    def merge_flat(self, pieces: list[str], kind: np.dtype) -> tuple[bytes, list[int]]:
+        """All pieces' ids as one string of bytes, and where each piece's start in it."""
+        raws = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        counts, found = np.zeros(len(raws), np.int64), []
+        for some, ids in self.merged_blocks(raws, sizes):
+            counts[some] = (ids != _PAD).sum(1)
+            found.append((some, ids))
+        long = {x: self.merge(self.byte_ids(pieces[x])) for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist()}
+        for x, ids in long.items():
+            counts[x] = len(ids)
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.zeros(stops[-1], kind)
+        for some, ids in found:
+            left = ids != _PAD
+            n = left.sum(1)
+            flat[np.repeat(stops[some] - np.cumsum(n) + n, n) + np.arange(n.sum())] = ids[left]
+        for x, ids in long.items():
+            flat[stops[x] : stops[x + 1]] = ids
+        return flat.tobytes(), (stops * kind.itemsize).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by single spaces; unknown ids vanish."""

@@ -7,10 +7,14 @@ import contextlib
 import gc
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackroom.session import ship
+
 #: Rows per Arrow batch. Long documents would make the default of 10,000 rows too large for a worker.
 BATCH_ROWS = 1000
 
@@ -20,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of one Arrow batch."""
+    """Bound the memory of one Arrow batch, and see that the workers have this code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -44,6 +49,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder; it goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -67,3 +88,15 @@ def quiet_gc():
     finally:
         if on:
             gc.enable()
+
+
+def portions(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters together."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield texts[start:]

@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Salts per digest.
 SALTS = 16
 #: White space to delete. Fixed value.
@@ -64,3 +66,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     joined = left.join(seen, ["digest", "check", "size"])
     keep_id = F.when(F.col("keep_id") != F.lit(_LAST), F.col("keep_id"))
     return joined.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each text; of rows that repeat the winner's id, text and length, one."""
+    found = checkpoint(dedup(docs, id_col, text_col).filter("group_size > 1"))
+    gone = found.filter("not kept").select(F.col(id_col).cast("long").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    repeated = found.filter("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    out = docs.withColumn("_sha256", sha)
+    out = out.join(gone, out[id_col].cast("long").eqNullSafe(gone["_id"]) & (out["_sha256"] == gone["_sha"]), "left_anti")
+    if repeated:
+        out = out.withColumn("_place", F.row_number().over(Window.partitionBy(id_col, "_sha256").orderBy(*(F.col(c).cast("string") for c in docs.columns)))).filter("_place = 1")
+    return out.select(*docs.columns)

@@ -136,12 +136,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with quiet_gc():
             bpe = worker_bpe(raw.value)
-            small = np.uint16 if max(bpe.tokens) < 1 << 16 else np.uint32
             at, held, keys, tokens, id_type = TaskContext.get().partitionId() << 32, 0, [], [], None
             for batch in batches:
                 id_type = batch.schema.field(0).type
-                for key, (ids, _) in zip(batch.column(0).to_pylist(), bpe.encode_texts(batch.column(1).to_pylist())):
-                    got = np.fromstring(f"{ids} {end_id}", small, sep=" ")
+                for key, got in zip(batch.column(0).to_pylist(), bpe.encode_ids(batch.column(1).to_pylist(), end_id)):
                     keys.append(key)
                     tokens.append(got)
                     held += len(got)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, language, packing, quality, simhash, warc
+from . import bpe, chat, embedding_dedup, exact_dedup, language, lm, packing, quality, simhash, warc
 from .common import doc_hash, table
 
 
@@ -17,6 +17,17 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def subword_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, doc_hash(docs["doc_id"], 7) == 2, subword_vocabulary())
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(table(spark, sf_dir, "documents"), word_tokenizer())
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -64,7 +75,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
