@@ -1,6 +1,6 @@
 """Queries of the engine over the driver's tables, by the ids of the operator inventory."""
 
-from . import text_queries
+from . import search_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "text_queries"]
+__all__ = ["QUERIES", "SQL", "search_queries", "text_queries"]
