@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that one token stands for.
 CHARS_PER_TOKEN = 1.5
@@ -81,7 +82,7 @@ def evenly_spaced(items: Column, keep: Column) -> Column:
     return F.when(keep >= n, items).otherwise(F.transform(F.sequence(F.lit(0), keep - 1), lambda i: F.element_at(items, (F.least(n - 1, F.floor(i * n / keep)) + 1).cast("int"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _byte_prefix(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.encode()[:k].decode(errors="ignore") for t, k in zip(text, n)])
 

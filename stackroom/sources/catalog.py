@@ -159,7 +159,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
-    """(id, path, size, readable) of files below a folder, first path of an id; and ids found again. Contents stay unread beyond the magic."""
+    """(id, path, size, readable) of files below a folder, first path of an id; and ids found again. Spark's file source lists no empty files."""
     from stackroom.functions.biblio import clean_id
     from stackroom.operators.tables import first_wins
 

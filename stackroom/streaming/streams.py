@@ -45,8 +45,8 @@ class ReplySplitter:
 
     LABELS = ("추천 이유", "추천이유", "독후 효과", "독후효과")
 
-    def __init__(self, marker: str = "###EFFECT###", most: int = 5, buffer: str = "", phase: str = "keywords", fresh: bool = True):
-        self.marker, self.most, self.buffer, self.phase, self.fresh = marker, most, buffer, phase, fresh
+    def __init__(self, marker: str = "###EFFECT###", most: int = 5, buffer: str = "", phase: str = "keywords", fresh: bool = True, opening: bool = False):
+        self.marker, self.most, self.buffer, self.phase, self.fresh, self.opening = marker, most, buffer, phase, fresh, opening
 
     def _label(self, last: bool) -> bool:
         """Drop a label that opens the part; False while more is needed to tell."""
@@ -80,13 +80,16 @@ class ReplySplitter:
             if mark:
                 if before:
                     yield "text", before
-                self.phase, self.buffer, self.fresh = "effect", after.lstrip("\n"), True
+                self.phase, self.buffer, self.fresh, self.opening = "effect", after, True, True
             else:
                 safe = len(before) if last else max(0, len(before) - len(self.marker) + 1)
                 if before[:safe].strip() or (safe and not last):
                     yield "text", before[:safe]
                 self.buffer = before[safe:]
                 return
+        if self.opening:  # line feeds behind the marker may come with a later delta
+            self.buffer = self.buffer.lstrip("\n")
+            self.opening = not self.buffer
         if self._label(last) and self.buffer:
             if self.buffer.strip() or not last:
                 yield "effect", self.buffer
@@ -98,8 +101,8 @@ def split_replies(deltas: DataFrame) -> DataFrame:
     ship(deltas.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, phase, fresh, seq = state.get if state.exists else ("", "keywords", True, 0)
-        splitter, out, done = ReplySplitter(buffer=buffer, phase=phase, fresh=fresh), [], False
+        buffer, phase, fresh, opening, seq = state.get if state.exists else ("", "keywords", True, False, 0)
+        splitter, out, done = ReplySplitter(buffer=buffer, phase=phase, fresh=fresh, opening=opening), [], False
         rows = pd.concat(list(parts)).sort_values("seq")
         for delta, last in zip(rows["delta"], rows["last"]):
             for kind, text in splitter.feed(delta or "", bool(last)):
@@ -109,10 +112,10 @@ def split_replies(deltas: DataFrame) -> DataFrame:
         if done:
             state.remove()
         else:
-            state.update((splitter.buffer, splitter.phase, splitter.fresh, seq))
+            state.update((splitter.buffer, splitter.phase, splitter.fresh, splitter.opening, seq))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "kind", "text"])
 
-    return deltas.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq int, kind string, text string", "buffer string, phase string, fresh boolean, seq int", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq int, kind string, text string", "buffer string, phase string, fresh boolean, opening boolean, seq int", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_dispatcher(ticks: DataFrame, items, now: Column, sink):
