@@ -28,14 +28,12 @@ def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the edges (a, b)."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    while not np.array_equal(label, up := label[label]):
-        label = up
+        x, y = label[a], label[b]  # roots: labels are flat here
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(label, up := label[label]):
+            label = up
     return label
 
 
