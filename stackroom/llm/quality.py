@@ -36,6 +36,8 @@ MIN_DOCS = 4
 SMALL_SITES = 20_000
 KEEP = 0.5
 PREFIXES = (3, 5, 7)
+#: A feature of the shape counts as spread out by at least LEAST_SPREAD, and as FAR deviations from the mean at most.
+LEAST_SPREAD, FAR = 0.03, 4.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 _kinds: np.ndarray | None = None
 
@@ -124,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     index[best] = np.arange(len(best))
     use = index[col] >= 0
     x = np.array([np.frombuffer(bytes(r.shape), np.float64) for r in got])
-    mean, std = x.mean(0), x.std(0) + 1e-6
-    heads = [fit_logistic((x - mean) / std, at[use], index[col[use]], len(best), y[:, k]) for k in (0, 1)]
+    mean, std = x.mean(0), np.maximum(x.std(0), LEAST_SPREAD)
+    heads = [fit_logistic(np.clip((x - mean) / std, -FAR, FAR), at[use], index[col[use]], len(best), y[:, k]) for k in (0, 1)]
     chosen = {int(h): i for i, h in enumerate(seen[best])}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 def chances(model: dict, text: str) -> tuple[float, float]:
     """Probabilities of low quality and of toxicity."""
     found = words_of(text) & model["weights"].keys()
-    x = (shape(text) - model["mean"]) / model["std"]
+    x = np.clip((shape(text) - model["mean"]) / model["std"], -FAR, FAR)
     z = (float(x @ model["shape"][k]) + sum(model["weights"][w][k] for w in found) + model["intercept"][k] for k in (0, 1))
     low, toxic = (1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z)
     return low, toxic
