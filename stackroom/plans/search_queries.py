@@ -312,3 +312,32 @@ def snk03_chunk_id(spark, d) -> DataFrame:
     return chunks(spark, d).select("doc_id", B.chunk_id(F.col("book_id"), F.col("chunk_idx")).alias("chunk_id"))
 
 
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'refs: ' || source WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 9) || '] ' || substr(text, 1, 40) ELSE 'question' END AS context FROM documents")
+def msc14_chat_context(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    page = F.concat(F.lit("[p. "), (i % 9).cast("string"), F.lit("] "), F.substring("text", 1, 40))
+    return table(spark, d, "documents").select("doc_id", F.when(i % 2 == 0, F.concat(F.lit("refs: "), "source")).when(i % 3 == 0, page).otherwise("question").alias("context"))
+
+
+@query("WITH p AS (SELECT doc_id, doc_id // 8 AS paper, coalesce(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 800) END, substr(source, 1, 800)) AS t FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY doc_id) AS place FROM p QUALIFY place <= 5) SELECT paper, md5(string_agg('[' || place || '] ' || substr(t, 1, 500), chr(10) ORDER BY place)) AS digest FROM r GROUP BY paper")
+def msc15_paper_context(spark, d) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("paper"), F.substring(F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.col("source")), 1, 500).alias("t"))
+    top = top_per_group(t, ["paper"], ["doc_id"], 5, "place")
+    lines = top.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("l"))  # at most 5 a paper
+    return lines.select("paper", F.md5(F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["place"].cast("string"), F.lit("] "), x["t"])), "\n")).alias("digest"))
+
+
+@query(f"WITH {CHUNKS}, r AS (SELECT book_id, source, text, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS place FROM chunks QUALIFY place <= 5) SELECT book_id, place, '<' || source || '> ' || substr(text, 1, 30) AS line FROM r")
+def msc16_answer_context(spark, d) -> DataFrame:
+    top = top_per_group(chunks(spark, d).select("book_id", "doc_id", "source", "text"), ["book_id"], ["doc_id"], 5, "place")
+    return top.select("book_id", "place", F.concat(F.lit("<"), "source", F.lit("> "), F.substring("text", 1, 30)).alias("line"))
+
+
+@query()
+def rnk09_search_with_titles(spark, d) -> DataFrame:
+    from stackroom.search import search
+
+    catalog = chunks(spark, d).filter("chunk_idx = 0").select("book_id", F.substring("text", 1, 40).alias("title"))
+    return search(vectors(spark, d), catalog, "the newest onen threst since 2005", query_vector(spark, d), 5)

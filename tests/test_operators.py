@@ -205,3 +205,37 @@ def test_dispatcher_ticks(spark, tmp_path):
     q = streams.run_dispatcher(ticks, lambda s: items, F.lit("2024-01-02").cast("timestamp_ntz"), lambda name, df: seen.__setitem__(name, df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
     q.awaitTermination(60)
     assert {(r.id, r.status, r.next_stage) for r in seen["dispatch"]} == {(1, "dispatched", "summarize"), (2, "done", None)}
+
+
+def test_read_filter_and_rewrite(spark):
+    from stackroom.search import Filter, read_filter, rewrite
+
+    assert read_filter("books since 2010") == Filter(2010, None) and read_filter("before 2000") == Filter(None, 1999)
+    assert read_filter("from 2001 to 2005, newest") == Filter(2001, 2005, "date_desc") and read_filter("최근 5년 논문") == Filter(2019, None)
+    assert read_filter("cats") == Filter() and read_filter("in 1999") == Filter(1999, 1999)
+    catalog = spark.createDataFrame([("b", "The Old Sea", "sea, age")], "book_id string, title string, themes string")
+    assert rewrite("books like old sea", catalog) == "sea, age" and rewrite("books like x", catalog) == "books like x"
+
+
+def test_templates_and_generation(spark):
+    from stackroom.plugins import TEMPLATES, generate, resume
+
+    assert TEMPLATES.get("section_summary", "policy").parser == "plain" and TEMPLATES.get("section_summary", "book").parser == "labels"
+    with pytest.raises(KeyError):
+        TEMPLATES.get("nothing")
+    with pytest.raises(KeyError):
+        TEMPLATES.get("answer").render(context="c")
+    df = spark.createDataFrame([(1, "A long sentence. Another. Third.", None), (2, None, None), (3, "x", "done")], "id int, p string, out string")
+    got = {r.id: r.out for r in resume(df, "id", "p", "out").collect()}
+    assert got[1].startswith("SUMMARY: A long sentence. Another.\nTHEMES: ") and got[2] is None and got[3] == "done"
+    assert generate(df, "p", "r").filter("r IS NULL").count() == 1
+
+
+def test_citations(spark):
+    from stackroom.search import citations
+
+    cols = "book_id string, personal_author string, corporate_author string, pub_date string, title string, title_remainder string, publisher string, vol_issue string, uci string, url string"
+    rows = [("b", "A;B;C;D", None, "202305", "제목.", "Title", "Journal", "3(1)", "", "http://x"), ("c", "", None, None, "T", None, None, None, None, None)]
+    got = {r.book_id: (r.korean, r.english) for r in citations(spark.createDataFrame(rows, cols)).collect()}
+    assert got["b"] == ("A, B, C, D (2023). 제목. Journal, 3(1). http://x.", "A et al. (2023). Title. Journal, 3(1). http://x.")
+    assert got["c"] == ("저자 미상 (n.d.). T.", "Unknown Author (n.d.). T.")
