@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from stackroom.session import ship
+
 #: Characters that one token stands for.
 CHARS_PER_TOKEN = 1.5
 
@@ -89,6 +91,7 @@ def _byte_prefix(text: pd.Series, n: pd.Series) -> pd.Series:
 
 def truncate_bytes(text: Column, n: int) -> Column:
     """The longest prefix of whole characters within n bytes of UTF-8; only longer texts leave the JVM's fast path."""
+    ship(SparkSession.active())
     return F.when(F.octet_length(text) <= n, text).otherwise(_byte_prefix(text, F.lit(n)))
 
 

@@ -1,6 +1,6 @@
 """Queries of the engine over the driver's tables, by the ids of the operator inventory."""
 
-from . import job_queries, search_queries, text_queries
+from . import job_queries, more_queries, search_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "job_queries", "search_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "job_queries", "more_queries", "search_queries", "text_queries"]
