@@ -235,7 +235,7 @@ def src12_mods(spark, d) -> DataFrame:
         F.lit('<mods xmlns="http://www.loc.gov/mods/v3"><titleInfo><title>'), "source", F.lit(" & "), "lang", F.lit('</title></titleInfo><name type="personal"><namePart>A'), i, F.lit("</namePart></name><name><namePart>B</namePart></name>"),
         F.lit('<originInfo><dateIssued>'), (1990 + F.col("doc_id") % 30).cast("string"), F.lit('07</dateIssued></originInfo><classification authority="KDC5">8'), "lang", F.lit("</classification><recordInfo><recordIdentifier>CNTS"), i, F.lit("</recordIdentifier></recordInfo></mods>"),
     )
-    got = table(spark, d, "documents").withColumn("m", C.mods(xml))
+    got = table(spark, d, "documents").select("doc_id", C.parse_mods(xml).alias("r")).withColumn("m", C.mods(F.col("r")))
     return got.select("doc_id", "m.title", F.col("m.personal_author").alias("people"), "m.pub_date", "m.kdc", "m.record_id")
 
 

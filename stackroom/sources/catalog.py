@@ -113,37 +113,62 @@ def clean_xml(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"(</?)\w+:", "$1")
 
 
+_TEXT = "array<struct<_VALUE:string,_type:string,_authority:string>>"
+#: The parts of a record that are read; attributes carry an underscore, and an element's own text is _VALUE.
+MODS_SCHEMA = f"""titleInfo array<struct<title:string,subTitle:string,partNumber:string>>, name array<struct<_type:string,namePart:array<string>>>, typeOfResource array<string>, genre array<string>,
+    originInfo array<struct<place:array<struct<placeTerm:{_TEXT}>>,publisher:array<string>,dateIssued:array<string>>>, language array<struct<languageTerm:array<string>>>,
+    physicalDescription array<struct<extent:array<string>,internetMediaType:array<string>,digitalOrigin:array<string>>>, abstract array<string>, subject array<struct<topic:array<string>>>, targetAudience array<string>,
+    classification {_TEXT}, identifier {_TEXT}, location array<struct<url:array<string>>>, accessCondition array<struct<_VALUE:string,licenseType:string>>,
+    relatedItem array<struct<_type:string,titleInfo:array<struct<title:string>>,recordInfo:array<struct<recordIdentifier:array<string>>>>>,
+    recordInfo array<struct<recordIdentifier:array<string>,recordChangeDate:array<string>>>"""
 # Field -> path below the record.
 MODS_PATHS = {
-    "last_modified": "recordInfo/recordChangeDate", "title": "titleInfo/title", "title_remainder": "titleInfo/subTitle", "part_number": "titleInfo/partNumber", "publisher": "originInfo/publisher",
-    "pub_place": "originInfo/place/placeTerm[@type='text']", "extent": "physicalDescription/extent", "language": "language/languageTerm", "material_type": "typeOfResource", "genre": "genre", "abstract": "abstract",
-    "url": "location/url", "uci": "identifier[@type='uci']", "media_type": "physicalDescription/internetMediaType", "target_audience": "targetAudience", "digital_origin": "physicalDescription/digitalOrigin",
-    "series_title": "relatedItem[@type='series']/titleInfo/title",
+    "last_modified": "recordInfo.recordChangeDate", "title": "titleInfo.title", "title_remainder": "titleInfo.subTitle", "part_number": "titleInfo.partNumber", "publisher": "originInfo.publisher", "extent": "physicalDescription.extent",
+    "language": "language.languageTerm", "material_type": "typeOfResource", "genre": "genre", "abstract": "abstract", "url": "location.url", "media_type": "physicalDescription.internetMediaType", "target_audience": "targetAudience",
+    "digital_origin": "physicalDescription.digitalOrigin",
 }
 
 
-def mods(raw: Column) -> Column:
-    """A struct of fields of a MODS record."""
-    xml = clean_xml(raw)
-    text = lambda path: F.trim(F.xpath_string(xml, F.lit(f"/mods/{path}")))
-    none = lambda c: F.when(c != "", c)
-    many = lambda path: F.filter(F.transform(F.xpath(xml, F.lit(f"/mods/{path}/text()")), lambda s: F.trim(s)), lambda s: s != "")
-    joined = lambda a: F.when(F.size(a) > 0, F.array_join(a, " | "))
-    own = F.filter(F.xpath(xml, F.lit("/mods/recordInfo/recordIdentifier/text()")), lambda s: s.startswith("CNTS"))
-    record = F.coalesce(F.get(own, F.lit(0)), none(text("relatedItem/recordInfo/recordIdentifier")))
-    access = F.coalesce(none(F.trim(F.xpath_string(xml, F.lit("/mods/accessCondition/text()")))), none(text("accessCondition/licenseType")))
-    date = none(F.substring(text("originInfo/dateIssued"), 1, 4))
-    people = joined(many("name[not(@type) or @type!='corporate']/namePart"))
+def parse_mods(raw: Column) -> Column:
+    """The record as nested arrays, parsed once; attributes of plain text elements are kept only where the schema has them."""
+    plain = F.regexp_replace(clean_xml(raw), r"<(languageTerm|genre|recordIdentifier|recordChangeDate|dateIssued|title|subTitle|abstract|topic|url|publisher|extent|namePart|typeOfResource|targetAudience|digitalOrigin|internetMediaType|partNumber)\s[^<>]*?(/?)>", "<$1$2>")
+    return F.from_xml(plain, MODS_SCHEMA, {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"})
+
+
+def mods(record: Column) -> Column:
+    """A struct of fields of a record that parse_mods gave."""
+    none = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    first = lambda a: none(F.get(F.filter(a, lambda s: F.trim(s) != ""), F.lit(0)))
+
+    def below(step: str):
+        single = step in ("title", "subTitle", "partNumber")
+        return lambda x: F.filter(F.array(x[step]), lambda v: v.isNotNull()) if single else F.coalesce(x[step], F.array().cast("array<string>"))
+
+    def at(path: str) -> Column:
+        """All texts at a path of one or two steps, as one array."""
+        top, *rest = path.split(".")
+        return F.flatten(F.transform(record[top], below(rest[0]))) if rest else record[top]
+
+    typed = lambda a, kind: F.transform(F.filter(a, lambda x: x["_type"] == kind), lambda x: x["_VALUE"])
+    names = lambda keep: F.flatten(F.transform(F.filter(record["name"], keep), lambda n: F.slice(F.filter(n["namePart"], lambda s: F.trim(s) != ""), 1, 1)))
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda s: F.trim(s)), " | "))
+    own = F.filter(at("recordInfo.recordIdentifier"), lambda s: s.startswith("CNTS"))
+    other = F.flatten(F.transform(record["relatedItem"], lambda r: F.flatten(F.transform(r["recordInfo"], lambda i: i["recordIdentifier"]))))
+    series = F.flatten(F.transform(F.filter(record["relatedItem"], lambda r: r["_type"] == "series"), lambda r: F.transform(r["titleInfo"], lambda t: t["title"])))
+    places = F.flatten(F.transform(record["originInfo"], lambda o: F.flatten(F.transform(o["place"], lambda x: x["placeTerm"]))))
+    classes = F.filter(record["classification"], lambda c: F.upper(c["_authority"]).startswith("KDC"))
+    access = F.get(record["accessCondition"], F.lit(0))
     return F.struct(
-        F.trim(record).alias("record_id"), *(none(text(path)).alias(name) for name, path in MODS_PATHS.items()), date.alias("pub_date"), people.alias("personal_author"), joined(many("name[@type='corporate']/namePart")).alias("corporate_author"),
-        none(text("classification[starts-with(@authority,'KDC') or starts-with(@authority,'kdc')]")).alias("kdc"), joined(many("subject/topic")).alias("subject"), access.alias("access_condition"), F.lit("MODS").alias("source_format"),
+        F.coalesce(first(own), first(other)).alias("record_id"), *(first(at(path)).alias(name) for name, path in MODS_PATHS.items()), first(typed(places, "text")).alias("pub_place"), first(typed(record["identifier"], "uci")).alias("uci"), first(series).alias("series_title"),
+        F.substring(first(at("originInfo.dateIssued")), 1, 4).alias("pub_date"), joined(names(lambda n: F.coalesce(n["_type"], F.lit("")) != "corporate")).alias("personal_author"), joined(names(lambda n: n["_type"] == "corporate")).alias("corporate_author"),
+        first(F.transform(classes, lambda c: c["_VALUE"])).alias("kdc"), joined(at("subject.topic")).alias("subject"), F.coalesce(none(access["_VALUE"]), none(access["licenseType"])).alias("access_condition"), F.lit("MODS").alias("source_format"),
     )
 
 
 def merged_records(sheet: DataFrame) -> DataFrame:
     """Rows (CONTENTS_ID, TITLE_INFO, MARC, MODS) as records: MARC's values first, then MODS's, then the sheet's title, then the id."""
     some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    rows = sheet.withColumn("m", F.when(some("MARC"), marc(F.col("MARC")))).withColumn("x", F.when(some("MODS"), mods(F.col("MODS"))))
+    rows = sheet.withColumn("m", F.when(some("MARC"), marc(F.col("MARC")))).withColumn("_mods", F.when(some("MODS"), parse_mods(F.col("MODS")))).withColumn("x", F.when(some("MODS"), mods(F.col("_mods"))))
     from_marc, from_mods = F.col("m.source_format").isNotNull(), F.col("x").isNotNull() & (F.col("x.title").isNotNull() | F.col("x.record_id").isNotNull())
     left, right = set(rows.schema["m"].dataType.names) - {"source_format"}, set(rows.schema["x"].dataType.names) - {"source_format"}
     both = {c: F.coalesce(*([F.col(f"m.{c}")] if c in left else []), *([F.col(f"x.{c}")] if c in right else [])) for c in sorted(left | right)}

@@ -101,7 +101,7 @@ def test_keywords_contents_references():
 def test_marc_loose_and_mods_quirks(spark):
     assert one(spark, catalog.marc_loose(F.col("v"))["title"], "245 10$aLost title /$cSomeone 260  $aSeoul :$bHouse,$c1999") == "Lost title"
     xml = "<mods><titleInfo><title>A & B</title></titleInfo><name type='corporate'><namePart>Corp</namePart></name><relatedItem type='series'><titleInfo><title>S</title></titleInfo></relatedItem><accessCondition><licenseType>open</licenseType></accessCondition></mods>"
-    got = one(spark, catalog.mods(F.col("v")), xml)
+    got = one(spark, catalog.mods(catalog.parse_mods(F.col("v"))), xml)
     assert (got.title, got.personal_author, got.corporate_author, got.series_title, got.access_condition) == ("A & B", None, "Corp", "S", "open")
 
 
