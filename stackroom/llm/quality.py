@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,42 +100,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     rows = labelled(docs, labels, [text_or_empty("text").alias("text")])
     rows = checkpoint(rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(MAX_TRAIN).repartition(64).select("text", "low", "toxic"))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[float]] = {}
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            words = [np.fromiter((xxhash.xxh32_intdigest(w) for w in words_of(t)), np.uint32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([shape(t).tobytes() for t in texts], pa.binary()), batch.column(1), batch.column(2)], names=["words", "shape", "low", "toxic"])
-
-    got = rows.mapInArrow(describe, "words binary, shape binary, low double, toxic double").collect()
-    y = np.array([[r.low, r.toxic] for r in got]).reshape(-1, 2)
-    if not len(y) or (y.sum(0) == 0).all() or (y.sum(0) == len(y)).any():
+            for text, low, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                for w in words_of(text):
+                    n = seen.setdefault(w, [0, 0.0, 0.0])
+                    n[0] += 1
+                    n[1] += low
+                    n[2] += toxic
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([n[i] for n in seen.values()], pa.float64()) for i in range(3))], names=["word", "n", "low", "toxic"])
+
+    n, low, toxic = rows.agg(F.count(F.lit(1)), F.avg("low"), F.avg("toxic")).head()
+    if not n or (not low and not toxic) or low == 1 or toxic == 1:
         return None
-    words = [np.frombuffer(bytes(r.words), np.uint32) for r in got]
-    at, flat = np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words)
-    seen, col = np.unique(flat, return_inverse=True)
-    df = np.bincount(col, minlength=len(seen)).astype(float)
-    strength = np.zeros(len(seen))
-    for k in (0, 1):
-        share = y[:, k].mean()
-        strength = np.maximum(strength, np.abs(np.bincount(col, y[at, k], len(seen)) - df * share) / np.sqrt(df * share * (1 - share) + 1e-9))
-    strength[df < MIN_DOCS] = 0
-    best = np.argsort(-strength, kind="stable")[:MAX_WORDS]
-    best = best[strength[best] > 4]
-    index = np.full(len(seen), -1)
-    index[best] = np.arange(len(best))
-    use = index[col] >= 0
-    x = np.array([np.frombuffer(bytes(r.shape), np.float64) for r in got])
-    mean, std = x.mean(0), np.maximum(x.std(0), LEAST_SPREAD)
-    heads = [fit_logistic(np.clip((x - mean) / std, -FAR, FAR), at[use], index[col[use]], len(best), y[:, k]) for k in (0, 1)]
-    chosen = {int(h): i for i, h in enumerate(seen[best])}
+    words = rows.mapInArrow(count, "word string, n double, low double, toxic double").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic")))
+    # How far a word's documents are from an average share of each class, in deviations.
+    far = lambda c, m: F.abs(F.col(c) - F.col("n") * m) / F.sqrt(F.col("n") * m * (1 - m) + 1e-9)
+    words = words.filter(F.col("n") >= MIN_DOCS).withColumn("far", F.greatest(far("low", low), far("toxic", toxic))).filter("far > 4")
+    chosen = {r.word: i for i, r in enumerate(words.orderBy(F.round("far", 6).desc(), "word").limit(MAX_WORDS).select("word").collect())}
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {w for t in batch.column(0).to_pylist() for w in words_of(t) if xxhash.xxh32_intdigest(w) in chosen}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+            texts = batch.column(0).to_pylist()
+            found = [np.array([chosen[w] for w in words_of(t) if w in chosen], np.int32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([shape(t).tobytes() for t in texts], pa.binary()), batch.column(1), batch.column(2)], names=["words", "shape", "low", "toxic"])
 
-    spelled = [r.word for r in rows.select("text").mapInArrow(spell, "word string").distinct().limit(4 * MAX_WORDS).collect()]
-    weights = {w: tuple(float(h[1][chosen[xxhash.xxh32_intdigest(w)]]) for h in heads) for w in sorted(spelled)}
+    got = rows.mapInArrow(describe, "words binary, shape binary, low double, toxic double").toPandas()
+    cols = [np.frombuffer(w, np.int32) for w in got["words"]]
+    at, col = np.repeat(np.arange(len(cols)), [len(w) for w in cols]), np.concatenate(cols)
+    y, x = got[["low", "toxic"]].to_numpy(), np.array([np.frombuffer(v, np.float64) for v in got["shape"]])
+    mean, std = x.mean(0), np.maximum(x.std(0), LEAST_SPREAD)
+    heads = [fit_logistic(np.clip((x - mean) / std, -FAR, FAR), at, col, len(chosen), y[:, k]) for k in (0, 1)]
+    weights = {w: tuple(float(h[1][i]) for h in heads) for w, i in chosen.items()}
     return {"weights": weights, "shape": [h[0] for h in heads], "intercept": [h[2] for h in heads], "mean": mean, "std": std, "good": float(((1 - y[:, 0]) * (1 - y[:, 1])).mean())}
 
 
