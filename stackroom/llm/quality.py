@@ -97,8 +97,10 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[Column]) -> DataF
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The two document models; None without labelled documents of both classes."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, [text_or_empty("text").alias("text")])
-    rows = checkpoint(rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(MAX_TRAIN).repartition(64).select("text", "low", "toxic"))
+    # Ids first, at most MAX_TRAIN of them, so that only their texts move. Of rows that repeat an id the first text counts.
+    some = labelled(docs, labels, []).distinct().orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN)
+    texts = docs.select(docs["doc_id"].alias("_id"), text_or_empty("text").alias("text")).join(F.broadcast(checkpoint(some)), "_id")
+    rows = checkpoint(texts.groupBy("_id", "low", "toxic").agg(F.min("text").alias("text")).select("text", "low", "toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[float]] = {}
