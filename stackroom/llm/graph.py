@@ -91,8 +91,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, wide: int = 256) -> DataFrame:
-    """(a, b): a star over the linked nodes of each block; without star, a spanning forest of real links, heaviest first.
+def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, wide: int = 256, every: bool = False) -> DataFrame:
+    """(a, b): a star over the linked nodes of each block; without star, a spanning forest of real links, heaviest first,
+    or every link.
 
     match(columns of left, columns of right) -> weight of each link, 0 for none.
 
@@ -145,7 +146,7 @@ def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], m
                     label = stars(a, b, n)
                     b = np.flatnonzero(label != np.arange(n))
                     a = label[b]
-                else:
+                elif not every:
                     some = forest(a, b, np.concatenate(weights)[keep], n)
                     a, b = a[some], b[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])

@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         x = left[0].view(np.uint64) ^ right[0].view(np.uint64)
         low, all_ = np.bitwise_count(x.astype(np.uint32)), np.bitwise_count(x)
-        near = (all_ <= distance) & ((low <= distance // 2) | (all_ - low <= distance // 2))
+        near = (all_ <= distance) & ((low <= distance // 2) | (all_ - low <= distance // 2)) & (left[3] != right[3])
         at = np.nonzero(near)
         if len(at[0]):
             a, b = left[2].reshape(-1, SKETCH), right[2].reshape(-1, SKETCH)
@@ -204,11 +204,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             return out
         return near.astype(np.uint8)
 
-    blocked = graph.blocks(banded, ["band"], "node", WIDE_BLOCK)
-    found = graph.links(blocked, ["band"], "node", ["fp", "size", "sketch"], match, star=False)
-    edges = checkpoint(found.unionByName(same).distinct())
-    needed = rows.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    pairs = edges.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    def found(rooted: DataFrame, every: bool) -> DataFrame:
+        """Pairs of rows of different roots: a spanning forest of each block, or every pair."""
+        return graph.links(graph.blocks(rooted, ["band"], "node", WIDE_BLOCK), ["band"], "node", ["fp", "size", "sketch", "root"], match, star=False, every=every)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +217,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    true = pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    def checked(edges: DataFrame) -> DataFrame:
+        needed = rows.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        pairs = edges.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return checkpoint(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+
+    # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
+    true = checked(checkpoint(found(banded.withColumn("root", F.col("node")), False).unionByName(same).distinct()))
     comps = graph.components(true)
+    rooted = banded.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = checked(checkpoint(found(rooted, True).distinct()))
+    if not more.isEmpty():
+        comps = graph.components(true.unionByName(more))
     named = checkpoint(comps.join(marked_once.select("node", "id"), "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "node")).alias("first"))
     return named.join(first, "root").select("node", "id", (F.col("node") == F.col("first.node")).alias("keep"))

@@ -83,6 +83,30 @@ def test_near_duplicates(docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def true_groups(texts):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    return groups_of(range(len(sets)), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+
+
+def test_near_duplicates_behind_false_candidates(spark):
+    r = np.random.default_rng(12)
+    texts = []
+    for f in range(40):
+        base = [f"w{f}x{i}" for i in range(400)]
+        for v in range(8):
+            words = list(base)
+            for i in r.choice(400, int(r.integers(3, 6)), replace=False):
+                words[i] = f"r{f}v{v}x{i}"
+            texts.append(" ".join(words))
+    want = true_groups(texts)
+    assert kept_of(spark, texts) == {i for i in want if want[i] == i}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
