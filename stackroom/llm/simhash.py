@@ -7,9 +7,10 @@ chain prunes the bucket's pairs before the full Hamming check.
 
 Fingerprints first collapse to classes, so copies never pair up. A bucket of any size is dealt in blocks.
 
-`near_duplicates` goes by similarity instead of a few bits. Jaccard similarity s puts two fingerprints so many bits
-apart that zero-budget keys are too short to be a bucket, so rows meet in bands of like shingle counts (counts of
-similar texts are within a factor s), a ring of two segments prunes, and links are then checked on the shingles.
+`near_duplicates` goes by the Jaccard similarity of shingle sets instead of a few bits, and finds every link: sets that
+are so similar share one of their first shingles in a common order (prefix filtering), so rows meet by these; sizes and
+the parities of classes of shingles, which bound the difference of two sets, prune; what is left is checked on the
+shingles themselves.
 
 Defined results: a null text is empty; a text of fewer words than a shingle is one shingle; no word gives fingerprint
 0, linked like any other. Null ids are never the smallest of a group unless all are null. Repeated rows get the same
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -33,11 +34,8 @@ from .common import checkpoint, quiet_gc, small_batches, text_or_empty
 SEED = 42
 #: Segments of the ring for links of a few bits.
 SEGMENTS = 5
-#: Functions of the MinHash sketch by which links are ranked before the check on the shingles.
-SKETCH = 128
-#: Rows of a band that one slot holds; each slot meets every other one of its band.
-WIDE_BLOCK = 16_384
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+#: Classes of shingles whose parities bound the difference of two sets: few where rows meet, many for what is left.
+CELLS, WIDE_CELLS = 1024, 8192
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -61,12 +59,13 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def sketch(distinct: np.ndarray) -> bytes:
-    """One byte of each of SKETCH minimum hashes."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(distinct), 1 << 12):
-        low = np.minimum(low, (distinct[at : at + (1 << 12), None] * _MULTIPLIERS).min(0))
-    return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+def parities(distinct: np.ndarray, cells: int = CELLS) -> bytes:
+    """One bit for each of so many classes of hashes: is their number odd?
+
+    Sets differ in at least as many members as these bits do.
+    """
+    odd = np.bincount((distinct & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,14 +142,9 @@ def group(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def distance_for(similarity: float) -> int:
-    """Bits within which almost all pairs of this Jaccard similarity lie: the mean and 2.5 deviations.
-
-    Shingle sets of Jaccard similarity s have cosine 2s / (1 + s) when equally large; each bit differs with
-    probability angle / pi.
-    """
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return min(63, math.ceil(64 * p + 2.5 * math.sqrt(64 * p * (1 - p))))
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets of this Jaccard similarity, sorted alike, so many first members of each hold a common one."""
+    return size - math.ceil(similarity * size - 1e-6) + 1 if size else 0
 
 
 def node_of(docs: DataFrame, id_col: str, text_col: str):
@@ -169,44 +163,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with quiet_gc():
             for batch in batches:
-                fps, sizes, sketches = [], [], []
+                sets, sizes, odd, wide, firsts = [], [], [], [], []
                 for t in batch.column(2).to_pylist():
-                    h = shingle_hashes(t, words)
-                    u = np.unique(h)
-                    fps.append(fingerprint(h))
+                    u = np.unique(shingle_hashes(t, words))
+                    sets.append(xxhash.xxh3_128_digest(u.astype("<u8").tobytes()))
                     sizes.append(len(u))
-                    sketches.append(sketch(u))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["node", "id", "fp", "size", "sketch"])
-
-    marked = checkpoint(rows.mapInArrow(marks, "node long, id long, fp long, size long, sketch binary"))
-    marked_once = marked.groupBy("node").agg(*(F.min(c).alias(c) for c in ("id", "fp", "size", "sketch")))
-    # Equal fingerprint, size and sketch: one row stands for the others, so a group of copies is one row here.
-    classes = checkpoint(marked_once.groupBy("fp", "size", "sketch").agg(F.min(F.col("node")).alias("node")))
-    same = marked_once.join(classes.withColumnRenamed("node", "stand"), ["fp", "size", "sketch"]).filter("node <> stand").select(F.col("stand").alias("a"), F.col("node").alias("b"))
-    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("int")
-    # A text meets its own band and the next one; texts of both bands meet as well, which the second band repeats.
-    banded = classes.withColumn("band", F.explode(F.array(band, band + 1)))
-    distance = distance_for(similarity)
-    least = int(SKETCH * (similarity - 0.12))
+                    odd.append(parities(u))
+                    wide.append(parities(u, WIDE_CELLS))
+                    firsts.append(u[: prefix_length(len(u), similarity)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "id", "set", "size", "odd", "wide", "first"])
+
+    marked = checkpoint(rows.mapInArrow(marks, "node long, id long, set binary, size long, odd binary, wide binary, first array<long>"))
+    marked_once = marked.groupBy("node").agg(*(F.min(c).alias(c) for c in ("id", "set")))
+    # Equal sets: one row stands for the others, so a group of copies is one row here.
+    stands = marked.groupBy("set").agg(F.min("node").alias("node"))
+    same = marked_once.join(stands.withColumnRenamed("node", "stand"), "set").filter("node <> stand").select(F.col("stand").alias("a"), F.col("node").alias("b"))
+    classes = marked.select("node", "size", "odd", "first").join(stands.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # Shingles are sorted by their hashes; only those that are first ones of two rows can be the common one.
+    firsts = classes.select("node", F.explode("first").alias("shingle")).withColumn("times", F.count("node").over(Window.partitionBy("shingle")))
+    shared = checkpoint(firsts.filter("times > 1").select("shingle", "node"))
+    facts = checkpoint(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "size", "odd"))
+    most = (1 - similarity) / (1 + similarity)
 
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        x = left[0].view(np.uint64) ^ right[0].view(np.uint64)
-        low, all_ = np.bitwise_count(x.astype(np.uint32)), np.bitwise_count(x)
-        near = (all_ <= distance) & ((low <= distance // 2) | (all_ - low <= distance // 2)) & (left[3] != right[3])
+        x, y = np.broadcast_arrays(left[0], right[0])
+        near = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (left[2] != right[2])
+        out = np.zeros(near.shape, np.int32)
         at = np.nonzero(near)
         if len(at[0]):
-            a, b = left[2].reshape(-1, SKETCH), right[2].reshape(-1, SKETCH)
-            sizes = np.broadcast_to(left[1], x.shape)[at], np.broadcast_to(right[1], x.shape)[at]
+            a, b = (c[1].reshape(-1, CELLS // 8).view(np.uint64) for c in (left, right))
             ia, ib = (at[0], at[1]) if len(at) == 2 else (at[0], at[0])
-            agreed = (a[ia] == b[ib]).sum(1)
-            out = np.zeros(x.shape, np.uint8)
-            out[at] = np.where((np.minimum(*sizes) >= similarity * np.maximum(*sizes)) & (agreed >= least), agreed, 0)
-            return out
-        return near.astype(np.uint8)
+            apart = np.bitwise_count(a[ia] ^ b[ib]).sum(1, dtype=np.int64)
+            out[at] = np.where(apart <= most * (x[at] + y[at]) + 1e-6, CELLS + 1 - apart, 0)
+        return out
 
-    def found(rooted: DataFrame, every: bool) -> DataFrame:
+    def found(roots: DataFrame, every: bool) -> DataFrame:
         """Pairs of rows of different roots: a spanning forest of each block, or every pair."""
-        return graph.links(graph.blocks(rooted, ["band"], "node", WIDE_BLOCK), ["band"], "node", ["fp", "size", "sketch", "root"], match, star=False, every=every)
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        rooted = rooted.join(mixed.select("shingle"), "shingle", "left_semi").join(facts, "node")
+        return graph.links(graph.blocks(rooted, ["shingle"], "node"), ["shingle"], "node", ["size", "odd", "root"], match, star=False, every=every)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,16 +213,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in (3, 4))
+                ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most * batch.column(2).to_numpy() + 1e-6
+                yield batch.select([0, 1]).filter(pa.array(ok))
+
     def checked(edges: DataFrame) -> DataFrame:
+        wide = marked.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide"))
+        both = edges.join(wide.toDF("a", "size_a", "wide_a"), "a").join(wide.toDF("b", "size_b", "wide_b"), "b")
+        edges = checkpoint(both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "wide_a", "wide_b").mapInArrow(close, "a long, b long"))
         needed = rows.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         pairs = edges.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return checkpoint(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
     # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
-    true = checked(checkpoint(found(banded.withColumn("root", F.col("node")), False).unionByName(same).distinct()))
+    alone = facts.select("node", F.col("node").alias("root"))
+    true = checkpoint(checked(checkpoint(found(alone, False).distinct())).unionByName(same))
     comps = graph.components(true)
-    rooted = banded.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = checked(checkpoint(found(rooted, True).distinct()))
+    more = checked(checkpoint(found(comps, True).distinct()))
     if not more.isEmpty():
         comps = graph.components(true.unionByName(more))
     named = checkpoint(comps.join(marked_once.select("node", "id"), "node"))

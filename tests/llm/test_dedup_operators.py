@@ -107,6 +107,34 @@ def test_near_duplicates_behind_false_candidates(spark):
     assert kept_of(spark, texts) == {i for i in want if want[i] == i}
 
 
+def test_near_duplicates_far_in_fingerprint(spark):
+    texts = []
+    for f in range(12):
+        period = [f"p{f}x{i}" for i in range(12)]
+        rest = [f"q{f}x{i}" for i in range(200)]
+        texts += [" ".join(period * 2 + rest), " ".join(period * 30 + rest)]  # the same shingles, some of them often
+    for f in range(150):
+        short = [f"s{f}x{i}" for i in range(9)]
+        texts += [" ".join(short[:8]), " ".join(short)]  # 4 and 5 shingles: 0.8
+    want = true_groups(texts)
+    assert sum(want[i] != i for i in want) >= 12 + 150
+    assert kept_of(spark, texts) == {i for i in want if want[i] == i}
+
+
+def test_prefix_and_parities_lose_no_pair():
+    r = np.random.default_rng(8)
+    for _ in range(3000):
+        n, m = (int(x) for x in r.integers(1, 60, 2))
+        both = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = np.unique(both), np.unique(np.concatenate([both[: n - n // 8], r.integers(0, 1 << 63, m // 8, dtype=np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        apart = int(np.bitwise_count(np.frombuffer(simhash.parities(x), np.uint8) ^ np.frombuffer(simhash.parities(y), np.uint8)).sum())
+        wide = int(np.bitwise_count(np.frombuffer(simhash.parities(x, simhash.WIDE_CELLS), np.uint8) ^ np.frombuffer(simhash.parities(y, simhash.WIDE_CELLS), np.uint8)).sum())
+        assert max(apart, wide) <= len(x) + len(y) - 2 * common
+        if common >= 0.8 * (len(x) + len(y) - common):
+            assert set(x[: simhash.prefix_length(len(x), 0.8)]) & set(y[: simhash.prefix_length(len(y), 0.8)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
