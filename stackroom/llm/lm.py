@@ -6,8 +6,8 @@ a space before it; one end id closes a text. Decoding gives the words back, so t
 The model predicts the class of the next id: one of the HEAD most frequent ids of the training texts, or "other",
 which is then shared out by the corpus counts of the other ids (plus one). A class's logit is its bigram log-odds,
 counted over all training texts, plus what one masked self-attention layer and one hidden layer over the last WINDOW
-ids add. These layers are trained by rounds of local Adam: each task trains on its own stretches of text (one in
-EVERY, by a hash, so their number follows the input) and the parameters are averaged by a grouped sum.
+ids add. These layers are trained by rounds of local Adam: each task trains on its own stretches of text (each of
+them in one of the rounds, by a hash) and the parameters are averaged by a grouped sum.
 
 The probability of a word is a mixture: MIX of its share among the HEAD_WORDS most frequent training words, the rest
 what the model gives to its ids after all ids before them.
@@ -42,8 +42,8 @@ from .common import checkpoint, portions, quiet_gc, small_batches, text_or_empty
 
 HEAD, DIM, HIDDEN = 256, 32, 64
 WINDOW, CONTEXT = 32, 8
-#: One stretch of text in so many trains, in each round another one; words in a stretch.
-EVERY, ROUNDS, STRETCH = 32, 2, 24
+#: Rounds, which share out all stretches of text; words in a stretch.
+ROUNDS, STRETCH = 2, 24
 BATCH, RATE = 16, 4e-3
 #: Class weights are exponentials read off the bits of a float: linear between powers of two, within 6 %, and cheap.
 #: They are normalized as they are, so class probabilities add up to one.
@@ -276,6 +276,11 @@ def classes_of(counts: DataFrame, end: int) -> tuple[np.ndarray, np.ndarray, np.
     return of, share, np.log((table + 20 * one) / (table.sum(1, keepdims=True) + 20)).astype(np.float32)
 
 
+def trains(text_hash: int, stretch: int, number: int) -> bool:
+    """Does this stretch of the text train in this round?"""
+    return (text_hash + stretch) % ROUNDS == number
+
+
 def train_round(train: DataFrame, raw, params: dict, facts, number: int) -> dict:
     """One round of local training and averaging; parameters are averaged place by place, weighted by windows."""
     shared = train.sparkSession.sparkContext.broadcast(params)
@@ -301,7 +306,7 @@ def train_round(train: DataFrame, raw, params: dict, facts, number: int) -> dict
                 for t, h in zip(texts, hashes):
                     ws = words_of(t)
                     for i in range(0, len(ws), STRETCH):
-                        if (h + i // STRETCH) % EVERY == number:
+                        if trains(h, i // STRETCH, number):
                             stretches.append((ws[i : i + STRETCH], i == 0, i + STRETCH >= len(ws)))
                 for (_, opens, closes), ids in zip(stretches, coder.texts([s[0] for s in stretches])):
                     c = of[np.array(ids if closes else ids[:-1], np.int64)]

@@ -181,6 +181,12 @@ def test_lm_class_probabilities_add_up():
     assert sum(10**x for x in last) == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_trains_on_every_stretch_once():
+    for h in range(64):
+        for stretch in range(64):
+            assert sum(lm.trains(h, stretch, k) for k in range(lm.ROUNDS)) == 1
+
+
 def test_lm_rows(docs, no_docs):
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     got = lm.score(docs, held, subword_vocabulary()).collect()
