@@ -9,14 +9,14 @@ counted over all training texts, plus what one masked self-attention layer and o
 ids add. These layers are trained by rounds of local Adam: each task trains on its own stretches of text (each of
 them in one of the rounds, by a hash) and the parameters are averaged by a grouped sum.
 
-The probability of a word is a mixture: MIX of its share among the HEAD_WORDS most frequent training words, the rest
+The probability of a word is a mixture: MIX of its share among all training words and ends, the rest
 what the model gives to its ids after all ids before them.
 
 Scoring cuts a text into windows of WINDOW ids that overlap by CONTEXT, and scores each id once, in the window where
 it has at least CONTEXT ids before it (or the text's start); windows of many texts make one batch.
 
-Also given: the add-one unigram score over whole words. Counts of the HEAD_WORDS most frequent words go to all tasks;
-the others meet their counts by a shuffled join.
+Also given: the add-one unigram score over whole words. For both, counts of the HEAD_WORDS most frequent words go to
+all tasks; the others meet their counts by a shuffled join.
 
 Defined results: a null text is the empty text, whose one token is its end. Rows are numbered, not keyed, so null or
 repeated ids pass through. Ties in frequency go by id or word. Without training texts N = V = 0 and the model is
@@ -392,12 +392,11 @@ def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", tex
     total = n_words + n_train
     kinds = distinct + (1 if n_train else 0)
     head = {bytes(r.word): r.n for r in words.orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()}
-    lexicon = sum(head.values()) + n_train
-    model = spark.sparkContext.broadcast((params, {w: (math.log10(n + 1), n / lexicon) for w, n in head.items()}))
-    end_share = n_train / lexicon if lexicon else 0.0
+    model = spark.sparkContext.broadcast((params, {w: (math.log10(n + 1), n / total) for w, n in head.items()}))
+    end_share = n_train / total if total else 0.0
     end_known, end_log = (1, math.log10(n_train + 1)) if n_train else (0, 0.0)
     scale = math.log10(total + 1 * (kinds + 1))
-    names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times"]
+    names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare", "by_model"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, (params, logs), row = worker_subwords(raw.value), model.value, TaskContext.get().partitionId() << 33
@@ -414,24 +413,32 @@ def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", tex
                     share = np.array([x for ws in common for x in (*[c[1] if c else 0.0 for c in ws], end_share)])
                     with np.errstate(divide="ignore"):
                         scores = np.add.reduceat(np.logaddexp(np.log(MIX * share), math.log(1 - MIX) + by_word * math.log(10)), starts) / math.log(10)
-                    n, known, sums, rare, times = [], [], [], [], []
-                    for ws, found in zip(split, common):
+                    n, known, sums, rare, by_model = [], [], [], [], []
+                    for ws, found, start in zip(split, common, starts.tolist()):
                         got = [x[0] for x in found if x]
-                        other = Counter([w for w, x in zip(ws, found) if x is None]) if len(got) < len(ws) else {}
+                        other = {}
+                        if len(got) < len(ws):
+                            for i, (w, x) in enumerate(zip(ws, found)):
+                                if x is None:
+                                    other.setdefault(w, []).append(float(by_word[start + i]))
                         n.append(len(ws) + 1)
                         known.append(len(got) + end_known)
                         sums.append(sum(got) + end_log)
                         rare.append(list(other))
-                        times.append(list(other.values()))
+                        by_model.append(list(other.values()))
                     part = batch.slice(at, len(texts))
-                    cols = [pa.array(np.arange(row, row + len(texts))), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                    cols = [pa.array(np.arange(row, row + len(texts))), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(by_model, pa.list_(pa.list_(pa.float64())))]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     at, row = at + len(texts), row + len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<binary>, times array<long>"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    found = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("rare", "times").join(found, "row", "left")
+    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<binary>, by_model array<array<double>>"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "by_model")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.by_model").alias("by_model"))
+    # What the lexicon adds to the log of (1 - MIX) times the model's probability; far below it, the lexicon is all.
+    odds = F.log10(F.col("n") * F.lit(MIX / (1 - MIX) / max(1, total)))
+    gain = lambda x: F.when(odds - x > 300, odds - x).otherwise(F.log10(F.lit(1.0) + F.pow(F.lit(10.0), F.least(odds - x, F.lit(300.0)))))
+    times = F.size("by_model")
+    found = rare.join(words, "word").groupBy("row").agg(F.sum(times).alias("more"), F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.aggregate("by_model", F.lit(0.0), lambda so_far, x: so_far + gain(x))).alias("gain"))
+    out = scored.drop("rare", "by_model").join(found, "row", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))

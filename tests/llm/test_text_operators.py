@@ -187,6 +187,15 @@ def test_lm_trains_on_every_stretch_once():
             assert sum(lm.trains(h, stretch, k) for k in range(lm.ROUNDS)) == 1
 
 
+def test_lm_score_has_no_head_of_words(docs, monkeypatch):
+    held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
+    want = sorted((r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm.score(docs, held, subword_vocabulary()).collect())
+    monkeypatch.setattr(lm, "HEAD_WORDS", 5)
+    got = sorted((r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm.score(docs, held, subword_vocabulary()).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-4)
+
+
 def test_lm_rows(docs, no_docs):
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     got = lm.score(docs, held, subword_vocabulary()).collect()
