@@ -317,7 +317,7 @@ def snk03_chunk_id(spark, d) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'refs: ' || source WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 9) || '] ' || substr(text, 1, 40) ELSE 'question' END AS context FROM documents")
 def msc14_chat_context(spark, d) -> DataFrame:
     i = F.col("doc_id")
-    page = F.concat(F.lit("[p. "), (i % 9).cast("string"), F.lit("] "), F.substring("text", 1, 40))
+    page = F.concat(F.lit("[p. "), (i % 9).cast("string"), F.lit("] "), "text")
     return table(spark, d, "documents").select("doc_id", F.when(i % 2 == 0, F.concat(F.lit("refs: "), "source")).when(i % 3 == 0, page).otherwise("question").alias("context"))
 
 
@@ -332,7 +332,7 @@ def msc15_paper_context(spark, d) -> DataFrame:
 @query(f"WITH {CHUNKS}, r AS (SELECT book_id, source, text, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS place FROM chunks QUALIFY place <= 5) SELECT book_id, place, '<' || source || '> ' || substr(text, 1, 30) AS line FROM r")
 def msc16_answer_context(spark, d) -> DataFrame:
     top = top_per_group(chunks(spark, d).select("book_id", "doc_id", "source", "text"), ["book_id"], ["doc_id"], 5, "place")
-    return top.select("book_id", "place", F.concat(F.lit("<"), "source", F.lit("> "), F.substring("text", 1, 30)).alias("line"))
+    return top.select("book_id", "place", F.concat(F.lit("<"), "source", F.lit("> "), "text").alias("line"))
 
 
 @query()

@@ -175,7 +175,7 @@ def str11_citation(spark, d) -> DataFrame:
 
 @query("SELECT doc_id, list_filter(list_transform(string_split_regex(substr(text, 1, 200), '[,;|/·]'), lambda s: trim(s)), lambda s: s <> '')[1:5] AS words FROM documents")
 def str12_keywords(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.keyword_list(F.substring("text", 1, 200), 5).alias("words"))
+    return table(spark, d, "documents").select("doc_id", T.keyword_list(F.col("text"), 5).alias("words"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN source END, CASE WHEN doc_id % 2 = 0 THEN lang END, 'none') AS keyword FROM documents")

@@ -239,3 +239,17 @@ def test_citations(spark):
     got = {r.book_id: (r.korean, r.english) for r in citations(spark.createDataFrame(rows, cols)).collect()}
     assert got["b"] == ("A, B, C, D (2023). 제목. Journal, 3(1). http://x.", "A et al. (2023). Title. Journal, 3(1). http://x.")
     assert got["c"] == ("저자 미상 (n.d.). T.", "Unknown Author (n.d.). T.")
+
+
+def test_texts_are_whole(spark, sf_dir):
+    import re
+
+    from stackroom import plans
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    words = {r.doc_id: r.words for r in plans.QUERIES["str12_keywords"](spark, sf_dir).collect()}
+    assert words == {i: None if r.text is None else [w for w in (x.strip(" ") for x in re.split("[,;|/·]", r.text)) if w][:5] for i, r in docs.items()}
+    said = {r.doc_id: r.context for r in plans.QUERIES["msc14_chat_context"](spark, sf_dir).collect()}
+    assert all(said[i] == f"[p. {i % 9}] {r.text}" for i, r in docs.items() if i % 2 and i % 3 == 0)
+    lines = {(r.book_id, r.place): r.line for r in plans.QUERIES["msc16_answer_context"](spark, sf_dir).collect()}
+    assert lines == {(f"b{i // 8:06d}", i % 8 + 1): f"<{r.source}> {r.text or ''}" for i, r in docs.items() if i % 8 < 5}
