@@ -1,8 +1,12 @@
 """BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
 The tree's leaves hold `rank * width + position` of each pair of neighbours, so its root is the leftmost pair of
-the lowest rank. A merge changes three leaves; the loop ends when the root holds no mergeable pair. Words repeat,
-so each worker remembers the words it met last (two generations, of bounded size).
+the lowest rank. A merge changes three leaves; the loop ends when the root holds no mergeable pair. Pieces repeat,
+so each worker remembers the ids of those it met (up to KNOWN_PIECES, then it starts anew).
+
+Texts are cut into pieces in numpy, over all texts of a portion at once: runs of letters, single digits, runs of
+other characters. Words that need more than a table of two-byte characters (accents to be composed, contractions,
+special tokens, rare scripts) are taken whole and cut by the tokenizer's own pattern when they are first met.
 
 Defined results: a null text is the empty text, with no ids and an empty decoding. Rows are never dropped or joined,
 so null, repeated or tied ids pass through. An empty table gives an empty table.
@@ -22,16 +26,79 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import portions, quiet_gc, small_batches, text_or_empty
+from .common import quiet_gc, small_batches, text_or_empty
+from .units import PADDING, SPACES, Pool, Units, spans, texts_of
 
-#: Words remembered by a worker in each of two generations.
-CACHE_WORDS = 150_000
+#: Pieces remembered by a worker, of some 40 bytes each.
+KNOWN_PIECES = 1_500_000
 #: Pieces of up to so many symbols are merged side by side, in trees of as many leaves; longer ones alone.
 WIDTHS = (8, 16, 32, 64)
 #: Trees held in memory at once.
 BLOCK = 32_768
 _PAD, _NONE = 65_535, 1 << 30
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Classes of bytes.
+_GAP, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_MULTIPLIER, _RANK_BITS, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 17, 19
+
+
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[list(SPACES)] = _GAP
+    for first, last in ("az", "AZ"):
+        out[ord(first) : ord(last) + 1] = _LETTER
+    out[ord("0") : ord("9") + 1] = _DIGIT
+    out[ord("'")] = _ODD  # may open a contraction
+    out[128:] = _ODD  # but for what _two_byte_letters has
+    return out
+
+
+def _two_byte_letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point below 0x800: is it a letter that no normalization changes, and its lower case in two bytes too?"""
+    plain, low = np.zeros(0x800, bool), np.arange(0x800, dtype=np.uint16)
+    for c in range(0x80, 0x800):
+        s = chr(c)
+        if unicodedata.category(s)[0] == "L" and unicodedata.normalize("NFC", s) == s and len(s.lower()) == 1 and 0x80 <= ord(s.lower()) < 0x800:
+            plain[c], low[c] = True, ord(s.lower())
+    return plain, low
+
+
+_CLASS, (_PLAIN, _LOW) = _byte_classes(), _two_byte_letters()
+_ASCII_LOW = np.arange(256, dtype=np.uint8)
+_ASCII_LOW[ord("A") : ord("Z") + 1] += 32
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes; starts and sizes of the pieces; which of them are whole words as they were, still to be cut."""
+    n = int(offsets[-1])
+    low, kind = _ASCII_LOW[data], _CLASS[data[:n]]
+    lead = np.flatnonzero((data[:n] >= 0xC2) & (data[:n] < 0xE0))
+    if len(lead):
+        point = (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+        lead, point = lead[_PLAIN[point]], _LOW[point[_PLAIN[point]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 0x3F
+    opens = np.zeros(n, bool)
+    opens[offsets[:-1][offsets[:-1] < n]] = True
+    inside = kind != _GAP
+    mark = kind == _ODD
+    mark[:-1] |= (data[: max(0, n - 1)] == ord("<")) & (data[1:n] == ord("|"))
+    odd = np.flatnonzero(mark)
+    if len(odd):
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | opens[1:]
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | opens[1:]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        some = np.unique(np.searchsorted(first, odd, "right") - 1)
+        at = spans(first[some], last[some] - first[some])
+        kind[at], low[at] = _ODD, data[at]
+    begins = inside
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT) | opens[1:]
+    ends = kind != _GAP
+    ends[:-1] &= (kind[1:] == _GAP) | begins[1:]
+    starts = np.flatnonzero(begins)
+    return low, starts, np.flatnonzero(ends) + 1 - starts, kind[starts] == _ODD
 
 
 class PairTree:
@@ -98,16 +165,16 @@ class WordBpe:
         self.first = [self.vocab[c] for c in self.symbols]
         self.last = [self.vocab[c + self.end] for c in self.symbols]
         self.first_ids, self.last_ids = np.array(self.first, np.int32), np.array(self.last, np.int32)
-        ordered = sorted(self.pairs.items())
-        self.keys = np.array([(k >> 32) << 16 | (k & 0xFFFF) for k, _ in ordered], np.int64)
-        self.key_rank = np.array([r for _, (r, _) in ordered], np.int32)
+        self.table = self.rank_table()
         self.merged = np.zeros(len(model["merges"]), np.int32)
         for rank, new in self.pairs.values():
             self.merged[rank] = new
-        self.id_text = [str(i) for i in range(max(self.tokens) + 1)]
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
-        self.packed: dict[str, bytes] = {}
+        top = max(self.tokens) + 1
+        self.kind = np.dtype("<u2" if top <= 1 << 16 else "<u4")
+        self.digits, self.names = Pool(np.uint8), Pool(np.uint8)
+        for pool, made in ((self.digits, [b"%d " % i for i in range(top)]), (self.names, [self.tokens.get(i, "").encode() + b" " * (i in self.tokens) for i in range(top)])):
+            pool.add(np.frombuffer(b"".join(made), np.uint8), np.array([len(x) for x in made], np.int32))
+        self.forget()
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge until no pair of neighbours has a rank."""
@@ -157,12 +224,32 @@ class WordBpe:
         """Ids of a stretch of text without white space."""
         return [i for p in self.pieces(word) for i in ([p] if isinstance(p, int) else self.merge(self.byte_ids(p)))]
 
+    def rank_table(self) -> np.ndarray:
+        """Open-addressed: both ids of a pair (16 bits each), then its rank plus one."""
+        table = np.zeros(1 << _TABLE_BITS, np.uint64)
+        for pair, (rank, _) in self.pairs.items():
+            key = (pair >> 32) << 16 | (pair & 0xFFFF)
+            at = (key * int(_MULTIPLIER) & (1 << 64) - 1) >> (64 - _TABLE_BITS)
+            while table[at]:
+                at = (at + 1) % len(table)
+            table[at] = key << _RANK_BITS | rank + 1
+        return table
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        key = left.astype(np.int64) << 16 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.key_rank[at], -1)
+        shape = left.shape
+        key = (left.astype(np.uint64) << np.uint64(16) | right.astype(np.uint64)).ravel()
+        at = (key * _MULTIPLIER >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        entry = self.table[at]
+        out = np.where(entry >> np.uint64(_RANK_BITS) == key, (entry & np.uint64((1 << _RANK_BITS) - 1)).astype(np.int32) - 1, -1)
+        left_over = np.flatnonzero((out < 0) & (entry != 0))
+        while len(left_over):
+            at[left_over] = (at[left_over] + 1) & (len(self.table) - 1)
+            entry = self.table[at[left_over]]
+            hit = entry >> np.uint64(_RANK_BITS) == key[left_over]
+            out[left_over[hit]] = (entry[hit] & np.uint64((1 << _RANK_BITS) - 1)).astype(np.int32) - 1
+            left_over = left_over[~hit & (entry != 0)]
+        return out.reshape(shape)
 
     def merge_block(self, ids: np.ndarray) -> np.ndarray:
         """`merge` over many trees at once. ids: pieces x (width + 1), padded; merged-away symbols become padding."""
@@ -201,39 +288,31 @@ class WordBpe:
             rows = rows[tree[rows, 1] < _NONE]
         return ids
 
-    def merge_many(self, pieces: list[str]) -> tuple[list[str], list[str]]:
-        """For each piece its ids, and its tokens, joined by spaces."""
-        out_ids, out_tokens = [""] * len(pieces), [""] * len(pieces)
-        raws = [p.encode() for p in pieces]
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        for some, ids in self.merged_blocks(raws, sizes):
-            left = ids != _PAD
-            stops = np.cumsum(left.sum(1)).tolist()
-            flat_ids = ids[left].tolist()
-            as_ids, as_tokens = [*map(self.id_text.__getitem__, flat_ids)], [*map(self.tokens.__getitem__, flat_ids)]
-            start = 0
-            for x, stop in zip(some.tolist(), stops):
-                out_ids[x], out_tokens[x] = " ".join(as_ids[start:stop]), " ".join(as_tokens[start:stop])
-                start = stop
-        for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
-            ids = self.merge(self.byte_ids(pieces[x]))
-            out_ids[x], out_tokens[x] = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-        return out_ids, out_tokens
-
-    def merged_blocks(self, raws: list[bytes], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(which pieces, their merged ids with padding) for all pieces that fit a tree."""
+    def merge_flat(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, given and returned end to end, and their numbers."""
+        starts = np.cumsum(sizes) - sizes
+        counts, found = np.zeros(len(sizes), np.int64), []
         for width, under in zip(WIDTHS, (0, *WIDTHS)):
             where = np.flatnonzero((sizes <= width) & (sizes > under))
             for at in range(0, len(where), BLOCK):
                 some = where[at : at + BLOCK]
                 n = sizes[some]
-                flat = np.frombuffer(b"".join([raws[x] for x in some]), np.uint8)
+                flat = raw[spans(starts[some], n)]
                 ids = np.full((len(some), width + 1), _PAD, np.int32)
-                inside = np.arange(width + 1) < n[:, None]
-                ids[inside] = self.first_ids[flat]
-                ends = np.arange(len(some)), n - 1
-                ids[ends] = self.last_ids[flat[np.cumsum(n) - 1]]
-                yield some, self.merge_block(ids)
+                ids[np.arange(width + 1) < n[:, None]] = self.first_ids[flat]
+                ids[np.arange(len(some)), n - 1] = self.last_ids[flat[np.cumsum(n) - 1]]
+                left = self.merge_block(ids) != _PAD
+                counts[some] = left.sum(1)
+                found.append((some, ids[left]))
+        for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            body = raw[starts[x] : starts[x] + sizes[x]]
+            ids = self.merge([*self.first_ids[body[:-1]].tolist(), int(self.last_ids[body[-1]])])
+            counts[x] = len(ids)
+            found.append((np.array([x]), np.array(ids)))
+        flat, begins = np.zeros(counts.sum(), self.kind), np.cumsum(counts) - counts
+        for some, ids in found:
+            flat[spans(begins[some], counts[some])] = ids
+        return flat, counts
 
     def words(self, text: str) -> list[str]:
         """Stretches between white space as the tokenizer sees it."""
@@ -241,83 +320,70 @@ class WordBpe:
             return [w for w in regex.split(r"[\t-\r \x85\p{Z}]+", text) if w]
         return text.split()
 
-    def learn(self, words: set[str]) -> None:
-        """Remember ids and tokens of the words."""
-        self.forget()
-        young, old, new = self.young, self.old, {}
-        for w in words.difference(young):
-            if (got := old.get(w)) is not None:
-                young[w] = got
-            else:
-                new[w] = self.pieces(w)
-        at = {p: i for i, p in enumerate({p for ps in new.values() for p in ps if not isinstance(p, int)})}
-        ids, tokens = self.merge_many(list(at))
-        for w, ps in new.items():
-            if len(ps) == 1 and not isinstance(p := ps[0], int):
-                young[w] = ids[at[p]], tokens[at[p]]
-            else:
-                young[w] = " ".join([str(p) if isinstance(p, int) else ids[at[p]] for p in ps]), " ".join([self.tokens[p] if isinstance(p, int) else tokens[at[p]] for p in ps])
+    def learn(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> None:
+        """Remember the ids of new pieces, and of words still to be cut."""
+        texts = [low[at : at + n].tobytes().decode("utf-8", "surrogatepass") for at, n in zip(starts[whole].tolist(), sizes[whole].tolist())]
+        cut = [[p for w in self.words(t) for p in self.pieces(w)] for t in texts]
+        parts = [p.encode("utf-8", "surrogatepass") for ps in cut for p in ps if not isinstance(p, int)]
+        plain = ~whole
+        raw = np.concatenate([low[spans(starts[plain], sizes[plain])], np.frombuffer(b"".join(parts), np.uint8)])
+        flat, n = self.merge_flat(raw, np.concatenate([sizes[plain], np.array([len(p) for p in parts], np.int64)]))
+        stops = np.cumsum(n)
+        own, at = [], int(plain.sum())
+        for ps in cut:
+            ids: list[int] = []
+            for p in ps:
+                if isinstance(p, int):
+                    ids.append(p)
+                else:
+                    ids += flat[stops[at] - n[at] : stops[at]].tolist()
+                    at += 1
+            own.append(ids)
+        counts = np.zeros(len(starts), np.int64)
+        counts[plain], counts[whole] = n[: plain.sum()], [len(x) for x in own]
+        out, begins = np.zeros(counts.sum(), self.kind), np.cumsum(counts) - counts
+        out[spans(begins[plain], counts[plain])] = flat[: n[: plain.sum()].sum()]
+        out[spans(begins[whole], counts[whole])] = [i for x in own for i in x]
+        self.pool.add(out, counts)
 
     def forget(self) -> None:
-        """Keeps the memory bounded."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-
-    def encode_texts(self, texts: list[str], most: int = 1 << 22) -> Iterator[tuple[str, str]]:
-        """For each text its decimal ids, and its tokens, joined by spaces. most: characters looked up at once."""
-        for part in portions(texts, most):
-            split = [self.words(t) for t in part]
-            self.learn({w for ws in split for w in ws})
-            known = self.young
-            for ws in split:
-                got = [known[w] for w in ws]
-                yield " ".join([x[0] for x in got if x[0]]), " ".join([x[1] for x in got if x[0]])
-
-    def encode_ids(self, texts: list[str], end_id: int, most: int = 1 << 22) -> Iterator[np.ndarray]:
-        """For each text its ids and the end id, as unsigned 16-bit numbers where they fit."""
-        kind = np.dtype("<u2" if max(max(self.tokens), end_id) < 1 << 16 else "<u4")
-        end, remembered = np.array([end_id], kind).tobytes(), self.packed
-        for part in portions(texts, most):
-            split = [self.words(t) for t in part]
-            words = {w for ws in split for w in ws}
-            if len(remembered) > 2 * CACHE_WORDS:
-                remembered.clear()
-            new = {w: self.pieces(w) for w in words if w not in remembered}
-            at = {p: i for i, p in enumerate({p for ps in new.values() for p in ps if not isinstance(p, int)})}
-            flat, stops = self.merge_flat(list(at), kind)
-            for w, ps in new.items():
-                if len(ps) == 1 and not isinstance(p := ps[0], int):
-                    i = at[p]
-                    remembered[w] = flat[stops[i] : stops[i + 1]]
-                else:
-                    remembered[w] = b"".join([np.array([p], kind).tobytes() if isinstance(p, int) else flat[stops[at[p]] : stops[at[p] + 1]] for p in ps])
-            for ws in split:
-                yield np.frombuffer(b"".join([*map(remembered.__getitem__, ws), end]), kind)
-
-    def merge_flat(self, pieces: list[str], kind: np.dtype) -> tuple[bytes, list[int]]:
-        """All pieces' ids as one string of bytes, and where each piece's start in it."""
-        raws = [p.encode() for p in pieces]
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        counts, found = np.zeros(len(raws), np.int64), []
-        for some, ids in self.merged_blocks(raws, sizes):
-            counts[some] = (ids != _PAD).sum(1)
-            found.append((some, ids))
-        long = {x: self.merge(self.byte_ids(pieces[x])) for x in np.flatnonzero(sizes > WIDTHS[-1]).tolist()}
-        for x, ids in long.items():
-            counts[x] = len(ids)
-        stops = np.concatenate([[0], np.cumsum(counts)])
-        flat = np.zeros(stops[-1], kind)
-        for some, ids in found:
-            left = ids != _PAD
-            n = left.sum(1)
-            flat[np.repeat(stops[some] - np.cumsum(n) + n, n) + np.arange(n.sum())] = ids[left]
-        for x, ids in long.items():
-            flat[stops[x] : stops[x + 1]] = ids
-        return flat.tobytes(), (stops * kind.itemsize).tolist()
+        self.units, self.pool = Units(), Pool(self.kind)
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of the rows in them) for runs of rows; with end_id, one closes each row."""
+        for row, data, offsets in texts_of(column):
+            if len(self.units) > KNOWN_PIECES:
+                self.forget()
+            low, starts, sizes, whole = segments(data, offsets)
+            codes, new = self.units.codes(low, starts, sizes)
+            self.learn(low, starts[new], sizes[new], whole[new])
+            ids, counts = self.pool.of(codes)
+            at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[np.searchsorted(starts, offsets)]
+            if end_id is not None:
+                wide = ids if end_id <= np.iinfo(self.kind).max else ids.astype("<u4")
+                ids, at = np.insert(wide, at[1:], end_id), at + np.arange(len(at))
+            yield row, ids, at
+
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for _, ids, at in self.encode_column(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())):
+            yield from (ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by single spaces; unknown ids vanish."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        return joined(self.names, np.array(ids, np.int64), np.array([0, len(ids)])).to_pylist()[0]
+
+
+def joined(pool: Pool, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The pool's strings for the ids of each row, which close with a space each, without the last space."""
+    flat, sizes = pool.of(ids)
+    stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[at]
+    filled = stops[1:] > stops[:-1]
+    keep = np.ones(len(flat), bool)
+    keep[stops[1:][filled] - 1] = False
+    stops[1:] -= np.cumsum(filled)
+    flat = flat[keep]
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(stops), pa.py_buffer(flat)])
 
 
 _built: dict[bytes, WordBpe] = {}
@@ -353,11 +419,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         with quiet_gc():
             bpe = worker_bpe(raw.value)
             for batch in batches:
-                ids, decoded = [], []
-                for a, b in bpe.encode_texts(batch.column(1).to_pylist()):
-                    ids.append(a)
-                    decoded.append(b)
-                counts = [x.count(" ") + 1 if x else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
+                for row, ids, at in bpe.encode_column(batch.column(1)):
+                    some = batch.column(0).slice(row, len(at) - 1)
+                    texts = [joined(pool, ids, at).cast(pa.string()) for pool in (bpe.digits, bpe.names)]
+                    yield pa.RecordBatch.from_arrays([some, pa.array(np.diff(at)), *texts], names=names)
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string")

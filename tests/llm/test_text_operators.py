@@ -7,13 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stackroom.llm import bpe, language, lm, packing, quality
+from stackroom.llm import bpe, language, lm, packing, quality, units
 from stackroom.llm.queries import subword_vocabulary, word_tokenizer
 
 
@@ -34,16 +35,38 @@ ODD = st.text(alphabet=list("abAZ'sdé́ßΣİ \x1c\x1f\x85\xa0ﬁ中🙂0٣½\n
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD, max_size=8))
 def test_bpe_equals_library(own, library, texts):
-    for text, (ids, decoded), packed in zip(texts, own.encode_texts(texts), own.encode_ids(texts, 1)):
+    column = pa.array(texts, pa.string())
+    got = [ids[a:b] for _, ids, at in own.encode_column(column) for a, b in zip(at, at[1:])]
+    decoded = [d for _, ids, at in own.encode_column(column) for d in bpe.joined(own.names, ids, at).to_pylist()]
+    packed = [ids[a:b].tolist() for _, ids, at in own.encode_column(column, 1) for a, b in zip(at, at[1:])]
+    assert len(got) == len(decoded) == len(packed) == len(texts)
+    for text, ids, line, closed in zip(texts, got, decoded, packed):
         want = library.encode(text, add_special_tokens=False)
-        assert [int(x) for x in ids.split()] == want.ids == packed.tolist()[:-1] and packed[-1] == 1
-        assert decoded == library.decode(want.ids, skip_special_tokens=False) == own.decode(want.ids)
+        assert ids.tolist() == want.ids == closed[:-1] and closed[-1] == 1
+        assert line == library.decode(want.ids, skip_special_tokens=False) == own.decode(want.ids)
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abcdefinth", min_size=1, max_size=400))
 def test_blocks_of_trees_equal_one_tree(own, word):
-    assert own.merge_many([word])[0][0] == " ".join(map(str, own.merge(own.byte_ids(word))))
+    flat, counts = own.merge_flat(np.frombuffer(word.encode(), np.uint8), np.array([len(word)]))
+    assert flat.tolist() == own.merge(own.byte_ids(word)) and counts.tolist() == [len(flat)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abAB \x00\t\n\xa0é漢", max_size=40), max_size=12), st.integers(1, 40))
+def test_units_number_the_words(texts, most):
+    table, seen = units.Units(), {}
+    for row, data, offsets in units.texts_of(pa.array(["", *texts], pa.string()).slice(1), most):
+        low = units.lowered(data)
+        starts, sizes, at = units.words(low, offsets)
+        want = [t.encode().lower().split() for t in texts[row : row + len(offsets) - 1]]
+        assert [low[a : a + n].tobytes() for a, n in zip(starts, sizes)] == [w for ws in want for w in ws]
+        assert np.diff(at).tolist() == [len(ws) for ws in want]
+        codes, new = table.codes(low, starts, sizes)
+        for i, (c, w) in enumerate(zip(codes.tolist(), [w for ws in want for w in ws])):
+            assert (i in new) == (w not in seen) and seen.setdefault(w, c) == c
+    assert sorted(seen.values()) == list(range(len(table)))
 
 
 def test_bpe_rows(docs, no_docs, library):
