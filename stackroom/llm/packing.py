@@ -139,10 +139,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             at, held, keys, tokens, id_type = TaskContext.get().partitionId() << 32, 0, [], [], None
             for batch in batches:
                 id_type = batch.schema.field(0).type
-                for key, got in zip(batch.column(0).to_pylist(), bpe.encode_ids(batch.column(1).to_pylist(), end_id)):
-                    keys.append(key)
-                    tokens.append(got)
-                    held += len(got)
+                batch_keys = batch.column(0).to_pylist()
+                for row, ids, stops in bpe.encode_column(batch.column(1), end_id):
+                    keys += batch_keys[row : row + len(stops) - 1]
+                    tokens += [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                    held += len(ids)
                     if held >= SHARD_TOKENS:
                         out, at = packed(keys, tokens, id_type, at)
                         yield from out
