@@ -1,64 +1,76 @@
 """Language-model scoring with a causal self-attention model, trained in numpy on subword ids.
 
 Words (between ASCII white space, A-Z lowered) are cut into ids of a public byte-level BPE vocabulary, each word with
-a space before it; one end id closes a text. Decoding gives the words back, so the ids' probability is the text's.
+a space before it; one end id closes a text. An id either opens a word (it begins with the space, or is the end) or
+goes on with one.
 
-The model predicts the class of the next id: one of the HEAD most frequent ids of the training texts, or "other",
-which is then shared out by the corpus counts of the other ids (plus one). A class's logit is its bigram log-odds,
-counted over all training texts, plus what one masked self-attention layer and one hidden layer over the last WINDOW
-ids add. These layers are trained by rounds of local Adam: each task trains on its own stretches of text (each of
-them in one of the rounds, by a hash) and the parameters are averaged by a grouped sum.
+The model. One masked self-attention layer and a hidden layer over the last WINDOW ids give, before each next id, the
+log-odds that a word opens (added to those counted after the last id), and the weights of experts. TOPICS experts are
+distributions over all ids; the last one goes by the id before, counted between classes of ids. Each expert adds up to
+one over the ids that open and over those that go on, so the model adds up to one over all next ids, at a cost that
+doesn't depend on the number of ids.
 
-The probability of a word is a mixture: MIX of its share among all training words and ends, the rest
-what the model gives to its ids after all ids before them.
+Training. The layers learn by local Adam per task, and the tasks' parameters are averaged; topics learn by expectation
+maximization, whose counts, like those between classes, are added up over all tasks. A start on a bounded sample
+(START_IDS ids, in one task) tells the topics apart; then every training text trains once, in one of ROUNDS rounds.
+
+The probability of a word is that of its first id, times a mixture: the word's share among the training words that
+begin with this id, and the probability of its further ids and that the word then ends. The lexicon's weight is one
+less the share of words seen once among those (Good and Turing's estimate of unseen mass). Both parts add up to one
+over the words that begin with an id, so a text's score is the log of a probability.
 
 Scoring cuts a text into windows of WINDOW ids that overlap by CONTEXT, and scores each id once, in the window where
 it has at least CONTEXT ids before it (or the text's start); windows of many texts make one batch.
 
 Also given: the add-one unigram score over whole words. For both, counts of the HEAD_WORDS most frequent words go to
-all tasks; the others meet their counts by a shuffled join.
+all tasks; the others meet their counts by a shuffled join, so every training word counts.
 
 Defined results: a null text is the empty text, whose one token is its end. Rows are numbered, not keyed, so null or
 repeated ids pass through. Ties in frequency go by id or word. Without training texts N = V = 0 and the model is
-uniform. An empty table gives an empty table.
+near uniform. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, portions, quiet_gc, small_batches, text_or_empty, written
+from .common import checkpoint, quiet_gc, small_batches, text_or_empty, written
+from .units import PADDING, Pool, Units, lowered, spans, texts_of, words
 
-HEAD, DIM, HIDDEN = 256, 32, 64
+#: Classes of ids: the most frequent ids, then all others that open a word, and all others that go on with one.
+HEAD = 1022
+OPENING, GOING = HEAD, HEAD + 1
+CLASSES = HEAD + 2
+TOPICS, DIM, HIDDEN = 16, 8, 16
+EXPERTS = TOPICS + 1
 WINDOW, CONTEXT = 32, 8
-#: Rounds, which share out all stretches of text; words in a stretch.
-ROUNDS, STRETCH = 2, 24
-BATCH, RATE = 16, 4e-3
-#: Class weights are exponentials read off the bits of a float: linear between powers of two, within 6 %, and cheap.
-#: They are normalized as they are, so class probabilities add up to one.
-EXP_SCALE, EXP_SHIFT = (1 << 23) / math.log(2), 127 * (1 << 23) - 366_000
-#: Share of the lexicon in the probability of a word.
-MIX = 0.3
-HEAD_WORDS = 65_536
-#: Words remembered by a worker in each of two generations; counts held before they are handed on.
-CACHE_WORDS, HELD = 150_000, 300_000
+#: Windows in a step of Adam, its rate in the start and in the rounds; ids between two sums of counts.
+BATCH, START_RATE, RATE, HELD_IDS = 128, 2e-2, 2e-3, 1 << 17
+START_IDS, START_EPOCHS = 600_000, 4
+#: Each training text is in one of the rounds: of so many parts of the texts, this many.
+ROUNDS, PARTS = (1, 3), 4
+#: Weights of what is known without the id before, or the topic.
+PAIR_PRIOR, TOPIC_PRIOR = 20.0, 20.0
+LEAST_LEXICON, MOST_LEXICON = 0.02, 0.98
+HEAD_WORDS = 131_072
+#: Words remembered by a worker; numbers in one row of a task's sums.
+KNOWN_WORDS, CHUNK = 1_000_000, 1 << 14
+_LN10 = math.log(10)
 #: What the split pattern of this vocabulary is. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Subwords:
-    """Ids of words, remembered. The end id is the first free one."""
+    """Ids of words, remembered by their codes. The end id is the first free one."""
 
     def __init__(self, raw: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
@@ -67,37 +79,45 @@ class Subwords:
         self.opens = np.zeros(self.end + 1, bool)
         for token, i in ranks.items():
             self.opens[i] = token.startswith(b" ")
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for w in words.difference(young):
-            if (got := old.get(w)) is not None:
-                young[w] = got
-            else:
-                new.append(w)
-        ids = np.array(self.coder.encode_ordinary(" " + " ".join([w.decode("utf-8", "surrogatepass") for w in new])) if new else [], np.int64)
-        starts = np.flatnonzero(self.opens[ids]).tolist()
-        if len(starts) == len(new):
-            flat = ids.tolist()
-            for w, a, b in zip(new, starts, [*starts[1:], len(flat)]):
-                young[w] = tuple(flat[a:b])
-        else:  # a word with some other white space inside
-            for w in new:
-                young[w] = tuple(self.coder.encode_ordinary(" " + w.decode("utf-8", "surrogatepass")))
-        return young
-
-    def texts(self, split: list[list[bytes]]) -> list[list[int]]:
-        known = self.learn(set(chain.from_iterable(split)))
-        return [[*chain.from_iterable([known[w] for w in ws]), self.end] for ws in split]
-
-    def lengths(self, split: list[list[bytes]]) -> np.ndarray:
-        """Ids of each word and end of these texts, which `texts` has just seen."""
-        known = self.young
-        return np.array([n for ws in split for n in (*[len(known[w]) for w in ws], 1)], np.int64)
+        self.opens[self.end] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.units, self.pool = Units(), Pool(np.uint16 if self.end < 1 << 16 else np.uint32)
+        self.pool.add(np.array([self.end]), np.array([1]))  # stretch 0 is the end; a word's is its code plus one
+
+    def encode(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and their numbers."""
+        if not some:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = np.array(self.coder.encode_ordinary(" " + b" ".join(some).decode("utf-8", "surrogatepass")), np.int64)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) == len(some):
+            return ids, np.diff(starts, append=len(ids))
+        if len(some) == 1:  # some other white space inside
+            return ids, np.array([len(ids)])
+        half = len(some) // 2
+        (a, n), (b, m) = self.encode(some[:half]), self.encode(some[half:])
+        return np.concatenate([a, b]), np.concatenate([n, m])
+
+    def codes(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words; ids of the new ones are learned. Also which words were new."""
+        codes, new = self.units.codes(low, starts, sizes)
+        for at in range(0, len(new), 1 << 14):
+            part = new[at : at + (1 << 14)]
+            self.pool.add(*self.encode([low[a : a + n].tobytes() for a, n in zip(starts[part].tolist(), sizes[part].tolist())]))
+        return codes, new
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of the rows in them) for runs of rows; the end id closes each row."""
+        for row, data, offsets in texts_of(column):
+            if len(self.units) > KNOWN_WORDS:
+                self.forget()
+            low = lowered(data)
+            starts, sizes, at = words(low, offsets)
+            codes, _ = self.codes(low, starts, sizes)
+            ids, counts = self.pool.of(np.insert(codes + 1, at[1:], 0))
+            yield row, ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[at + np.arange(len(at))]
 
 
 _built: dict[int, Subwords] = {}
@@ -110,100 +130,251 @@ def worker_subwords(raw: bytes) -> Subwords:
     return _built[key]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def init_params(seed: int = 11) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    d, near = DIM, lambda *s: r.normal(0, 1 / math.sqrt(s[0]), s).astype(np.float32)
-    return {"embed": r.normal(0, 0.5, (HEAD + 2, d)).astype(np.float32), "qkv": near(d, 3 * d), "far": np.zeros(WINDOW, np.float32), "out": near(d, d), "up": near(d, HIDDEN), "down": near(HIDDEN, d), "logit": np.zeros((d, HEAD + 1), np.float32), "bias": np.zeros(HEAD + 1, np.float32)}
+    near = lambda *s: r.normal(0, 1 / math.sqrt(s[0]), s).astype(np.float32)
+    return {
+        "embed": r.normal(0, 0.5, (CLASSES, DIM)).astype(np.float32),
+        "qkv": near(DIM, 3 * DIM),
+        "far": np.zeros(WINDOW, np.float32),
+        "out": near(DIM, DIM),
+        "up": near(DIM, HIDDEN),
+        "down": near(HIDDEN, EXPERTS + 1),
+        "bias": np.zeros((CLASSES, EXPERTS + 1), np.float32),
+    }
+
+
+class Facts:
+    """What is counted: classes of ids, their shares, pairs of classes, topics."""
+
+    def __init__(self, single: np.ndarray, opens: np.ndarray):
+        """single: how often each id occurs in the training texts; the last id is the end."""
+        end = len(single) - 1
+        order = np.lexsort((np.arange(end + 1), -single))
+        head = np.sort(np.concatenate([[end], order[order != end][: HEAD - 1]]))
+        self.opens, self.of = opens, np.where(opens, OPENING, GOING).astype(np.int32)
+        self.of[head] = np.arange(len(head))
+        self.class_opens = np.zeros(CLASSES, bool)
+        self.class_opens[: len(head)], self.class_opens[OPENING] = opens[head], True
+        #: Of an id among its kind, and within its class.
+        self.alone, self.share = np.zeros(end + 1), np.ones(end + 1, np.float32)
+        for kind in (opens, ~opens):
+            self.alone[kind] = (single[kind] + 1) / (single[kind] + 1).sum()
+        for c in (OPENING, GOING):
+            rest = self.of == c
+            self.share[rest] = self.alone[rest] / max(1e-300, self.alone[rest].sum())
+        self.class_alone = np.bincount(self.of, self.alone, CLASSES)
+        self.learn(np.zeros((CLASSES, CLASSES)), np.zeros((end + 1, TOPICS)))
+
+    def learn(self, pairs: np.ndarray, topics: np.ndarray) -> None:
+        """pairs: counts of class after class; topics: counts of id by topic."""
+        self.pairs, self.topics = np.zeros((CLASSES, CLASSES), np.float32), np.zeros((len(self.of), TOPICS), np.float32)
+        for c, kind in ((self.class_opens, self.opens), (~self.class_opens, ~self.opens)):
+            n = pairs[:, c] + PAIR_PRIOR * self.class_alone[c]
+            self.pairs[:, c] = n / np.maximum(1e-300, n.sum(1, keepdims=True))
+            n = topics[kind] + TOPIC_PRIOR * self.alone[kind, None]
+            self.topics[kind] = n / n.sum(0)
+        opened, gone = pairs[:, self.class_opens].sum(1), pairs[:, ~self.class_opens].sum(1)
+        mean = (opened.sum() + 1) / (pairs.sum() + 2)
+        self.open_odds = np.log((opened + PAIR_PRIOR * mean) / (gone + PAIR_PRIOR * (1 - mean))).astype(np.float32)
+
+    def part(self, texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12, seed: int = 5) -> None:
+        """Tell the topics apart: expectation maximization over whole texts, each of one topic, from random shares."""
+        text = np.concatenate([np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)) for (_, at), first in zip(texts, np.cumsum([0, *(len(at) - 1 for _, at in texts)]))])
+        n_ids, n_texts = len(self.of), sum(len(at) - 1 for _, at in texts)
+        pair, times = np.unique(text * n_ids + np.concatenate([ids for ids, _ in texts]), return_counts=True)
+        text, ids = np.divmod(pair, n_ids)
+        share = np.random.default_rng(seed).dirichlet(np.full(TOPICS, 0.1), n_texts)
+        for _ in range(rounds):
+            by = np.stack([np.bincount(ids, times * share[text, k], n_ids) for k in range(TOPICS)], axis=1)
+            self.learn(np.zeros((CLASSES, CLASSES)), by)
+            logs, weight = np.log(self.topics), np.log(share.sum(0) + 1)
+            z = np.stack([np.bincount(text, times * logs[ids, k], n_texts) for k in range(TOPICS)], axis=1) + weight
+            share = np.exp(z - z.max(1, keepdims=True))
+            share /= share.sum(1, keepdims=True)
+
+    def experts(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Probability of each id among its kind by each expert; before: the class before it."""
+        out = np.empty((len(ids), EXPERTS), np.float32)
+        np.take(self.topics, ids, axis=0, out=out[:, :TOPICS], mode="clip")
+        np.multiply(np.take(self.pairs.ravel(), before * np.int32(CLASSES) + np.take(self.of, ids)), np.take(self.share, ids), out=out[:, TOPICS])
+        return out
 
 
 _gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _causal = _gap >= 0
+#: Attention weights are exponentials read off the bits of a float: linear between powers of two, and cheap. They are
+#: normalized as they are. Far below, they are zero.
+_EXP_SCALE, _EXP_SHIFT = np.float32((1 << 23) / math.log(2)), np.float32(127 * (1 << 23) - 366_000)
+#: Bounds of the bits: nothing of what comes later, and something of the position itself, so that weights have a sum.
+_most = np.where(_causal, 190 << 23, 0).astype(np.float32)
+_least = np.where(_gap == 0, 64 << 23, 0).astype(np.float32)
 
 
-def forward(p: dict, bigram: np.ndarray, x: np.ndarray, first: np.ndarray, since: int = 0) -> tuple[np.ndarray, dict]:
-    """Logits of the class after each of the inputs x (n, WINDOW) from position `since` on.
+def forward(p: dict, x: np.ndarray, first: np.ndarray | None = None, since: int = 0) -> tuple[np.ndarray, dict]:
+    """Log-odds of the experts, and that a word opens, after each of the classes x (n, WINDOW) from position `since` on.
 
     first: the earliest position of each window that may be attended to.
     """
-    n = len(x)
-    e = p["embed"][x]
-    qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, WINDOW, 3, DIM)
-    q, k, v = qkv[:, since:, 0], qkv[:, :, 1], qkv[:, :, 2]
-    bias = np.where(_causal, p["far"][np.maximum(_gap, 0)], np.float32(-1e9)).astype(np.float32)[since:]
-    s = q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(DIM)) + bias
-    if first.any():
-        s += np.where(np.arange(WINDOW) < first[:, None], np.float32(-1e9), np.float32(0))[:, None]
-    s -= s.max(-1, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(-1, keepdims=True)
+    n, m = len(x), WINDOW - since
+    table = p["embed"] @ p["qkv"]
+    q_table = table[:, :DIM] * (_EXP_SCALE / np.float32(math.sqrt(DIM)))
+    v_table = np.concatenate([table[:, 2 * DIM :], np.ones((CLASSES, 1), np.float32)], axis=1)  # the one adds up the weights
+    k, v = np.take(np.ascontiguousarray(table[:, DIM : 2 * DIM]), x, axis=0), np.take(v_table, x, axis=0)
+    here = x[:, since:].ravel()
+    q = np.take(q_table, here, axis=0).reshape(n, m, DIM)
+    s = q @ k.transpose(0, 2, 1)
+    s += (p["far"][np.maximum(_gap, 0)] * _EXP_SCALE + _EXP_SHIFT).astype(np.float32)[since:]
+    low = _least[since:]
+    if first is not None and first.any():
+        some = np.flatnonzero(first)
+        s[some] -= np.where(np.arange(WINDOW) < first[some, None], np.float32(1e12), np.float32(0))[:, None]
+    np.minimum(s, _most[since:], out=s)
+    a = np.maximum(s, low, out=s).astype(np.int32).view(np.float32)
     mix = a @ v
-    h = e[:, since:] + (mix.reshape(-1, DIM) @ p["out"]).reshape(mix.shape)
-    flat = h.reshape(-1, DIM)
-    up = np.maximum(flat @ p["up"], 0)
-    g = flat + up @ p["down"]
-    z = bigram[x[:, since:].ravel()]
-    z += g @ p["logit"]
-    if "bias" in p:
-        z += p["bias"]
-    return z, {"e": e, "q": q, "k": k, "v": v, "a": a, "mix": mix, "flat": flat, "up": up, "g": g}
-
-
-def log_sums(z: np.ndarray) -> np.ndarray:
-    """Of the exponentials of each row; z is overwritten."""
-    if z.max(initial=0) > 60:
-        top = z.max(-1)
-        z -= top[:, None]
-    else:
-        top = np.float32(0)
-    return top + np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
-
-
-def gradients(p: dict, bigram: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over all positions of full windows x with targets y; y < 0 is no target."""
-    n = len(x)
-    z, c = forward(p, bigram, x, np.zeros(n, np.int64))
-    z -= log_sums(z.copy())[:, None]
-    d = np.exp(z, out=z)
-    flat_y = y.ravel()
-    d[np.arange(len(flat_y)), np.maximum(flat_y, 0)] -= 1
-    d[flat_y < 0] = 0
-    d /= max(1, (flat_y >= 0).sum())
-    out = {"logit": c["g"].T @ d, "bias": d.sum(0)}
-    dg = d @ p["logit"].T
-    out["down"] = c["up"].T @ dg
-    du = dg @ p["down"].T * (c["up"] > 0)
+    total = mix[:, :, DIM:]
+    mix = (mix[:, :, :DIM] / total).reshape(-1, DIM)
+    flat = np.take(p["embed"], here, axis=0)
+    flat += mix @ p["out"]
+    up = flat @ p["up"]
+    np.maximum(up, 0, out=up)
+    z = up @ p["down"]
+    z += np.take(p["bias"], here, axis=0)
+    return z, {"q": q, "k": k, "v": v, "a": a, "total": total, "mix": mix, "flat": flat, "up": up, "n": n, "m": m}
+
+
+_ones = np.ones((EXPERTS, 1), np.float32)
+
+
+def weights(z: np.ndarray) -> np.ndarray:
+    """Of the experts."""
+    g = np.exp(np.clip(z[:, :EXPERTS], -40, 40))
+    g /= g @ _ones
+    return g
+
+
+def gradients(p: dict, facts: Facts, x: np.ndarray, ids: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Of the mean loss over the real positions; the topics' shares in the ids; the loss. x: the classes before the ids."""
+    z, c = forward(p, x)
+    n, m = c["n"], c["m"]
+    flat_x, flat_ids, flat_real = x.ravel(), ids.ravel(), real.ravel()
+    g = weights(z)
+    by = facts.experts(flat_x, flat_ids)
+    by *= g
+    total = by @ _ones
+    by /= total
+    opens = facts.opens[flat_ids]
+    u = z[:, EXPERTS] + facts.open_odds[flat_x]
+    chance = 1 / (1 + np.exp(-u))
+    loss = -float((np.log(total[:, 0]) + np.log(np.where(opens, chance, 1 - chance) + np.float32(1e-30)))[flat_real].sum())
+    d = np.empty_like(z)
+    np.subtract(g, by, out=d[:, :EXPERTS])
+    np.subtract(chance, opens, out=d[:, EXPERTS])
+    d *= (flat_real / np.float32(max(1, flat_real.sum()))).astype(np.float32)[:, None]
+    out = {"down": c["up"].T @ d}
+    du = d @ p["down"].T
+    du *= c["up"] > 0
     out["up"] = c["flat"].T @ du
-    dh = dg + du @ p["up"].T
-    out["out"] = c["mix"].reshape(-1, DIM).T @ dh
-    dmix = (dh @ p["out"].T).reshape(n, WINDOW, DIM)
-    da = dmix @ c["v"].transpose(0, 2, 1)
-    ds = c["a"] * (da - (da * c["a"]).sum(-1, keepdims=True))
-    out["far"] = np.bincount(np.maximum(_gap, 0).ravel(), (ds.sum(0) * _causal).ravel(), WINDOW).astype(np.float32)
-    ds *= np.float32(1 / math.sqrt(DIM))
-    dqkv = np.stack([ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"], c["a"].transpose(0, 2, 1) @ dmix], axis=2).reshape(-1, 3 * DIM)
-    out["qkv"] = c["e"].reshape(-1, DIM).T @ dqkv
-    de = dh + dqkv @ p["qkv"].T
-    order = np.argsort(x.ravel(), kind="stable")
-    at, starts = np.unique(x.ravel()[order], return_index=True)
-    out["embed"] = np.zeros_like(p["embed"])
-    out["embed"][at] = np.add.reduceat(de[order], starts)
-    return out
+    dh = du @ p["up"].T
+    out["out"] = c["mix"].T @ dh
+    dmix = dh @ p["out"].T
+    # The last column of v is one: there goes what the weights' sum takes away.
+    beside = np.concatenate([dmix, -np.einsum("ij,ij->i", dmix, c["mix"])[:, None]], axis=1).reshape(n, m, DIM + 1)
+    a = c["a"]
+    a /= c["total"]
+    da = beside @ c["v"].transpose(0, 2, 1)
+    da *= a
+    out["far"] = np.bincount(np.maximum(_gap, 0).ravel(), (da.sum(0) * _causal).ravel(), WINDOW).astype(np.float32)
+    dqkv = np.empty((n, m, 3 * DIM), np.float32)
+    np.matmul(da, c["k"], out=dqkv[:, :, :DIM])
+    np.matmul(da.transpose(0, 2, 1), c["q"], out=dqkv[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), beside[:, :, :DIM], out=dqkv[:, :, 2 * DIM :])
+    dqkv[:, :, :DIM] *= np.float32(1 / math.sqrt(DIM))
+    dqkv[:, :, DIM : 2 * DIM] /= _EXP_SCALE  # q holds the scale of the exponentials
+    dqkv = dqkv.reshape(-1, 3 * DIM)
+    out["qkv"] = np.take(p["embed"], flat_x, axis=0).T @ dqkv
+    # By class: what reaches its embedding, and its bias.
+    order = np.argsort(flat_x.astype(np.uint16), kind="stable")
+    both = np.concatenate([dqkv @ p["qkv"].T + dh, d], axis=1)
+    at, starts = np.unique(flat_x[order], return_index=True)
+    summed = np.add.reduceat(np.take(both, order, axis=0), starts)
+    out["embed"], out["bias"] = np.zeros_like(p["embed"]), np.zeros_like(p["bias"])
+    out["embed"][at], out["bias"][at] = summed[:, :DIM], summed[:, DIM:]
+    return out, by[:, :TOPICS], loss
 
 
 class Adam:
-    def __init__(self, params: dict):
-        self.t, self.m, self.v = 0, {k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()}
+    def __init__(self, params: dict, rate: float):
+        self.t, self.rate = 0, rate
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
 
     def step(self, params: dict, grads: dict) -> None:
         self.t += 1
+        size = np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            params[k] = (params[k] - RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            params[k] = params[k] - size * m / (np.sqrt(v) + np.float32(1e-7))
+
+
+class Learner:
+    """Trains on windows of texts and sums up what is counted on the way."""
+
+    def __init__(self, params: dict, facts: Facts, rate: float):
+        self.params, self.facts, self.adam = dict(params), facts, Adam(params, rate)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.ids_held, self.seen, self.loss = 0, 0, 0.0
+        self.pairs, self.topics = np.zeros(CLASSES * CLASSES), np.zeros((TOPICS, len(facts.of)))
+        self.done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def texts(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """ids of texts, each closed by its end."""
+        sizes = np.diff(at)
+        counts = -(-sizes // WINDOW)
+        starts = spans(np.zeros(len(sizes), np.int64), counts) * WINDOW
+        lengths = np.minimum(np.repeat(sizes, counts) - starts, WINDOW)
+        place = (np.repeat(at[:-1], counts) + starts)[:, None] + np.arange(WINDOW)
+        real = np.arange(WINDOW) < lengths[:, None]
+        ids = ids.astype(np.int32)
+        before = np.concatenate([[len(self.facts.of) - 1], ids[:-1]])  # a text's end is also the next one's start
+        place = np.minimum(place, len(ids) - 1)
+        x, y = self.facts.of[before[place]], ids[place]
+        self.held.append((x, y, real))
+        self.ids_held += len(x)
+        if self.ids_held >= BATCH:
+            self.learn(BATCH)
+
+    def learn(self, most: int) -> None:
+        x, ids, real = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros((0, WINDOW), np.int32),) * 3
+        stop = len(x) // most * most if most > 1 else len(x)
+        for a in range(0, stop, BATCH):
+            b = min(a + BATCH, stop)
+            grads, by, loss = gradients(self.params, self.facts, x[a:b], ids[a:b], real[a:b])
+            self.adam.step(self.params, grads)
+            ok = real[a:b].ravel()
+            self.done.append((x[a:b].ravel()[ok], ids[a:b].ravel()[ok], by[ok]))
+            self.seen += int(ok.sum())
+            self.loss += loss
+            if len(self.done) * BATCH * WINDOW >= HELD_IDS:
+                self.count()
+        self.held, self.ids_held = [(x[stop:], ids[stop:], real[stop:])], len(x) - stop
+
+    def count(self) -> None:
+        if self.done:
+            before, ids, by = (np.concatenate(c) for c in zip(*self.done))
+            self.pairs += np.bincount(before * CLASSES + self.facts.of[ids], minlength=CLASSES * CLASSES)
+            for k, x in enumerate(np.ascontiguousarray(by.T, np.float64)):
+                self.topics[k] += np.bincount(ids, x, len(self.facts.of))
+            self.done = []
+
+    def close(self) -> None:
+        self.learn(1)
+        self.count()
+
+    def sums(self) -> np.ndarray:
+        """Parameters times ids, ids, pairs, topics: all can be added up over tasks."""
+        return np.concatenate([flat_params(self.params).astype(np.float64) * self.seen, [self.seen], self.pairs, self.topics.ravel()])
 
 
 def flat_params(p: dict) -> np.ndarray:
@@ -218,158 +389,269 @@ def shaped_params(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def corpus_counts(train: DataFrame, raw) -> DataFrame:
-    """(key binary, n): key is 1 and a word, or 0 and two ids one after the other (4 bytes each, big-endian)."""
+def parted(sums: np.ndarray, params: dict) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Averaged parameters, pairs, topics. Without any id, the parameters as they were."""
+    n = flat_params(params).size
+    flat, seen = sums[:n], sums[n]
+    at = n + 1 + CLASSES * CLASSES
+    return (shaped_params(flat / seen) if seen else params), sums[n + 1 : at].reshape(CLASSES, CLASSES), sums[at:].reshape(TOPICS, -1).T
+
+
+def summed(rows: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """The sum of the tasks' vectors of this size, in rows (chunk, x) of doubles: one bounded vector reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(x, np.float64)
+                total[chunk] = total[chunk] + x if chunk in total else x
+        yield chunks_of(total)
+
+    # Twice: first over some tasks' vectors, then over these sums.
+    some = rows.repartition(max(1, tasks), "chunk", F.pmod("task", F.lit(64))).mapInArrow(add, "chunk int, x binary")
+    out = np.zeros(size)
+    for r in some.repartition(max(1, tasks), "chunk").mapInArrow(add, "chunk int, x binary").collect():
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(r.x) // 8] = np.frombuffer(bytes(r.x), np.float64)
+    return out
+
+
+def chunks_of(total: dict[int, np.ndarray], **more) -> pa.RecordBatch:
+    cols = [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())]
+    names = ["chunk", "x"]
+    for name, value in more.items():
+        cols.append(pa.array([value] * len(total), pa.int32()))
+        names.append(name)
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def started(texts: Iterator[tuple[np.ndarray, np.ndarray]], params: dict, facts: Facts) -> Learner:
+    """A learner after START_EPOCHS epochs over the first START_IDS ids; facts change."""
+    held, n = [], 0
+    for ids, at in texts:
+        stop = max(1, int(np.searchsorted(at, START_IDS - n)))  # whole texts, but for one too long
+        held.append((ids[: at[stop]][: 2 * START_IDS], np.minimum(at[: stop + 1], 2 * START_IDS)) if stop < len(at) else (ids, at))
+        n += len(held[-1][0])
+        if n >= START_IDS:
+            break
+    learner = Learner(params, facts, START_RATE)
+    if held:
+        facts.part(held)
+    for k in range(START_EPOCHS if held else 0):
+        learner = Learner(learner.params, facts, START_RATE / (1 + k))
+        for ids, at in held:
+            learner.texts(ids, at)
+        learner.close()
+        facts.learn(learner.pairs.reshape(CLASSES, CLASSES), learner.topics.T)
+    return learner
+
+
+def learned(texts: DataFrame, raw: Broadcast, params: dict, facts: Facts, start: bool = False) -> np.ndarray:
+    """The sums of all tasks' learners over the texts. start: of one task, which learns START_IDS ids again and again."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((params, facts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, words, pairs = worker_subwords(raw.value), Counter(), Counter()
+        coder, (params, facts) = worker_subwords(raw.value), shared.value
+        with quiet_gc():
+            some = (part for batch in batches for _, *part in coder.texts(batch.column(0)))
+            if start:
+                learner = started(some, params, facts)
+            else:
+                learner = Learner(params, facts, RATE)
+                for ids, at in some:
+                    learner.texts(ids, at)
+                learner.close()
+        sums = learner.sums()
+        if learner.seen:
+            yield chunks_of({i: sums[at : at + CHUNK] for i, at in enumerate(range(0, len(sums), CHUNK))}, task=TaskContext.get().partitionId())
+
+    size = flat_params(params).size + 1 + CLASSES * CLASSES + len(facts.of) * TOPICS
+    rows = texts.select("text").mapInArrow(run, "chunk int, x binary, task int")
+    return summed(rows, size, min(-(-size // CHUNK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def train(texts: DataFrame, n_texts: int, raw: Broadcast, single: np.ndarray, opens: np.ndarray) -> tuple[dict, Facts]:
+    """texts: (text, hash) of the training rows; single: counts of their ids."""
+    params, facts = init_params(), Facts(single, opens)
+    if not n_texts:
+        return params, facts
+    # The start: texts by their hash, so many that they hold more than enough ids, in one task.
+    mean = max(1.0, single.sum() / n_texts)
+    share = min(1.0, 2 * START_IDS / mean / n_texts)
+    some = texts.filter(F.xxhash64("hash") % F.lit(1 << 30) <= F.lit(int(share * (1 << 30)))).coalesce(1)
+    params, pairs, topics = parted(learned(some, raw, params, facts, start=True), params)
+    facts.learn(pairs, topics)
+    pairs, topics, first = np.zeros_like(pairs), np.zeros_like(topics), 0
+    for parts in ROUNDS:
+        part = F.col("hash") % F.lit(PARTS)
+        params, p, t = parted(learned(texts.filter((part >= first) & (part < first + parts)), raw, params, facts), params)
+        pairs, topics, first = pairs + p, topics + t, first + parts
+        facts.learn(pairs, topics)
+    return params, facts
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word binary, n) of the words of all texts; the empty word counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, counts, held, rows = Units(), np.zeros(0, np.int64), [], 0
 
         def out() -> pa.RecordBatch:
-            keys = [b"\1" + w for w in words] + [b"\0" + (p >> 32).to_bytes(4, "big") + (p & 0xFFFFFFFF).to_bytes(4, "big") for p in pairs]
-            n = [*words.values(), *pairs.values()]
-            words.clear()
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64())], names=["key", "n"])
+            sizes = np.concatenate([n for _, n in held]) if held else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([binaries(np.concatenate([b for b, _ in held]) if held else np.zeros(0, np.uint8), sizes), pa.array(counts)], names=["word", "n"])
 
-        with quiet_gc():
-            for batch in batches:
-                for texts in portions(batch.column(0).to_pylist()):
-                    split = [words_of(t) for t in texts]
-                    words.update(chain.from_iterable(split))
-                    flat = np.array([*chain.from_iterable(coder.texts(split))], np.int64)
-                    before = np.concatenate([[coder.end], flat[:-1]])  # a text's end is also the next one's start
-                    codes, n = np.unique(before << 32 | flat, return_counts=True)
-                    for c, k in zip(codes.tolist(), n.tolist()):
-                        pairs[c] += k
-                    if len(words) + len(pairs) > HELD:
-                        yield out()
-            yield out()
+        for batch in batches:
+            rows += len(batch)
+            for _, data, offsets in texts_of(batch.column(0)):
+                low = lowered(data)
+                starts, sizes, _ = words(low, offsets)
+                codes, new = units.codes(low, starts, sizes)
+                held.append((low[spans(starts[new], sizes[new])], sizes[new]))
+                more = np.bincount(codes, minlength=len(units))
+                more[: len(counts)] += counts
+                counts = more
+                if len(units) > KNOWN_WORDS:
+                    yield out()
+                    units, counts, held = Units(), np.zeros(0, np.int64), []
+        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([rows])], names=["word", "n"])
+
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return train.select("text").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
-def classes_of(counts: DataFrame, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each id; log10 share of each id within its class; log bigram logits of each class after each class.
 
-    What reaches the driver is a row per id of the vocabulary and per pair of classes.
+def id_counts(counted: DataFrame, raw: Broadcast, end: int) -> np.ndarray:
+    """(ids, 3): how often each id occurs, opens a word, opens a word seen once; from counted words.
+
+    A row per id of the vocabulary at most reaches the driver.
     """
-    pairs = counts.filter(F.substring("key", 1, 1) == F.lit(b"\0"))
-    number = lambda at: F.conv(F.hex(F.substring("key", at, 4)), 16, 10).cast("long")
-    pairs = pairs.select(number(2).alias("a"), number(6).alias("b"), "n")
-    single = np.zeros(end + 1)
-    for r in pairs.groupBy("b").agg(F.sum("n").alias("n")).collect():
-        single[r.b] = r.n
-    head = np.lexsort((np.arange(end + 1), -single))[:HEAD]
-    of = np.full(end + 1, HEAD, np.int64)
-    of[head] = np.arange(HEAD)
-    share = np.zeros(end + 1)
-    tail = of == HEAD
-    share[tail] = np.log10((single[tail] + 1) / (single[tail].sum() + tail.sum()))
-    spark = counts.sparkSession
-    cls = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of) if c < HEAD], "id long, c int")  # HEAD rows
-    got = pairs.join(F.broadcast(cls.toDF("a", "ca")), "a", "left").join(F.broadcast(cls.toDF("b", "cb")), "b", "left").groupBy(F.coalesce("ca", F.lit(HEAD)).alias("ca"), F.coalesce("cb", F.lit(HEAD)).alias("cb")).agg(F.sum("n").alias("n")).collect()
-    table = np.zeros((HEAD + 2, HEAD + 1))
-    for r in got:
-        table[r.ca, r.cb] = r.n
-    table[HEAD + 1] = table[of[end]] if of[end] < HEAD else table[HEAD]  # a text's start
-    one = (table[: HEAD + 1].sum(0) + 1) / (table[: HEAD + 1].sum() + HEAD + 1)
-    return of, share, np.log((table + 20 * one) / (table.sum(1, keepdims=True) + 20)).astype(np.float32)
-
-
-def trains(text_hash: int, stretch: int, number: int) -> bool:
-    """Does this stretch of the text train in this round?"""
-    return (text_hash + stretch) % ROUNDS == number
-
-
-def train_round(train: DataFrame, raw, params: dict, facts, number: int) -> dict:
-    """One round of local training and averaging; parameters are averaged place by place, weighted by windows."""
-    shared = train.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (of, _, bigram) = worker_subwords(raw.value), facts.value
-        mine, held, seen = dict(shared.value), [], 0
-        adam = Adam(mine)
-
-        def learn(most: int) -> int:
-            done = 0
-            while len(held) >= most and held:
-                x, y = (np.stack(c) for c in zip(*held[:BATCH]))
-                del held[:BATCH]
-                adam.step(mine, gradients(mine, bigram, x, y))
-                done += len(x)
-            return done
+        coder, single = worker_subwords(raw.value), np.zeros((end + 1, 3), np.int64)
+        for batch in batches:
+            (ids, sizes), n = coder.encode(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            first = ids[np.cumsum(sizes) - sizes]
+            for k, (some, x) in enumerate(((ids, np.repeat(n, sizes)), (first, n), (first, n == 1))):
+                single[:, k] += np.bincount(some, x, end + 1).astype(np.int64)
+        at = np.flatnonzero(single[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(single[at, k]) for k in range(3))], names=["id", "n", "first", "once"])
+
+    out = np.zeros((end + 1, 3))
+    for r in counted.filter("word <> X''").mapInArrow(run, "id long, n long, first long, once long").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "first", "once"))).collect():
+        out[r.id] = r.n, r.first, r.once
+    return out
 
-        with quiet_gc():
-            for batch in batches:
-                texts, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                stretches = []
-                for t, h in zip(texts, hashes):
-                    ws = words_of(t)
-                    for i in range(0, len(ws), STRETCH):
-                        if trains(h, i // STRETCH, number):
-                            stretches.append((ws[i : i + STRETCH], i == 0, i + STRETCH >= len(ws)))
-                for (_, opens, closes), ids in zip(stretches, coder.texts([s[0] for s in stretches])):
-                    c = of[np.array(ids if closes else ids[:-1], np.int64)]
-                    if opens:
-                        c = np.concatenate([[HEAD + 1], c])
-                    for at in range(0, len(c) - 1, WINDOW):
-                        part = c[at : at + WINDOW + 1]
-                        x, y = np.full(WINDOW, HEAD, np.int64), np.full(WINDOW, -1, np.int64)
-                        x[: len(part) - 1], y[: len(part) - 1] = part[:-1], part[1:]
-                        held.append((x, y))
-                seen += learn(BATCH)
-            seen += learn(1)
-        if seen:
-            flat = flat_params(mine).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["place", "x", "n"])
-
-    rows = train.select("text", "hash").mapInArrow(run, "place int, x double, n long").groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x"))
-    flat = flat_params(params).astype(np.float64)
-    for r in rows.toPandas().itertuples():
-        flat[r.place] = r.x
-    return shaped_params(flat)
+
+class Model:
+    """All that scoring needs, of a size that doesn't grow with the corpus."""
+
+    def __init__(self, params: dict, facts: Facts, single: np.ndarray, n_train: int, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """single: as of `id_counts`."""
+        self.params, self.facts, self.n_train = params, facts, n_train
+        #: By first id: the lexicon's weight, and that weight over the number of training words that begin so.
+        self.lexicon = np.where(single[:, 1] > 0, np.clip(1 - single[:, 2] / np.maximum(1, single[:, 1]), LEAST_LEXICON, MOST_LEXICON), 0.0)
+        self.each = self.lexicon / np.maximum(1, single[:, 1])
+        self.head = head  # bytes end to end, sizes, counts
 
 
 class Scorer:
-    """Queues texts' windows and scores them in batches."""
-
-    def __init__(self, params: dict, of: np.ndarray, share: np.ndarray, bigram: np.ndarray):
-        self.of, self.share = of, share
-        self.params = {k: v for k, v in params.items() if k != "bias"} | {"logit": params["logit"] * EXP_SCALE}
-        self.bigram = ((bigram + params["bias"]) * EXP_SCALE + EXP_SHIFT).astype(np.float32)
-
-    def forward(self, x: np.ndarray, since: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Log-probability of the class goal of each scored position."""
-        z, _ = forward(self.params, self.bigram, x, since, CONTEXT)
-        weights = np.maximum(z, np.float32(1 << 23), out=z).astype(np.int32).view(np.float32)
-        return np.log(weights[np.arange(len(goal)), goal] / (weights @ np.ones(HEAD + 1, np.float32)))
-
-    def score(self, texts: list[list[int]], batch: int = 64) -> np.ndarray:
-        """log10 probability of each id, all texts end to end."""
-        step = WINDOW - CONTEXT
-        inputs, targets, first, flat = [], [], [], []
-        for ids in texts:
-            a = np.array(ids, np.int64)
-            c = self.of[a]
-            flat.append(self.share[a])
-            n = -(-len(c) // step)
-            line = np.full(CONTEXT + n * step, HEAD, np.int64)
-            line[CONTEXT], line[CONTEXT + 1 : CONTEXT + len(c)] = HEAD + 1, c[:-1]
-            goal = np.full(n * step, -1, np.int64)
-            goal[: len(c)] = c
-            inputs.append(np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::step])
-            targets.append(goal)
-            start = np.zeros(n, np.int64)
-            start[0] = CONTEXT
-            first.append(start)
-        if not texts:
-            return np.zeros(0)
-        x, y, since, out = np.concatenate(inputs), np.concatenate(targets), np.concatenate(first), np.concatenate(flat)
-        got = np.zeros(len(y))
-        for at in range(0, len(x), batch):
-            part = slice(at * step, (at + batch) * step)
-            got[part] = self.forward(x[at : at + batch], since[at : at + batch], np.maximum(y[part], 0))
-        return out + got[y >= 0] / math.log(10)
+    """A worker's: ids and counts of the words it knows, and batches of windows."""
+
+    def __init__(self, coder: Subwords, model: Model):
+        self.coder, self.model = Subwords.__new__(Subwords), model
+        self.coder.coder, self.coder.end, self.coder.opens = coder.coder, coder.end, coder.opens
+        self.forget()
+
+    def forget(self) -> None:
+        """Know the most frequent training words only."""
+        self.coder.forget()
+        flat, sizes, counts = self.model.head
+        self.counts = counts.astype(np.float64)
+        self.coder.codes(np.concatenate([flat, np.zeros(PADDING, np.uint8)]), np.cumsum(sizes) - sizes, sizes)
+
+    def windows(self, ids: np.ndarray, at: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Of each id: log of its probability among its kind, and log-odds that a word opens there."""
+        facts, step = self.model.facts, WINDOW - CONTEXT
+        sizes = np.diff(at)
+        counts = -(-sizes // step)
+        starts = spans(np.zeros(len(sizes), np.int64), counts) * step
+        left = np.minimum(np.repeat(sizes, counts) - starts, step)
+        place = np.repeat(at[:-1], counts) + starts
+        first = np.where(starts == 0, CONTEXT, 0)
+        before = facts.of[np.concatenate([[len(facts.of) - 1], ids[:-1]]).astype(np.int64)]
+        line = np.concatenate([np.zeros(CONTEXT, before.dtype), before, np.zeros(step, before.dtype)])
+        seen = np.lib.stride_tricks.sliding_window_view(line, WINDOW)
+        log, odds = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+        for a in range(0, len(place), batch):
+            some = place[a : a + batch]
+            x = seen[some]
+            z, _ = forward(self.model.params, x, first[a : a + batch], CONTEXT)
+            real = (np.arange(step) < left[a : a + batch, None]).ravel()
+            z = z[real]
+            to = spans(some, left[a : a + batch])
+            log[to] = np.log(np.einsum("ij,ij->i", weights(z), facts.experts(before[to], ids[to])))
+            odds[to] = z[:, EXPERTS] + facts.open_odds[before[to]]
+        return log, odds
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each text: tokens, known common tokens, logs of their counts plus one, score without the counts of words
+        that are not common; then those words: how many a text has, where they lie, their bytes, and the log10 of what
+        their probability without a count is in shares of the lexicon."""
+        m = self.model
+        if len(self.coder.units) > KNOWN_WORDS + len(self.counts):
+            self.forget()
+        low = lowered(data)
+        starts, sizes, at = words(low, offsets)
+        codes, _ = self.coder.codes(low, starts, sizes)
+        marked = np.insert(codes + 1, at[1:], 0)  # with the ends
+        ids, counts = self.coder.pool.of(marked)
+        opened = np.cumsum(counts, dtype=np.int64) - counts
+        word_at = at + np.arange(len(at))
+        log, odds = self.windows(ids, np.concatenate([opened, [len(ids)]])[word_at])
+        first, is_end = log[opened].astype(np.float64), marked == 0
+        further = log - np.logaddexp(0, odds)
+        further[opened] = 0
+        after = np.flatnonzero(~is_end)
+        spelled = np.add.reduceat(further, opened).astype(np.float64)
+        spelled[after] -= np.logaddexp(0, -odds[opened[after + 1]])  # the word ends: another one opens, or the text does
+        n = np.where(is_end, m.n_train, 0).astype(np.float64)
+        common = np.zeros(len(marked), bool)
+        common[after] = codes < len(self.counts)
+        n[common] = self.counts[marked[common] - 1]
+        begins = ids[opened]
+        with np.errstate(divide="ignore"):
+            rest = np.log(1 - m.lexicon[begins]) + spelled
+            each = np.log(m.each[begins])
+            total = np.where(is_end, first, first + np.logaddexp(each + np.log(n), rest)) / _LN10
+            ratio = np.maximum(rest - each, -1e4) / _LN10
+        rows = word_at[:-1]
+        rare = np.flatnonzero(~common & ~is_end)
+        lies = np.searchsorted(after, rare)
+        return np.diff(word_at), np.add.reduceat(n > 0, rows, dtype=np.int64), np.add.reduceat(np.log10(n + 1), rows), np.add.reduceat(total, rows), np.searchsorted(rare, word_at), low[spans(starts[lies], sizes[lies])], sizes[lies], np.minimum(ratio[rare], 1e4)
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def head_words(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, sizes and counts of the most frequent words, at most so many; rarer ones never reach the driver."""
+    level = F.floor(F.log2("n") * 32).cast("int")  # some hundred levels, whatever the corpus
+    real = counted.filter("word <> X''").withColumn("level", level)
+    held, least = 0, None
+    for r in sorted(real.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.level):
+        if held + r.words > most:
+            break
+        held, least = held + r.words, r.level
+    if least is None:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = real.filter(F.col("level") >= least).select("word", "n").toArrow().combine_chunks().sort_by([("n", "descending"), ("word", "ascending")])
+    some = got.column("word").to_pylist()
+    return np.frombuffer(b"".join(some), np.uint8), np.array([len(w) for w in some], np.int64), got.column("n").to_numpy()
 
 
 def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,67 +660,41 @@ def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", tex
     small_batches(spark)
     with open(tokenizer, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
-    end = len(raw.value.splitlines())
+    coder = worker_subwords(raw.value)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"), held_out.alias("held_out"), F.pmod(F.xxhash64(docs[id_col], text_or_empty(text_col)), F.lit(1 << 30)).alias("hash"))
-    train = rows.filter("not held_out")
-    counts = checkpoint(corpus_counts(train, raw))
-    facts = spark.sparkContext.broadcast(classes_of(counts, end))
-    params = init_params()
-    for k in range(ROUNDS):
-        params = train_round(train, raw, params, facts, k)
-    words = counts.filter(F.substring("key", 1, 1) == F.lit(b"\1")).select(F.expr("substring(key, 2)").alias("word"), "n")
-    n_train = train.count()
-    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
-    total = n_words + n_train
-    kinds = distinct + (1 if n_train else 0)
-    head = {bytes(r.word): r.n for r in words.orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()}
-    model = spark.sparkContext.broadcast((params, {w: (math.log10(n + 1), n / total) for w, n in head.items()}))
-    end_share = n_train / total if total else 0.0
-    end_known, end_log = (1, math.log10(n_train + 1)) if n_train else (0, 0.0)
-    scale = math.log10(total + 1 * (kinds + 1))
-    names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare", "by_model"]
+    texts = rows.filter("not held_out").select("text", "hash")
+    counted = checkpoint(word_counts(texts))
+    n_words, distinct, n_train = counted.agg(*(F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in ("if(word <> X'', n, 0)", "if(word <> X'', 1, 0)", "if(word = X'', n, 0)"))).head()
+    total, kinds = n_words + n_train, distinct + (1 if n_train else 0)
+    single = id_counts(counted, raw, coder.end)
+    single[coder.end] = n_train, n_train, 0
+    params, facts = train(texts, n_train, raw, single[:, 0], coder.opens)
+    model = spark.sparkContext.broadcast(Model(params, facts, single, n_train, head_words(counted, HEAD_WORDS)))
+    key = f"{spark.sparkContext.applicationId}-{id(model)}"
+    names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (params, logs), row = worker_subwords(raw.value), model.value, TaskContext.get().partitionId() << 33
-        scorer = Scorer(params, *facts.value)
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(worker_subwords(raw.value), model.value)
+        scorer, row = _scorers[key], TaskContext.get().partitionId() << 33
         with quiet_gc():
             for batch in batches:
-                at = 0
-                for texts in portions(batch.column(1).to_pylist(), 1 << 21):
-                    split = [words_of(t) for t in texts]
-                    ids = scorer.score(coder.texts(split))
-                    sizes, starts = coder.lengths(split), np.cumsum([0, *(len(ws) + 1 for ws in split)])[:-1]
-                    by_word = np.add.reduceat(ids, np.cumsum(sizes) - sizes)
-                    common = [[logs.get(w) for w in ws] for ws in split]
-                    share = np.array([x for ws in common for x in (*[c[1] if c else 0.0 for c in ws], end_share)])
-                    with np.errstate(divide="ignore"):
-                        scores = np.add.reduceat(np.logaddexp(np.log(MIX * share), math.log(1 - MIX) + by_word * math.log(10)), starts) / math.log(10)
-                    n, known, sums, rare, by_model = [], [], [], [], []
-                    for ws, found, start in zip(split, common, starts.tolist()):
-                        got = [x[0] for x in found if x]
-                        other = {}
-                        if len(got) < len(ws):
-                            for i, (w, x) in enumerate(zip(ws, found)):
-                                if x is None:
-                                    other.setdefault(w, []).append(float(by_word[start + i]))
-                        n.append(len(ws) + 1)
-                        known.append(len(got) + end_known)
-                        sums.append(sum(got) + end_log)
-                        rare.append(list(other))
-                        by_model.append(list(other.values()))
-                    part = batch.slice(at, len(texts))
-                    cols = [pa.array(np.arange(row, row + len(texts))), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(by_model, pa.list_(pa.list_(pa.float64())))]
+                for at, data, offsets in texts_of(batch.column(1), 1 << 20):
+                    n, known, logs, scores, stops, flat, sizes, ratio = scorer.score(data, offsets)
+                    part = batch.slice(at, len(n))
+                    rare = pa.StructArray.from_arrays([binaries(flat, sizes), pa.array(ratio.astype(np.float32))], ["word", "x"])
+                    cols = [pa.array(np.arange(row, row + len(n))), part.column(0), part.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), rare)]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
-                    at, row = at + len(texts), row + len(texts)
+                    row += len(n)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<binary>, by_model array<array<double>>"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "by_model")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.by_model").alias("by_model"))
-    # What the lexicon adds to the log of (1 - MIX) times the model's probability; far below it, the lexicon is all.
-    odds = F.log10(F.col("n") * F.lit(MIX / (1 - MIX) / max(1, total)))
-    gain = lambda x: F.when(odds - x > 300, odds - x).otherwise(F.log10(F.lit(1.0) + F.pow(F.lit(10.0), F.least(odds - x, F.lit(300.0)))))
-    times = F.size("by_model")
-    found = rare.join(words, "word").groupBy("row").agg(F.sum(times).alias("more"), F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.aggregate("by_model", F.lit(0.0), lambda so_far, x: so_far + gain(x))).alias("gain"))
-    out = scored.drop("rare", "by_model").join(found, "row", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)
+    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,x:float>>"))
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", F.col("w.x").cast("double").alias("x"))
+    # What the lexicon adds to the log of the rest: the log of one plus its share over the rest's.
+    odds = F.log10("n") - F.col("x")
+    gain = F.when(odds > 300, odds).otherwise(F.log10(F.lit(1.0) + F.pow(F.lit(10.0), F.least(odds, F.lit(300.0)))))
+    found = rare.join(counted.filter("word <> X''"), "word").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(gain).alias("gain"))
+    out = scored.drop("rare").join(found, "row", "left")
+    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total + 1 * (kinds + 1)))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
