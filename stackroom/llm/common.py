@@ -8,7 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +69,14 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """Names like those wanted that none of the names clashes with, whatever their case."""
+    taken, mark = {n.lower() for n in names}, ""
+    while any(f"{w}{mark}".lower() in taken for w in wanted):
+        mark += "_"
+    return [f"{w}{mark}" for w in wanted]
+
+
 def doc_hash(col, mod: int):
     """crc32 of the decimal id, modulo mod; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

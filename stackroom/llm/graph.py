@@ -91,12 +91,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, wide: int = 256, every: bool = False) -> DataFrame:
+def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, wide: int = 256, every: bool = False, one: str | None = None) -> DataFrame:
     """(a, b): a star over the linked nodes of each block; without star, a spanning forest of real links, heaviest first,
     or every link.
 
     match(columns of left, columns of right) -> weight of each link, 0 for none.
 
+    one: a column of numbers; for the forest, rows with equal ones are one node, in all groups that a task looks at together.
+
     columns: of the row, given to match as arrays; those of the left side have shape (n, 1) in blocks of over 64 rows.
     """
     keys = [*group, "slot_a", "slot_b"]
@@ -147,7 +149,8 @@ def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], m
                     b = np.flatnonzero(label != np.arange(n))
                     a = label[b]
                 elif not every:
-                    some = forest(a, b, np.concatenate(weights)[keep], n)
+                    roots = np.unique(t.column(one).to_numpy(), return_inverse=True)[1] if one else np.arange(n)
+                    some = forest(roots[a], roots[b], np.concatenate(weights)[keep], n)
                     a, b = a[some], b[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
 

@@ -7,10 +7,11 @@ chain prunes the bucket's pairs before the full Hamming check.
 
 Fingerprints first collapse to classes, so copies never pair up. A bucket of any size is dealt in blocks.
 
-`near_duplicates` goes by the Jaccard similarity of shingle sets instead of a few bits, and finds every link: sets that
-are so similar share one of their first shingles in a common order (prefix filtering), so rows meet by these; sizes and
-the parities of classes of shingles, which bound the difference of two sets, prune; what is left is checked on the
-shingles themselves.
+`near_duplicates` goes by the Jaccard similarity of shingle sets, and finds every link. Pigeonring links of fingerprints
+join most copies first. Then prefix filtering finds what is left: with shingles in one order for all texts, sets that
+are so similar share one of their first ones, so rows meet by these, and the sizes of the sets and the places of the
+shared shingle prune. The order puts frequent shingles last, so that a passage of many texts brings few of them
+together. Links are those pairs whose shingles, compared in full, are similar enough.
 
 Defined results: a null text is empty; a text of fewer words than a shingle is one shingle; no word gives fingerprint
 0, linked like any other. Null ids are never the smallest of a group unless all are null. Repeated rows get the same
@@ -25,17 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import checkpoint, quiet_gc, small_batches, text_or_empty
+from .common import checkpoint, fresh, quiet_gc, small_batches, text_or_empty, written
+from .units import lowered, shingles, spans, texts_of
 
 SEED = 42
 #: Segments of the ring for links of a few bits.
 SEGMENTS = 5
-#: Classes of shingles whose parities bound the difference of two sets: few where rows meet, many for what is left.
-CELLS, WIDE_CELLS = 1024, 8192
+#: Of shingles that a task sees in many texts of a batch, so many are reported; of all reported, so many go last.
+#: Any order gives all links: these bound what the order costs, not what is found.
+REPORTED, FREQUENT = 20_000, 65_536
+#: Rows of one shingle that a slot holds.
+SLOT = 1024
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -59,15 +65,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def parities(distinct: np.ndarray, cells: int = CELLS) -> bytes:
-    """One bit for each of so many classes of hashes: is their number odd?
-
-    Sets differ in at least as many members as these bits do.
-    """
-    odd = np.bincount((distinct & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of each row."""
     small_batches(docs.sparkSession)
@@ -147,100 +144,186 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-6) + 1 if size else 0
 
 
-def node_of(docs: DataFrame, id_col: str, text_col: str):
-    return F.xxhash64(docs[id_col].cast("long"), text_or_empty(text_col))
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits of id and text."""
+    row_id, text = docs[id_col].cast("long"), text_or_empty(text_col)
+    return F.xxhash64(row_id, text), F.xxhash64(F.lit(7), text, row_id)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, id, keep) of each row that shares a group with another: keep is true for the row with the smallest id.
+def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that are in many texts, and how frequent (a level); at most FREQUENT of them."""
 
-    Rows are told apart by `node_of`; rows that repeat id and text are one row.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(node_of(docs, id_col, text_col).alias("node"), docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        with quiet_gc():
+            for batch in batches:
+                for _, data, offsets in texts_of(batch.column(0)):
+                    row, found = shingles(lowered(data), offsets, words)
+                    found = found[distinct(row, found)[0]]
+                    found, n = np.unique(found, return_counts=True)
+                    many = n >= max(4, len(offsets) // 256)
+                    both, at = np.unique(np.concatenate([held[0], found[many]]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([held[1], n[many]])).astype(np.int64)
+                    most = np.sort(np.argsort(-n, kind="stable")[:REPORTED])
+                    held = both[most], n[most]
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["shingle", "n"])
+
+    counts = checkpoint(rows.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n")).cast("int")
+    kept, least = 0, 64
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):  # 63 levels at most
+        if kept + r["count"] > FREQUENT:
+            break
+        kept, least = kept + r["count"], r.level
+    got = counts.filter(level >= least).select("shingle", level.alias("level")).toPandas()
+    found = got["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], got["level"].to_numpy(np.int64)[order]
+
+
+def distinct(row: np.ndarray, found: np.ndarray, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct shingles of each row, by row, then level, then hash; and the rows at these places."""
+    order = np.lexsort((found, row) if level is None else (found, level, row))
+    row, found = row[order], found[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+    return order[new], row[new]
+
+
+def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> DataFrame:
+    """rows (key, more, id, text) with a number of their own (node), the digest and size of the shingle set, its
+    fingerprint, and its first shingles."""
+    names = ["node", "key", "more", "id", "set", "size", "fp", "first"]
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId() << 36
+        known, levels = often.value
         with quiet_gc():
             for batch in batches:
-                sets, sizes, odd, wide, firsts = [], [], [], [], []
-                for t in batch.column(2).to_pylist():
-                    u = np.unique(shingle_hashes(t, words))
-                    sets.append(xxhash.xxh3_128_digest(u.astype("<u8").tobytes()))
-                    sizes.append(len(u))
-                    odd.append(parities(u))
-                    wide.append(parities(u, WIDE_CELLS))
-                    firsts.append(u[: prefix_length(len(u), similarity)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "id", "set", "size", "odd", "wide", "first"])
-
-    marked = checkpoint(rows.mapInArrow(marks, "node long, id long, set binary, size long, odd binary, wide binary, first array<long>"))
-    marked_once = marked.groupBy("node").agg(*(F.min(c).alias(c) for c in ("id", "set")))
+                for at, data, offsets in texts_of(batch.column(3)):
+                    n = len(offsets) - 1
+                    row, found = shingles(lowered(data), offsets, words)
+                    where = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                    level = np.where(known[where] == found, levels[where], 0) if len(known) else np.zeros(len(found), np.int64)
+                    places, row = distinct(row, found, level)
+                    ordered = found[places]
+                    stops = np.searchsorted(row, np.arange(n + 1))
+                    sizes = np.diff(stops)
+                    sets, fps = [], []
+                    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
+                        sets.append(xxhash.xxh3_128_digest(np.sort(ordered[a:b]).tobytes()))
+                        fps.append(fingerprint(ordered[a:b]))
+                    length = np.array([prefix_length(k, similarity) for k in sizes.tolist()], np.int64)
+                    firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ordered[spans(stops[:-1], length)].view(np.int64)))
+                    part = batch.slice(at, n)
+                    cols = [pa.array(np.arange(node, node + n)), part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(np.array(fps, np.uint64).view(np.int64)), firsts]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    node += n
+
+    return written(rows.select("key", "more", "id", "text").mapInArrow(run, "node long, key long, more long, id long, set binary, size int, fp long, first array<long>"))
+
+
+def similar(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, text_a, text_b) whose shingles are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with quiet_gc():
+            for batch in batches:
+                if not len(batch):
+                    continue
+                sides = []
+                for column in (batch.column(2), batch.column(3)):
+                    row, found = [], []
+                    for at, data, offsets in texts_of(column):
+                        r, f = shingles(lowered(data), offsets, words)
+                        row.append(r + at)
+                        found.append(f)
+                    row, found = np.concatenate(row), np.concatenate(found)
+                    places, row = distinct(row, found)
+                    sides.append((row, found[places]))
+                (ra, fa), (rb, fb) = sides
+                row, found = np.concatenate([ra, rb]), np.concatenate([fa, fb])
+                order = np.lexsort((found, row))
+                row, found = row[order], found[order]
+                twice = row[1:][(row[1:] == row[:-1]) & (found[1:] == found[:-1])]
+                both = np.bincount(twice, minlength=len(batch))
+                either = np.bincount(ra, minlength=len(batch)) + np.bincount(rb, minlength=len(batch)) - both
+                yield batch.select([0, 1]).filter(pa.array(both >= similarity * either - 1e-9))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, key, more, id, keep) of each row that shares a group with another: keep is true for one row, of the
+    smallest id. key and more are 128 bits of id and text; node tells rows apart that repeat them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    key, more = row_key(docs, id_col, text_col)
+    rows = docs.select(key.alias("key"), more.alias("more"), docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    marked = marks(rows, words, similarity, spark.sparkContext.broadcast(frequent(rows, words)))
     # Equal sets: one row stands for the others, so a group of copies is one row here.
-    stands = marked.groupBy("set").agg(F.min("node").alias("node"))
-    same = marked_once.join(stands.withColumnRenamed("node", "stand"), "set").filter("node <> stand").select(F.col("stand").alias("a"), F.col("node").alias("b"))
-    classes = marked.select("node", "size", "odd", "first").join(stands.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    # Shingles are sorted by their hashes; only those that are first ones of two rows can be the common one.
-    firsts = classes.select("node", F.explode("first").alias("shingle")).withColumn("times", F.count("node").over(Window.partitionBy("shingle")))
-    shared = checkpoint(firsts.filter("times > 1").select("shingle", "node"))
-    facts = checkpoint(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "size", "odd"))
-    most = (1 - similarity) / (1 + similarity)
+    stands = checkpoint(marked.groupBy("set").agg(F.min("node").alias("node")))
+    classes = marked.join(stands.select("node"), "node", "left_semi")
+    facts = checkpoint(classes.select("node", "key", "more", "size", "fp"))
+
+    def checked(edges: DataFrame) -> DataFrame:
+        """Edges (a, b) that hold on the shingles."""
+        edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        named = facts.join(nodes, "node", "left_semi").select("node", "key", "more")
+        texts = rows.select("key", "more", "text").join(named, ["key", "more"]).groupBy("node").agg(F.first("text").alias("text"))
+        pairs = edges.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return checkpoint(similar(pairs, words, similarity))
+
+    def sizes_fit(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-6
+
+    # Rows of one fingerprint, and of fingerprints that the ring links.
+    leads = checkpoint(facts.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("lead")).select("fp", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")))
+    alike = facts.join(leads, "fp").filter(F.col("node") != F.col("lead")).filter(sizes_fit("size", "lead_size")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    ring_links = close_pairs(leads.select("fp"), 2).filter("a <> b").toDF("fp_a", "fp_b")
+    ring_links = ring_links.join(leads.toDF("fp_a", "a", "size_a"), "fp_a").join(leads.toDF("fp_b", "b", "size_b"), "fp_b").filter(sizes_fit("size_a", "size_b")).select("a", "b")
+    true = checked(alike.unionByName(ring_links))
+
+    # Only shingles that are first ones of two rows can be the common one.
+    firsts = classes.select("node", "size", F.posexplode("first").alias("place", "shingle"))
+    often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    shared = written(firsts.join(often, "shingle"))
 
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        x, y = np.broadcast_arrays(left[0], right[0])
-        near = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (left[2] != right[2])
-        out = np.zeros(near.shape, np.int32)
-        at = np.nonzero(near)
-        if len(at[0]):
-            a, b = (c[1].reshape(-1, CELLS // 8).view(np.uint64) for c in (left, right))
-            ia, ib = (at[0], at[1]) if len(at) == 2 else (at[0], at[0])
-            apart = np.bitwise_count(a[ia] ^ b[ib]).sum(1, dtype=np.int64)
-            out[at] = np.where(apart <= most * (x[at] + y[at]) + 1e-6, CELLS + 1 - apart, 0)
-        return out
+        (x, i, r), (y, j, q) = left, right
+        # If this is the first common shingle, the others come after it in both.
+        most = np.minimum(x - i, y - j)
+        need = similarity / (1 + similarity) * (x + y) - 1e-6
+        return np.where((r != q) & (most >= need), np.maximum(1, 1000 * most // np.maximum(1, need)).astype(np.int32), 0)
 
     def found(roots: DataFrame, every: bool) -> DataFrame:
-        """Pairs of rows of different roots: a spanning forest of each block, or every pair."""
+        """Pairs of rows of different roots: a forest that spans the roots of each block, or every pair."""
         rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        rooted = rooted.join(mixed.select("shingle"), "shingle", "left_semi").join(facts, "node")
-        return graph.links(graph.blocks(rooted, ["shingle"], "node"), ["shingle"], "node", ["size", "odd", "root"], match, star=False, every=every)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.unique(shingle_hashes(ta, words)), np.unique(shingle_hashes(tb, words))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in (3, 4))
-                ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most * batch.column(2).to_numpy() + 1e-6
-                yield batch.select([0, 1]).filter(pa.array(ok))
-
-    def checked(edges: DataFrame) -> DataFrame:
-        wide = marked.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide"))
-        both = edges.join(wide.toDF("a", "size_a", "wide_a"), "a").join(wide.toDF("b", "size_b", "wide_b"), "b")
-        edges = checkpoint(both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "wide_a", "wide_b").mapInArrow(close, "a long, b long"))
-        needed = rows.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        pairs = edges.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return checkpoint(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+        rooted = rooted.join(mixed.select("shingle"), "shingle", "left_semi")
+        return graph.links(graph.blocks(rooted, ["shingle"], "node", SLOT), ["shingle"], "node", ["size", "place", "root"], match, star=False, every=every, one="root")
 
     # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
-    alone = facts.select("node", F.col("node").alias("root"))
-    true = checkpoint(checked(checkpoint(found(alone, False).distinct())).unionByName(same))
+    true = checkpoint(true.unionByName(checked(found(graph.components(true), False))))
     comps = graph.components(true)
-    more = checked(checkpoint(found(comps, True).distinct()))
-    if not more.isEmpty():
-        comps = graph.components(true.unionByName(more))
-    named = checkpoint(comps.join(marked_once.select("node", "id"), "node"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "node")).alias("first"))
-    return named.join(first, "root").select("node", "id", (F.col("node") == F.col("first.node")).alias("keep"))
+    last = checked(found(comps, True))
+    if not last.isEmpty():
+        comps = graph.components(true.unionByName(last))
+    named = marked.select("node", "key", "more", "id", "set").join(stands.withColumnRenamed("node", "stand"), "set").join(comps.select(F.col("node").alias("stand"), "root"), "stand", "left")
+    named = checkpoint(named.select("node", "key", "more", "id", F.coalesce("root", "stand").alias("root")))
+    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "node")
+    first = named.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return named.join(first, "root").select("node", "key", "more", "id", (F.col("node") == F.col("first.node")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near copies of one that stays."""
-    gone = near_duplicates(docs, words, similarity, id_col, text_col).filter("not keep").select(F.col("node").alias("_gone")).distinct()
-    return docs.join(gone, node_of(docs, id_col, text_col) == F.col("_gone"), "left_anti")
+    """docs without the rows that are near copies of one that stays. Of rows that repeat id and text, one stays."""
+    found = checkpoint(near_duplicates(docs, words, similarity, id_col, text_col).groupBy("key", "more").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")))
+    key, more = fresh(docs.columns, "near_key", "near_more")
+    gone = found.filter("not keep").select(F.col("key").alias(key), F.col("more").alias(more))
+    marked = docs.withColumns(dict(zip((key, more), row_key(docs, id_col, text_col))))
+    out = marked.join(gone, [key, more], "left_anti")
+    if not found.filter("keep and n > 1").isEmpty():
+        out = out.dropDuplicates([key, more])
+    return out.select(*docs.columns)

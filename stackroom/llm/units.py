@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Longest string that is kept as two numbers: 15 bytes, and one for the length.
 SHORT = 15
@@ -59,6 +60,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops - starts, np.searchsorted(starts, offsets)
 
 
+def _pair(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 15 bytes and the length (255 at most) of each string, as two numbers."""
+    eight = np.ndarray(len(data) - 7, np.uint64, data, 0, (1,))
+    low = eight[starts] & _KEEP[np.minimum(sizes, 8)]
+    high = eight[np.minimum(starts + 8, len(eight) - 1)] & _KEEP[np.clip(sizes - 8, 0, 7)]
+    return low, high | np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)
+
+
 class Units:
     """Codes 0, 1, ... of byte strings in the order of their first meeting."""
 
@@ -122,10 +131,7 @@ class Units:
 
     def codes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The code of each string, and which strings were the first of a new code, by code."""
-        eight = np.ndarray(len(data) - 7, np.uint64, data, 0, (1,))
-        low = eight[starts] & _KEEP[np.minimum(sizes, 8)]
-        high = eight[np.minimum(starts + 8, len(eight) - 1)] & _KEEP[np.clip(sizes - 8, 0, 7)]
-        high |= np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)
+        low, high = _pair(data, starts, sizes)
         mixed, fresh = self._mix(low, high), []
         out = self._find(low, high, mixed)
         short = sizes <= SHORT
@@ -149,6 +155,31 @@ class Units:
         return out, np.concatenate([*fresh, np.array(later, np.int64)]).astype(np.int64)
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings, the same in every process."""
+    low, high = _pair(data, starts, sizes)
+    out = Units._mix(low, high)
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    return out ^ out >> np.uint64(32)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingles of lowered texts, repeats included: so many words in a row, or all of a shorter text."""
+    starts, sizes, at = words(data, offsets)
+    word = hashes(data, starts, sizes)
+    n = np.diff(at)
+    count = np.where(n >= words_each, n - words_each + 1, np.minimum(n, 1))
+    first = spans(at[:-1], count)
+    out = np.full(len(first), np.uint64(words_each))
+    left = np.repeat(np.minimum(n, words_each), count)
+    for k in range(words_each):
+        here = left > k
+        out[here] = (out[here] ^ word[first[here] + k]) * _A
+        out[here] ^= out[here] >> np.uint64(31)
+    return np.repeat(np.arange(len(n)), count), out * _C ^ left.astype(np.uint64)
+
+
 class Pool:
     """A growing array of numbers, in stretches of given sizes: one for each code."""
 

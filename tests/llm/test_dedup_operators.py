@@ -1,14 +1,16 @@
 """Exact, SimHash and embedding dedup, WARC and chat: against brute force and round trips."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from stackroom.llm import chat, embedding_dedup, exact_dedup, graph, simhash, warc
+from stackroom.llm import chat, embedding_dedup, exact_dedup, graph, simhash, units, warc
 
 
 def groups_of(ids, links):
@@ -121,20 +123,53 @@ def test_near_duplicates_far_in_fingerprint(spark):
     assert kept_of(spark, texts) == {i for i in want if want[i] == i}
 
 
-def test_prefix_and_parities_lose_no_pair():
+def test_prefix_loses_no_pair():
     r = np.random.default_rng(8)
     for _ in range(3000):
         n, m = (int(x) for x in r.integers(1, 60, 2))
         both = r.integers(0, 1 << 63, n, dtype=np.uint64)
         x, y = np.unique(both), np.unique(np.concatenate([both[: n - n // 8], r.integers(0, 1 << 63, m // 8, dtype=np.uint64)]))
         common = len(np.intersect1d(x, y))
-        apart = int(np.bitwise_count(np.frombuffer(simhash.parities(x), np.uint8) ^ np.frombuffer(simhash.parities(y), np.uint8)).sum())
-        wide = int(np.bitwise_count(np.frombuffer(simhash.parities(x, simhash.WIDE_CELLS), np.uint8) ^ np.frombuffer(simhash.parities(y, simhash.WIDE_CELLS), np.uint8)).sum())
-        assert max(apart, wide) <= len(x) + len(y) - 2 * common
         if common >= 0.8 * (len(x) + len(y) - common):
             assert set(x[: simhash.prefix_length(len(x), 0.8)]) & set(y[: simhash.prefix_length(len(y), 0.8)])
 
 
+def test_shingles_equal_one_by_one():
+    texts = ["", "a", "A  b", "a b c d e", "A b c d e f g a b c d e", "x" * 40 + " y z " + "é" * 30 + " q r", "a\u00a0b c", "a b c d e"]
+    for row, data, offsets in units.texts_of(pa.array(texts)):
+        rows, found = units.shingles(units.lowered(data), offsets, 5)
+    names = [" ".join(g) for t in texts for ws in [t.lower().encode().decode().split(" ")] for ws in [[w for w in ws if w]] for g in ([ws[i : i + 5] for i in range(len(ws) - 4)] if len(ws) >= 5 else [ws] if ws else [])]
+    assert len(names) == len(found) and len(set(names)) == len(set(found.tolist())) == len(set(zip(names, found.tolist())))
+    assert Counter(rows.tolist()) == Counter(i for i, t in enumerate(texts) for _ in range(max(min(1, len(t)), len([w for w in t.split(" ") if w]) - 4)))
+
+
+def test_near_duplicates_of_whole_table(spark):
+    """Recall and precision against all pairs that share a shingle, on the documents of sf0.01, by length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, np.unique(simhash.shingle_hashes(r.text or "", 5))) for r in docs.select("doc_id", "text").collect()]
+    where = defaultdict(list)
+    for i, (_, s) in enumerate(rows):
+        for h in s.tolist():
+            where[h].append(i)
+    common = Counter(p for some in where.values() if len(some) > 1 for p in itertools.combinations(some, 2))
+    true = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(rows[i][1]) + len(rows[j][1]) - n)]
+    empty = [i for i, (_, s) in enumerate(rows) if not len(s)]
+    true += list(zip(empty, empty[1:]))
+    got = groups_of(range(len(rows)), true)
+    least = {i: min(rows[k][0] for k in got if got[k] == got[i]) for i in set(got.values())}
+    want = {rows[i][0] for i in got if least[got[i]] == rows[i][0]}
+    assert len(true) > 50 and {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == want
+
+
+def test_near_duplicates_keep_clashing_columns_and_one_of_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text + " x" * (i % 2), "a", "b", "c", "d") for i in (5, 5, 6, 7)] + [(None, None, "a", "b", "c", "d"), (9, "alone here", "k", "l", "m", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_key string, NEAR_MORE string, node string, root string")
+    left = simhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.near_key) for r in left.collect()) == Counter([(5, "a"), (None, "a"), (9, "k")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
