@@ -114,7 +114,8 @@ class Reader:
 
 
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Parse segments, grouped and ordered as `segments` leaves them, into a row per conversation."""
+    """Parse segments into a row per conversation. They have to be grouped and ordered as `segments` leaves them; if a
+    conversation's segments aren't together and in order, an error says so."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     final = template.final
@@ -123,10 +124,13 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, reader = None, None
+        conv, reader, place = None, None, 0
         for batch in batches:
             out = []
-            for c, text, loss, valid in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            for c, at, text, loss, valid in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                place = place + 1 if reader is not None and c == conv else 0
+                if at != place:
+                    raise ValueError(f"segment {at} of conversation {c} isn't where it belongs: sort by conv_id and position within partitions by conv_id")
                 if reader is None or c != conv:
                     if reader is not None:
                         out.append((conv, *reader.row(final)))

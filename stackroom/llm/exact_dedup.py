@@ -19,7 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 
 #: Salts per digest.
 SALTS = 16
@@ -71,11 +71,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text; of rows that repeat the winner's id, text and length, one."""
     found = checkpoint(dedup(docs, id_col, text_col).filter("group_size > 1"))
-    gone = found.filter("not kept").select(F.col(id_col).cast("long").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    row_id, sha, place = fresh(docs.columns, "row_id", "row_sha", "row_place")
+    gone = found.filter("not kept").select(F.col(id_col).cast("long").alias(row_id), F.col("text_sha256").alias(sha)).distinct()
     repeated = found.filter("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
-    sha = F.sha2(normalised(docs[text_col]), 256)
-    out = docs.withColumn("_sha256", sha)
-    out = out.join(gone, out[id_col].cast("long").eqNullSafe(gone["_id"]) & (out["_sha256"] == gone["_sha"]), "left_anti")
+    out = docs.withColumns({row_id: docs[id_col].cast("long"), sha: F.sha2(normalised(docs[text_col]), 256)})
+    out = out.join(gone, out[row_id].eqNullSafe(gone[row_id]) & (out[sha] == gone[sha]), "left_anti")
     if repeated:
-        out = out.withColumn("_place", F.row_number().over(Window.partitionBy(id_col, "_sha256").orderBy(*(F.col(c).cast("string") for c in docs.columns)))).filter("_place = 1")
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(row_id, sha).orderBy(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))).filter(F.col(place) == 1)
     return out.select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quiet_gc, small_batches
+from .common import fresh, quiet_gc, small_batches
 
 #: N-grams in a profile.
 PROFILE = 400
@@ -137,5 +137,6 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
             for texts in parts:
                 yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_found", predict(docs[text_col].cast("string")))
-    return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    (found,) = fresh(docs.columns, "found")
+    out = docs.withColumn(found, predict(docs[text_col].cast("string"))).drop("lang_pred", "score")
+    return out.withColumns({"lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"]}).drop(found)

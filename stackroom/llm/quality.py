@@ -4,9 +4,11 @@ Two logistic models, of low quality and of toxicity, read a document: its words
 shape of its text. They are fitted on at most MAX_TRAIN labelled documents, chosen by a hash of the id.
 
 Sites come in two levels, host and path. Over all labelled documents, grouped aggregation counts good ones a path and
-a host. A host's posterior shrinks towards the global prior and a path's towards its host's, each by a strength found
-by the method of moments from the spread between hosts, so sparse sites say little. The document's evidence, its
-log-odds over the global prior, is then added to the log-odds of its path.
+a host. A host's posterior shrinks towards the global prior and a path's towards its host's, each by a strength of its
+own, found by the method of moments: from the spread between hosts, and from that of paths within hosts. So sparse
+sites say little. The document's evidence, its log-odds over the global prior, is then added to the log-odds of its
+path, or of its host where no document of the path is labelled, or of the prior. A labelled document's own label is
+among those of its site.
 
 Defined results: a null text is the empty text. Documents of a null source share one site. Labels that are null, or
 of no document, teach nothing; repeated labels of a document count once, by their means. Without labels every
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, quiet_gc, small_batches, text_or_empty
+from .common import checkpoint, fresh, quiet_gc, small_batches, text_or_empty
 
 #: Bounds of the fit: labelled documents, and words in the models.
 MAX_TRAIN, MAX_WORDS = 20_000, 2048
 #: Fewest training documents that a word of the model is in.
 MIN_DOCS = 4
 #: Sites up to this many are sent to all tasks; beyond, documents and sites meet by a shuffled join.
-SMALL_SITES = 20_000
+SMALL_SITES, SALTS = 20_000, 16
 KEEP = 0.5
 PREFIXES = (3, 5, 7)
 #: A feature of the shape counts as spread out by at least LEAST_SPREAD, and as FAR deviations from the mean at most.
@@ -159,24 +161,38 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def sites(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(path, path_logit, host, host_logit) of every labelled path, and the global share of good documents."""
+def sites(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(path, path_logit) and (host, host_logit) of every labelled path and host, and the global share of good documents."""
     marked = labelled(docs, labels, [host_of(docs["source"]).alias("host"), path_of(docs["source"]).alias("path")])
     good = (1 - F.col("low")) * (1 - F.col("toxic"))
     paths = checkpoint(marked.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(good).alias("good")))
-    hosts = checkpoint(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")))
-    total = hosts.agg(F.sum("host_n"), F.sum("host_good"), F.sum(F.col("host_good") ** 2 / F.col("host_n")), F.sum(F.col("host_n") ** 2), F.count(F.lit(1))).head()
-    if not total[0]:
-        return paths.select("path", F.lit(0.0).alias("path_logit")), 0.5
-    n, m = total[0], (total[1] + 1) / (total[0] + 2)
-    # Method of moments: the spread between hosts beyond what counting alone gives.
-    spread = total[2] - total[1] ** 2 / n
-    spare = max(1e-9, n - total[3] / n)
-    between = max(1e-9, (spread - (total[4] - 1) * m * (1 - m)) / spare)
-    k = min(1e6, max(2.0, m * (1 - m) / between - 1))
-    host_post = (k * m + F.col("host_good")) / (k + F.col("host_n"))
-    out = paths.join(hosts, "host").withColumn("h", host_post).withColumn("p", (k * F.col("h") + F.col("good")) / (k + F.col("n")))
-    return out.select("path", logit(F.col("p")).alias("path_logit")), m
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum(F.col("good") ** 2 / F.col("n")).alias("split"), F.sum(F.col("n") ** 2).alias("squares"), F.count(F.lit(1)).alias("parts"))
+    hosts = checkpoint(hosts)
+    share = F.col("host_good") ** 2 / F.col("host_n")
+    t = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good"), F.sum(share).alias("split"), F.sum(F.col("host_n") ** 2).alias("squares"), F.count(F.lit(1)).alias("parts"), F.sum(F.col("split") - share).alias("within"), F.sum(F.col("parts") - 1).alias("free"), F.sum(F.col("host_n") - F.col("squares") / F.col("host_n")).alias("spare")).head()
+    m = (t.good + 1) / (t.n + 2) if t.n else 0.5
+
+    def strength(spread: float, free: float, spare: float) -> float:
+        """How many documents the level above counts for, by the spread beyond what counting alone gives."""
+        between = max(1e-9, (spread - free * m * (1 - m)) / max(1e-9, spare)) if spare > 1e-9 else 1e-9
+        return min(1e6, max(2.0, m * (1 - m) / between - 1))
+
+    host_k = strength(t.split - t.good**2 / t.n, t.parts - 1, t.n - t.squares / t.n) if t.n else 2.0
+    path_k = strength(t.within, t.free, t.spare) if t.n else 2.0
+    hosts = hosts.select("host", ((host_k * m + F.col("host_good")) / (host_k + F.col("host_n"))).alias("h"))
+    paths = paths.join(hosts, "host").select("path", logit((path_k * F.col("h") + F.col("good")) / (path_k + F.col("n"))).alias("path_logit"))
+    return paths, hosts.select("host", logit(F.col("h")).alias("host_logit")), m
+
+
+def at_sites(docs: DataFrame, key: Column, table: DataFrame, value: str) -> DataFrame:
+    """docs with the table's value for their key. Beyond SMALL_SITES rows both sides are salted, as a site may be hot."""
+    spread, (site, salt) = docs, fresh([*docs.columns, value], "site", "salt")
+    table = checkpoint(table.toDF(site, value))
+    if table.limit(SMALL_SITES + 1).count() <= SMALL_SITES:
+        return docs.withColumn(site, key).join(F.broadcast(table), site, "left").drop(site)
+    spread = docs.withColumns({site: key, salt: F.floor(F.rand(7) * SALTS).cast("int")})
+    table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(table, [site, salt], "left").drop(site, salt)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -195,12 +211,12 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
             for texts in parts:
                 yield pd.DataFrame([chances(known.value, t) for t in texts], columns=["p_low", "p_toxic"])
 
-    by_path, prior = sites(docs, labels)
-    by_path = checkpoint(by_path.select(F.col("path").alias("_path"), "path_logit"))
-    by_path = F.broadcast(by_path) if by_path.limit(SMALL_SITES + 1).count() <= SMALL_SITES else by_path
-    out = docs.withColumn("_path", path_of(docs["source"])).join(by_path, "_path", "left").withColumn("_p", judge(text_or_empty("text")))
+    paths, hosts, prior = sites(docs, labels)
+    path, host, found = fresh([*docs.columns, *new], "path_logit", "host_logit", "found")
+    out = at_sites(docs, path_of(docs["source"]), paths, path)
+    out = at_sites(out, host_of(out["source"]), hosts, host).withColumn(found, judge(text_or_empty("text")))
     fit_prior = math.log(min(1 - 1e-6, max(1e-6, model["good"])) / (1 - min(1 - 1e-6, max(1e-6, model["good"]))))
-    p_good = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (1 - F.col("_p.p_low")) * (1 - F.col("_p.p_toxic"))))
-    z = logit(p_good) - F.lit(fit_prior) + F.coalesce("path_logit", F.lit(math.log(prior / (1 - prior))))
+    p_good = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (1 - F.col(found)["p_low"]) * (1 - F.col(found)["p_toxic"])))
+    z = logit(p_good) - F.lit(fit_prior) + F.coalesce(path, host, F.lit(math.log(prior / (1 - prior))))
     score = 1 / (1 + F.exp(-z))
-    return out.select(*docs.columns, F.col("_p.p_low").alias("p_low"), F.col("_p.p_toxic").alias("p_toxic"), score.alias("quality_score"), (score >= keep).alias("kept"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(found)["p_low"].alias("p_low"), F.col(found)["p_toxic"].alias("p_toxic"), score.alias("quality_score"), (score >= keep).alias("kept"))

@@ -1,9 +1,13 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Each record is a gzip member of its own, whose extra field holds the member's offset in the archive. The reader's
-tasks get byte ranges: a task scans its range for gzip magic, accepts a candidate if the member starts with a WARC
-version line (and names this very offset, where it names one, so that an archive inside a payload is no record), and
-owns the records that start in its range, reading past its end for the last. A damaged member is skipped.
+tasks get byte ranges: a task scans its range for gzip magic, accepts a candidate if the member's decoded header is
+one of a WARC record (and the member names this very offset, where it names one, so that an archive inside a payload is
+no record), and owns the records that start in its range, reading past its end for the last.
+
+Nothing is lost in silence: an archive has to begin with a record, and each record to be followed by another one or by
+the archive's end, which the task that owns it checks. A damaged member raises an error, or is skipped with
+strict=False.
 
 Archives are written by tasks under names of their own, and only those that a finished task reports are read, so a
 task that is run again leaves at most a file that nobody reads.
@@ -37,6 +41,10 @@ MIN_REVISIT = 1000
 SPLIT = 8 << 20
 #: An archive is closed once it holds so many bytes.
 ROLL = 256 << 20
+#: Longest header that the reader looks through.
+MAX_HEADER = 1 << 20
+#: Groups of equal payloads up to this many are sent to all tasks; beyond, pages meet them by a salted join.
+SMALL_GROUPS, SALTS = 50_000, 16
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,10 +54,15 @@ def assign(pages: DataFrame) -> DataFrame:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"))
     size = F.octet_length("payload")
     groups = rows.filter(size >= MIN_REVISIT).select("page_id", F.sha2("payload", 256).alias("key")).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    # Short payloads get a key of their own, so that they don't meet in one task.
-    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
-    keyed = rows.withColumn("key", F.when(size >= MIN_REVISIT, F.sha2("payload", 256)).otherwise(own))
-    return keyed.join(groups, "key", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    groups = checkpoint(groups)
+    keyed = rows.withColumn("key", F.when(size >= MIN_REVISIT, F.sha2("payload", 256)))
+    if groups.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS:
+        found = keyed.join(F.broadcast(groups), "key", "left")
+    else:  # short payloads get a key of their own and large groups are salted, so that they don't meet in one task
+        own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = keyed.withColumns({"key": F.coalesce("key", own), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")}).join(salted, ["key", "salt"], "left")
+    return found.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def record_id(page_id: int | None) -> str:
@@ -123,15 +136,26 @@ class Window:
 
 
 def starts_record(w: Window, offset: int) -> bool:
+    """Does a gzip member start here whose decoded header is that of a WARC record?"""
     head = w.at(offset, 512)
     if not head.startswith(_MAGIC):
         return False
     if len(head) > 24 and head[3] & 4 and head[12:16] == b"WO\x08\0" and struct.unpack("<Q", head[16:24])[0] != offset:
         return False
+    gz, text, at = zlib.decompressobj(31), b"", offset
     try:
-        return zlib.decompressobj(31).decompress(head, 16).startswith(b"WARC/1.")
+        while b"\r\n\r\n" not in text and not gz.eof and len(text) < MAX_HEADER and head:
+            text += gz.decompress(head, 1 << 12)
+            while gz.unconsumed_tail and b"\r\n\r\n" not in text and len(text) < MAX_HEADER:
+                text += gz.decompress(gz.unconsumed_tail, 1 << 12)
+            if not text.startswith(b"WARC/1."[: len(text)]):
+                return False
+            at += len(head)
+            head = w.at(at, 1 << 12)
     except zlib.error:
         return False
+    fields = {line.partition(b":")[0].lower() for line in text.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]}
+    return text.startswith(b"WARC/1.") and {b"warc-type", b"warc-record-id", b"content-length"} <= fields
 
 
 def inflate(w: Window, offset: int) -> tuple[bytes, int] | None:
@@ -149,11 +173,14 @@ def inflate(w: Window, offset: int) -> tuple[bytes, int] | None:
     return b"".join(out), at
 
 
-def scan(file, start: int, end: int) -> Iterator[bytes]:
-    """Contents of the records that start in [start, end)."""
-    w, at = Window(file), start
-    while at < end:
+def scan(file, start: int, end: int, strict: bool = False) -> Iterator[bytes]:
+    """Contents of the records that start in [start, end). strict: see to it that none is lost."""
+    w, at, size = Window(file), start, file.size()
+    sure = strict and start == 0 < size  # a record has to be here
+    while at < end or (sure and at < size):
         if not starts_record(w, at):
+            if sure:
+                raise ValueError(f"no record at byte {at}, where one has to be")
             # Magic may straddle two chunks: they overlap by two bytes.
             part = w.at(at + 1, min(1 << 16, end - at + 1))
             found = part.find(_MAGIC)
@@ -164,12 +191,16 @@ def scan(file, start: int, end: int) -> Iterator[bytes]:
             else:
                 at += len(part) - 1
             continue
+        if at >= end:
+            return  # the next range's
         got = inflate(w, at)
         if got is None:
+            if strict:
+                raise ValueError(f"the record at byte {at} is damaged")
             at += 1
             continue
         yield got[0]
-        at = got[1]
+        at, sure = got[1], strict
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -178,7 +209,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("Content-Length", len(rest)))]
 
 
-def read(archives: DataFrame, folder: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
+def read(archives: DataFrame, folder: str, split: int = SPLIT, payloads: bool = True, strict: bool = True) -> DataFrame:
     """page_id, url, record_type, payload (null for a revisit), payload_bytes, payload_digest, refers_to of each record."""
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("size")).alias("end")).repartition(F.xxhash64("path", "start"))
@@ -202,7 +233,7 @@ def read(archives: DataFrame, folder: str, split: int = SPLIT, payloads: bool =
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(f"{base}/{path}") as file:
                     rows = []
-                    for raw in scan(file, start, end):
+                    for raw in scan(file, start, end, strict):
                         rows.append(row(raw))
                         if len(rows) == 500:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

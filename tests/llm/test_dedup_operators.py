@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stackroom.llm import chat, embedding_dedup, exact_dedup, graph, simhash, units, warc
 
@@ -244,6 +245,29 @@ def test_warc_reader_skips_damage_and_nested_archives(tmp_path):
         assert got == ["0", "1", "2"]
     hurt = data[: at[1] + 30] + b"\xff\xff\xff" + data[at[1] + 33 :]
     assert [warc.parse(x)[0]["X-Page-Id"] for x in warc.scan(File(hurt), 0, len(hurt))][-1] == "2"
+    # Strict readers lose nothing in silence, whatever is hurt and wherever ranges are cut.
+    for cuts in ([0, len(data)], [0, at[1] + 40, at[2] + 1, len(data)], list(range(0, len(data), 50)) + [len(data)]):
+        assert len([x for a, b in zip(cuts, cuts[1:]) for x in warc.scan(File(data), a, b, True)]) == 3
+        for bad in (hurt, b"\0" + data[1:], data[: at[2]] + b"\0" + data[at[2] + 1 :], data[:-9], data[: at[1]] + b"junk" + data[at[1] :]):
+            with pytest.raises(ValueError):
+                [x for a, b in zip(cuts, [*cuts[1:-1], len(bad)]) for x in warc.scan(File(bad), a, b, True)]
+
+
+def test_warc_groups_beyond_the_small_bound(spark, monkeypatch):
+    big = "y" * 1500
+    df = spark.createDataFrame([(i, f"u{i}", big if i % 2 else f"{big}{i % 3}") for i in range(30)] + [(50, "u", "small"), (51, "u", "small")], "page_id long, url string, html string")
+    want = sorted((r.page_id, r.refers_to) for r in warc.assign(df).collect())
+    monkeypatch.setattr(warc, "SMALL_GROUPS", 0)
+    assert sorted((r.page_id, r.refers_to) for r in warc.assign(df).collect()) == want
+
+
+def test_read_back_refuses_other_orders(spark):
+    df = spark.createDataFrame([(i, t, "user", "x") for i in range(3) for t in range(4)], "conv_id long, turn long, role string, text string")
+    parts = chat.segments(df).cache()
+    with pytest.raises(Exception, match="isn't where it belongs"):
+        chat.read_back(parts.coalesce(1).sortWithinPartitions(F.desc("position"))).collect()
+    again = chat.read_back(parts.repartition("conv_id").sortWithinPartitions("conv_id", "position"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chat.read_back(parts).collect()))
 
 
 def test_chat_round_trip(spark):

@@ -159,9 +159,66 @@ def test_quality_learns_and_shrinks(spark, no_docs):
     assert sum(a == b for a, b in held) / len(held) > 0.97 and got[None] is not None and got[901].kept
     assert quality.classify(d, l.limit(0)).filter("kept").count() == d.count()
     assert quality.classify(no_docs.select("doc_id", "text", "source"), l).count() == 0
-    sites, prior = quality.sites(d, spark.createDataFrame([(i, 0 if i % 5 == 1 else 1, 0) for i in range(100)], "doc_id long, quality int, toxic int"))
-    post = {r.path: r.path_logit for r in sites.collect()}
+    marks = [(i, 0 if i % 5 == 1 else 1, 0) for i in range(100)]
+    paths, hosts, prior = quality.sites(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    post, host_post = {r.path: r.path_logit for r in paths.collect()}, {r.host: r.host_logit for r in hosts.collect()}
     assert 0.7 < prior < 0.9 and max(v for k, v in post.items() if k.startswith("host1")) < 0 < min(v for k, v in post.items() if not k.startswith("host1"))
+    assert host_post["host1"] < 0 < host_post["host0"]
+
+
+def test_sites_equal_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, "", f"https://h{(h := r.randrange(6))}/p{(p := r.randrange(4))}/x?y") for i in range(400)]
+    marks = [(i, int(r.random() < 0.2 + 0.12 * int(s[9]) + (0.2 if s[12] == "1" else 0)), int(r.random() < 0.05)) for i, _, s in rows if i % 4]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    paths, hosts, prior = quality.sites(d, l)
+    n, g = Counter(), Counter()
+    for i, q, t in marks:
+        path = rows[i][2][8:13]
+        n[path] += 1
+        g[path] += q * (1 - t)
+    hn, hg, parts = Counter(), Counter(), Counter()
+    for k in n:
+        hn[k[:2]] += n[k]
+        hg[k[:2]] += g[k]
+        parts[k[:2]] += 1
+    total, good = sum(n.values()), sum(g.values())
+    m = (good + 1) / (total + 2)
+    k_of = lambda spread, free, spare: min(1e6, max(2.0, m * (1 - m) / max(1e-9, (spread - free * m * (1 - m)) / spare) - 1))
+    host_k = k_of(sum(hg[h] ** 2 / hn[h] for h in hn) - good**2 / total, len(hn) - 1, total - sum(x * x for x in hn.values()) / total)
+    path_k = k_of(sum(g[k] ** 2 / n[k] for k in n) - sum(hg[h] ** 2 / hn[h] for h in hn), sum(parts.values()) - len(parts), sum(hn[h] - sum(n[k] ** 2 for k in n if k[:2] == h) / hn[h] for h in hn))
+    host = {h: (host_k * m + hg[h]) / (host_k + hn[h]) for h in hn}
+    path = {k: (path_k * host[k[:2]] + g[k]) / (path_k + n[k]) for k in n}
+    logit = lambda x: math.log(x / (1 - x))
+    assert prior == pytest.approx(m)
+    assert {r.host: r.host_logit for r in hosts.collect()} == pytest.approx({h: logit(x) for h, x in host.items()})
+    assert {r.path: r.path_logit for r in paths.collect()} == pytest.approx({k: logit(x) for k, x in path.items()})
+
+
+def test_sites_join_is_the_same_beyond_the_small_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"h{i % 3}") for i in range(50)] + [(99, None)], "doc_id long, source string")
+    sites = spark.createDataFrame([("h0", 1.5), ("h1", -2.0)], "a string, b double")
+    want = sorted(map(tuple, quality.at_sites(docs, F.col("source"), sites, "found").collect()))
+    monkeypatch.setattr(quality, "SMALL_SITES", 0)
+    assert sorted(map(tuple, quality.at_sites(docs, F.col("source"), sites, "found").collect())) == want
+
+
+def test_language_distance_equals_brute_force(spark):
+    texts = [("aa", "banana bandana band"), ("aa", "cabana banal"), ("bb", "krk trk prk zrk"), ("bb", "krk krt")]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string")
+
+    def ranks(some, size=language.PROFILE):
+        n = Counter(g.tolist()[0] if hasattr(g, "tolist") and g.ndim else int(g) for t in some for g in language.grams(t))
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+    profiles = {k: ranks([t for q, t in texts if q == k]) for k in ("aa", "bb")}
+    assert {k: [int(g) for g in v] for k, v in language.learn(docs).items()} == profiles
+    ask = ["bananas", "krk", "xyz banana krk", "a"]
+    for r in language.identify(spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string"), profiles).collect():
+        own = ranks([r.text])
+        far = {k: sum(abs(p.index(g) - i) if g in p else language.PROFILE for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert r.lang_pred == best and r.score == pytest.approx(1 - far[best] / (language.PROFILE * len(own)))
 
 
 def toy_facts(n=40, seed=1):
