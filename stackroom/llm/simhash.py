@@ -9,9 +9,9 @@ Fingerprints first collapse to classes, so copies never pair up. A bucket of any
 
 `near_duplicates` goes by the Jaccard similarity of shingle sets, and finds every link. Pigeonring links of fingerprints
 join most copies first. Then prefix filtering finds what is left: with shingles in one order for all texts, sets that
-are so similar share one of their first ones, so rows meet by these, and the sizes of the sets and the places of the
-shared shingle prune. The order puts frequent shingles last, so that a passage of many texts brings few of them
-together. Links are those pairs whose shingles, compared in full, are similar enough.
+are so similar share one of their first ones, so rows meet by these; sizes and the parities of classes of shingles,
+which bound the difference of two sets, prune. The order puts frequent shingles last, so that a passage of many texts
+brings few of them together. Links are those pairs whose shingles, compared in full, are similar enough.
 
 Defined results: a null text is empty; a text of fewer words than a shingle is one shingle; no word gives fingerprint
 0, linked like any other. Null ids are never the smallest of a group unless all are null. Repeated rows get the same
@@ -41,7 +41,11 @@ SEGMENTS = 5
 #: Any order gives all links: these bound what the order costs, not what is found.
 REPORTED, FREQUENT = 20_000, 65_536
 #: Rows of one shingle that a slot holds.
-SLOT = 1024
+SLOT = 4096
+#: Classes of shingles whose parities bound the difference of two sets.
+CELLS = 1024
+#: Rows whose texts are to be compared: up to so many, their keys go to all tasks, and no other text is moved.
+SMALL_NEEDED = 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -65,6 +69,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def parities(distinct: np.ndarray) -> bytes:
+    """One bit for each class of hashes: is their number odd? Sets differ in at least as many members as these bits do."""
+    odd = np.bincount((distinct & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of each row."""
     small_batches(docs.sparkSession)
@@ -192,8 +202,8 @@ def distinct(row: np.ndarray, found: np.ndarray, level: np.ndarray | None = None
 
 def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> DataFrame:
     """rows (key, more, id, text) with a number of their own (node), the digest and size of the shingle set, its
-    fingerprint, and its first shingles."""
-    names = ["node", "key", "more", "id", "set", "size", "fp", "first"]
+    fingerprint and parities, and its first shingles."""
+    names = ["node", "key", "more", "id", "set", "size", "fp", "odd", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId() << 36
@@ -209,18 +219,19 @@ def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> D
                     ordered = found[places]
                     stops = np.searchsorted(row, np.arange(n + 1))
                     sizes = np.diff(stops)
-                    sets, fps = [], []
+                    sets, fps, odd = [], [], []
                     for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
                         sets.append(xxhash.xxh3_128_digest(np.sort(ordered[a:b]).tobytes()))
                         fps.append(fingerprint(ordered[a:b]))
+                        odd.append(parities(ordered[a:b]))
                     length = np.array([prefix_length(k, similarity) for k in sizes.tolist()], np.int64)
                     firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ordered[spans(stops[:-1], length)].view(np.int64)))
                     part = batch.slice(at, n)
-                    cols = [pa.array(np.arange(node, node + n)), part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(np.array(fps, np.uint64).view(np.int64)), firsts]
+                    cols = [pa.array(np.arange(node, node + n)), part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), firsts]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     node += n
 
-    return written(rows.select("key", "more", "id", "text").mapInArrow(run, "node long, key long, more long, id long, set binary, size int, fp long, first array<long>"))
+    return written(rows.select("key", "more", "id", "text").mapInArrow(run, "node long, key long, more long, id long, set binary, size int, fp long, odd binary, first array<long>"))
 
 
 def similar(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -264,14 +275,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     # Equal sets: one row stands for the others, so a group of copies is one row here.
     stands = checkpoint(marked.groupBy("set").agg(F.min("node").alias("node")))
     classes = marked.join(stands.select("node"), "node", "left_semi")
-    facts = checkpoint(classes.select("node", "key", "more", "size", "fp"))
+    facts = written(classes.select("node", "key", "more", "size", "fp", "odd"))
 
     def checked(edges: DataFrame) -> DataFrame:
         """Edges (a, b) that hold on the shingles."""
         edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = facts.join(nodes, "node", "left_semi").select("node", "key", "more")
-        texts = rows.select("key", "more", "text").join(named, ["key", "more"]).groupBy("node").agg(F.first("text").alias("text"))
+        named = checkpoint(facts.select("node", "key", "more").join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+        some = F.broadcast(named) if named.count() <= SMALL_NEEDED else named
+        texts = rows.select("key", "more", "text").join(some, ["key", "more"]).groupBy("node").agg(F.first("text").alias("text"))
         pairs = edges.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return checkpoint(similar(pairs, words, similarity))
 
@@ -286,23 +297,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     true = checked(alike.unionByName(ring_links))
 
     # Only shingles that are first ones of two rows can be the common one.
-    firsts = classes.select("node", "size", F.posexplode("first").alias("place", "shingle"))
+    firsts = classes.select("node", F.explode("first").alias("shingle"))
     often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
     shared = written(firsts.join(often, "shingle"))
+    most = (1 - similarity) / (1 + similarity)
 
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        (x, i, r), (y, j, q) = left, right
-        # If this is the first common shingle, the others come after it in both.
-        most = np.minimum(x - i, y - j)
-        need = similarity / (1 + similarity) * (x + y) - 1e-6
-        return np.where((r != q) & (most >= need), np.maximum(1, 1000 * most // np.maximum(1, need)).astype(np.int32), 0)
+        (x, a, r), (y, b, q) = left, right
+        near = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (r != q)
+        out = np.zeros(near.shape, np.int32)
+        at = np.nonzero(near)
+        if len(at[0]):
+            ia, ib = (at[0], at[1]) if len(at) == 2 else (at[0], at[0])
+            a, b = (c.reshape(-1, CELLS // 8).view(np.uint64) for c in (a, b))
+            x, y = (c.ravel()[i] for c, i in ((x, ia), (y, ib)))
+            for first in range(0, len(ia), 1 << 18):
+                part = slice(first, first + (1 << 18))
+                apart = np.bitwise_count(a[ia[part]] ^ b[ib[part]]).sum(1, dtype=np.int64)
+                out[tuple(i[part] for i in at)] = np.where(apart <= most * (x[part] + y[part]) + 1e-6, CELLS + 1 - apart, 0)
+        return out
 
     def found(roots: DataFrame, every: bool) -> DataFrame:
         """Pairs of rows of different roots: a forest that spans the roots of each block, or every pair."""
         rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        rooted = rooted.join(mixed.select("shingle"), "shingle", "left_semi")
-        return graph.links(graph.blocks(rooted, ["shingle"], "node", SLOT), ["shingle"], "node", ["size", "place", "root"], match, star=False, every=every, one="root")
+        rooted = rooted.join(mixed.select("shingle"), "shingle", "left_semi").join(facts.select("node", "size", "odd"), "node")
+        return graph.links(graph.blocks(rooted, ["shingle"], "node", SLOT), ["shingle"], "node", ["size", "odd", "root"], match, star=False, every=every, one="root")
 
     # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
     true = checkpoint(true.unionByName(checked(found(graph.components(true), False))))
