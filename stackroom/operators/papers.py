@@ -1,159 +1,245 @@
 """What a paper's text says about itself: abstract, keywords, contents, references, tables.
 
-Each extractor reads one text; `enrich` runs all of them in Arrow batches, one pass, no shuffle. Labels are lists of
-words; the patterns are built from them.
+A text becomes a list of lines, each classified once: which labels it opens with, what follows the label, and whether
+it looks like an entry, a page mark, a table row. Every extractor then works on places in this list. `enrich` runs all
+of them in Arrow batches, one pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import dropwhile, islice, takewhile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from stackroom.session import ship
 
 # Labels as they appear in papers.
-ABSTRACT = ["초록", "국문초록", "영문초록", "한글요약", "국문요약", "영문요약", "요약", "Korean Abstract", "English Abstract", "Abstract", "Summary"]
-STRONG_ABSTRACT = ["초록", "국문초록", "영문초록", "Korean Abstract", "English Abstract", "Abstract"]
-KEYWORDS = ["주제어", "핵심어", "색인어", "중심어", "주요어", "키워드", "Key words", "Keywords", "Key word", "Keyword"]
-AFTER_ABSTRACT = ["서론", "Introduction", "연구방법", "연구배경", "연구문제", "연구목적", "Methods", "Method", "Background", "결론", "Conclusion", *KEYWORDS]
-REFERENCES = ["참고문헌", "참고자료", "References", "Reference", "Bibliography"]
-AFTER_REFERENCES = ["저자정보", "저자소개", "저자", "Author", "부록", "Appendix", "감사", "Acknowledgment", "연락처", "Contact", "Abstract", "초록", "요약", "국문초록", "국문요약", "영문초록", "영문요약"]
-CONTENTS = ["목차", "차례", "Contents", "Content", "Table of Contents"]
-NOISE = [r"^\d+$", r"Vol\.", r"No\.", r"pp?\.", r"20\d{2}", r"19\d{2}", "@", r"Tel[:.]", r"Fax[:.]", "E-?mail", "대학교", "대학원", "학회", "저널", "Journal", "University"]
+LABELS = {
+    "abstract": ["초록", "국문초록", "영문초록", "한글요약", "국문요약", "영문요약", "요약", "Korean Abstract", "English Abstract", "Abstract", "Summary"],
+    "plain abstract": ["초록", "국문초록", "영문초록", "Korean Abstract", "English Abstract", "Abstract"],
+    "keywords": ["주제어", "핵심어", "색인어", "중심어", "주요어", "키워드", "Key words", "Keywords", "Key word", "Keyword"],
+    "body": ["서론", "Introduction", "연구방법", "연구배경", "연구문제", "연구목적", "Methods", "Method", "Background", "결론", "Conclusion"],
+    "references": ["참고문헌", "참고자료", "References", "Reference", "Bibliography"],
+    "back": ["저자정보", "저자소개", "저자", "Author", "부록", "Appendix", "감사", "Acknowledgment", "연락처", "Contact", "Abstract", "초록", "요약", "국문초록", "국문요약", "영문초록", "영문요약"],
+    "contents": ["목차", "차례", "Contents", "Content", "Table of Contents"],
+}
+# Bounds, in characters, lines or entries.
 MIN_ABSTRACT, MAX_ABSTRACT, ANCHOR_WITHIN, MIN_ANCHORED = 50, 2000, 6000, 100
 MAX_ENTRY, MAX_STRAY, MAX_REFERENCES, MAX_CONTENTS = 600, 4, 200, 60
+TABLE_CONTEXT, BLOCK_LINES, LEAST_ENTRIES = 200, 5, 3
+# What marks a line as no prose, and how entries begin.
+NOISE = ["Vol.", "No.", "p.", "pp.", "@", "Tel:", "Tel.", "Fax:", "Fax.", "Email", "E-mail", "대학교", "대학원", "학회", "저널", "Journal", "University"]
+YEAR = r"(?:19|20)\d{2}"
+ENTRY_STARTS = {
+    "number in brackets": r"\[\d+\]",
+    "number and dot": r"\d{1,3}\.",
+    "names, then a year": rf"[가-힣A-Z][가-힣A-Za-z\s,\-]{{2,}}(?:\.\s+\(?{YEAR}|,\s+{YEAR}[,.])",
+    "names in Hangul": r"[가-힣]{2,}(?:,\s*[가-힣]{2,})*\s*(?:외|등)?\s*[,.]",
+    "surname and initial": r"[A-Z][A-Za-z\-]+,\s+[A-Z]",
+}
+CONTENTS_ENTRIES = {
+    "numbered": r"(?:\d+[.)]|[IVXⅠ-Ⅸ가-힣]+[.)]\s)",
+    "leader first": r"[.·\-]{3,}",
+    "page at the end": r".+(?:[.·\-]{3,}|\s{2,})\s*\d+\s*$",
+}
+DECORATION = " \t#*-_<>[]【】()（）"
 
+_ENTRY = re.compile("|".join(f"(?:{x})" for x in ENTRY_STARTS.values()))
+_CONTENTS_ENTRY = re.compile("|".join(f"(?:{x})" for x in CONTENTS_ENTRIES.values()), re.I)
+_NUMBERING = re.compile(r"(?:\d+[.)]|[IVX]+\.)\s+", re.I)
+_HEADING = re.compile(r"\d+[.)]|[A-Z가-힣]{2,}[.)]\s")
+_SQUEEZED = {kind: sorted(("".join(x.lower().split()) for x in labels), key=len, reverse=True) for kind, labels in LABELS.items()}
 
-def _any(labels: list[str]) -> str:
-    """Labels in any spacing between their characters or words, longest first."""
-    loose = lambda s: r"\s*".join(re.escape(c) for c in s if c != " ") if not s.isascii() else r"\s*".join(map(re.escape, s.split()))
-    return "(?:" + "|".join(loose(s) for s in sorted(labels, key=len, reverse=True)) + ")"
 
+def _label(body: str, kind: str) -> int:
+    """Where the longest label of this kind that the line begins with ends, whatever its spacing; 0 if there is none."""
+    places = [i for i, c in enumerate(body[:60]) if not c.isspace()]
+    squeezed = "".join(body[i] for i in places).lower()
+    found = next((x for x in _SQUEEZED[kind] if squeezed.startswith(x)), "")
+    return places[len(found) - 1] + 1 if found else 0
 
-_OPEN, _SHUT = r"^[ \t]*(?:[#*\-]+[ \t]*)?[<\[【(（]?[ \t*_]*", r"[ \t*_]*[>\]】)）]?"
-_FLAGS = re.I | re.M
-_ALONE = re.compile(_OPEN + _any(ABSTRACT) + _SHUT + r"[ \t]*#*[ \t]*$", _FLAGS)
-_COLON = re.compile(_OPEN + _any(ABSTRACT) + r"[ \t*_]*[:：][ \t]*", _FLAGS)
-_OPENLY = re.compile(r"^[ \t]*(?:[#*\-]+[ \t]*)?" + _any(STRONG_ABSTRACT) + r"[ \t]+(?=\S)", _FLAGS)
-_ENDS = re.compile(r"\n\s*(?:[#*\-]+\s*)?(?:\d+[.)]\s+|[IVX]+\.\s+)?" + _any(AFTER_ABSTRACT), re.I)
-_ANCHOR = re.compile(r"^[ \t]*(?:[#*\-]+[ \t]*)?" + _any(KEYWORDS) + r"[ \t*_]*[:：]", _FLAGS)
-_NOISE = re.compile("|".join(NOISE), re.I)
-_WORDS_HERE = re.compile(r"^\s*(?:[#*\-]+\s*)?" + _any(KEYWORDS) + r"\s*[*_]*\s*[:：]\s*[*_]*\s*(\S.*)$", _FLAGS)
-_WORDS_BELOW = re.compile(r"^\s*(?:[#*\-]+\s*)?" + _any(KEYWORDS) + r"\s*[*_]*\s*[:：]?\s*[*_]*\s*$", _FLAGS)
-_CONTENTS = re.compile(r"^\s*" + _any(CONTENTS) + r"\s*$", _FLAGS)
-# What an entry, a page mark and a table look like.
-_ENTRY_OF_CONTENTS = re.compile(r"^(?:\d+[.)]|[IVXⅠ-Ⅸ가-힣]+[.)]\s|[.·\-]{3,}|.+(?:[.·\-]{3,}|\s{2,})\s*\d+\s*$)", re.I)
-_REFERENCES = re.compile(r"^\s*(?:[#*\-]+\s*)?" + _any(REFERENCES) + r"\s*[*_#]*\s*$", _FLAGS)
-_REFERENCES_END = re.compile(r"^\s*(?:[#*\-]+\s*)?" + _any(AFTER_REFERENCES), _FLAGS)
-_REFERENCE = re.compile(r"^(?:\[\d+\]|\d{1,3}\.|[가-힣A-Z][가-힣A-Za-z\s,\-]{2,}(?:\.\s+\(?(?:19|20)\d{2}\)?|,\s+(?:19|20)\d{2}[,.])|[가-힣]{2,}(?:,\s*[가-힣]{2,})*(?:\s*외|\s*등)?\s*[,.]|[A-Z][a-zA-Z\-]+,\s+[A-Z])")
-_PAGE_MARK = re.compile(r"/\s*\d+\s*$|^\s*\d+\s*/")
-_TABLE = re.compile(r"\|[^\n]+\|\n\s*\|[-:| ]+\|\n(?:\|[^\n]+\|\n?)+")
-_LEADER = re.compile(r"(?:[.·]{3,}|\s{2,})\s*\d+\s*$")
 
+@dataclass
+class Line:
+    """A line without the white space around it, and where it and what follows it lie in the text."""
 
-def filled(text: str) -> list[str]:
-    return [s for s in map(str.strip, text.splitlines()) if s]
+    text: str
+    start: int
+    next: int
+    at: dict[str, int] = field(default_factory=dict)
+    body: str = ""
+    shift: int = 0
 
+    def __post_init__(self) -> None:
+        self.body = self.text.lstrip(DECORATION)
+        self.shift = len(self.text) - len(self.body)
 
-def looks_like_contents(text: str) -> bool:
-    lines = filled(text)[:8]
-    return bool(lines) and sum(bool(_LEADER.search(s)) for s in lines) >= max(2, len(lines) // 2)
+    def label(self, kind: str) -> int:
+        if kind not in self.at:
+            self.at[kind] = _label(self.body, kind)
+        return self.at[kind]
+
+    def opens(self, kind: str, numbered: bool = False) -> bool:
+        """Does a label of this kind begin the line, behind decoration (and a number)?"""
+        if numbered and (m := _NUMBERING.match(self.body)):
+            return _label(self.body[m.end() :], kind) > 0
+        return self.label(kind) > 0
+
+    def alone(self, kind: str) -> bool:
+        return self.opens(kind) and not self.body[self.label(kind) :].strip(DECORATION)
+
+    def value(self, kind: str) -> tuple[str, int] | None:
+        """What follows the label and a colon, and its place in the line; None without a colon."""
+        rest = self.body[self.label(kind) :].lstrip(DECORATION) if self.opens(kind) else ""
+        if not rest.startswith((":", "：")):
+            return None
+        said = rest[1:].lstrip()
+        return said, len(self.text) - len(said)
+
+    @property
+    def page_mark(self) -> bool:
+        """A number before or after a slash, as in running heads."""
+        first, _, rest = self.text.partition("/")
+        last = self.text.rpartition("/")[2]
+        return "/" in self.text and (first.strip().isdigit() or (last.strip().isdigit() and rest != ""))
+
+    @property
+    def noise(self) -> bool:
+        low = self.text.lower()
+        return self.text.isdigit() or bool(re.search(YEAR, self.text)) or any(x.lower() in low for x in NOISE)
+
+    @property
+    def leader(self) -> bool:
+        """Dots or a gap, then a number: a line of a table of contents."""
+        digits = self.text.rstrip("0123456789")
+        gap = digits.rstrip()
+        return digits != self.text and (gap[-3:].strip(".·") == "" and len(gap) >= 3 or len(digits) - len(gap) >= 2)
+
+    @property
+    def row(self) -> bool:
+        return len(self.text) > 2 and self.text[0] == self.text[-1] == "|"
+
+    @property
+    def divider(self) -> bool:
+        return self.row and not self.text.strip("|-: ")
+
+
+def lines_of(text: str) -> list[Line]:
+    out, at = [], 0
+    for raw in text.splitlines(keepends=True):
+        out.append(Line(raw.strip(), at + len(raw) - len(raw.lstrip()), at + len(raw)))
+        at += len(raw)
+    return out
+
+
+def first_of(lines: list[Line], start: int, test) -> int:
+    return next((i for i in range(start, len(lines)) if test(lines[i])), len(lines))
+
+
+def ends_abstract(line: Line) -> bool:
+    return line.opens("body", numbered=True) or line.opens("keywords", numbered=True)
+
+
+def prose(body: str, least: int) -> str | None:
+    """The body, cut, if it is long enough and no table of contents."""
+    seen = [x for x in lines_of(body) if x.text][:8]
+    dotted = sum(x.leader for x in seen)
+    return body[:MAX_ABSTRACT] if len(body) >= least and not (seen and dotted >= max(2, len(seen) // 2)) else None
 
 
 def abstract(text: str) -> str | None:
-    """Behind the first header that a fitting text follows, else the paragraph above the keyword line."""
-    headers = sorted((m for p in (_ALONE, _COLON, _OPENLY) for m in p.finditer(text)), key=lambda m: m.start())
-    for header in headers:
-        rest = text[header.end() :]
-        end = _ENDS.search(rest)
-        body = (rest[: end.start()] if end else rest[:MAX_ABSTRACT]).strip().lstrip(":：").strip()
-        if len(body) >= MIN_ABSTRACT and not looks_like_contents(body):
-            return body[:MAX_ABSTRACT]
-    anchor = _ANCHOR.search(text)
-    if not anchor or anchor.start() > ANCHOR_WITHIN:
+    """Behind the first label that fitting prose follows, else the paragraph above the keyword line."""
+    lines = lines_of(text)
+    for i, line in enumerate(lines):
+        said = line.value("abstract")
+        if line.alone("abstract"):
+            start = line.next
+        elif said:
+            start = line.start + said[1]
+        elif line.opens("plain abstract") and line.body[line.label("plain abstract") :][:1].isspace():
+            start = line.start + line.shift + line.label("plain abstract")
+        else:
+            continue
+        stop = first_of(lines, i + 1, ends_abstract)
+        body = text[start : lines[stop].start] if stop < len(lines) else text[start : start + MAX_ABSTRACT]
+        if found := prose(body.strip().lstrip(":：").strip(), MIN_ABSTRACT):
+            return found
+    anchor = first_of(lines, 0, lambda x: x.value("keywords") is not None)
+    if anchor == len(lines) or lines[anchor].start > ANCHOR_WITHIN:
         return None
-    above: list[str] = []
-    for line in map(str.strip, reversed(text[: anchor.start()].splitlines())):
-        if (not line and above) or (line and (_NOISE.search(line) or _ENDS.search("\n" + line))):
-            break
-        if line:
-            above.insert(0, line)
-    body = " ".join(above)
-    return body[:MAX_ABSTRACT] if len(body) >= MIN_ANCHORED and not looks_like_contents(body) else None
+    above = dropwhile(lambda x: not x.text, reversed(lines[:anchor]))
+    paragraph = [x.text for x in takewhile(lambda x: x.text and not x.noise and not ends_abstract(x), above)]
+    return prose(" ".join(reversed(paragraph)), MIN_ANCHORED)
 
 
 def keywords(text: str) -> list[str] | None:
-    """Behind the label, else in the up to five lines below it."""
-    here = _WORDS_HERE.search(text)
-    raw = here[1] if here else ""
-    if not here and (below := _WORDS_BELOW.search(text)):
-        lines: list[str] = []
-        for line in map(str.strip, text[below.end() :].splitlines()[:5]):
-            if (not line and lines) or re.match(r"\d+[.)]|[A-Z가-힣]{2,}[.)]\s", line):
-                break
-            lines += [line] if line else []
-        raw = " ".join(lines)
+    """Behind the label and a colon, else in BLOCK_LINES lines from a label alone on."""
+    lines = lines_of(text)
+    here = first_of(lines, 0, lambda x: bool((x.value("keywords") or ("",))[0].strip(DECORATION)))
+    if here < len(lines):
+        raw = lines[here].value("keywords")[0].lstrip(DECORATION)
+    else:
+        label = first_of(lines, 0, lambda x: x.alone("keywords") or (x.value("keywords") or ("none",))[0].strip(DECORATION) == "")
+        below = islice(dropwhile(lambda x: not x.text, lines[label + 1 :]), BLOCK_LINES - 1)
+        raw = " ".join(x.text for x in takewhile(lambda x: x.text and not _HEADING.match(x.text), below))
     return [w for w in map(str.strip, re.split(r"[,;/，；]", raw)) if w] or None
 
 
 def contents(text: str) -> list[str] | None:
-    """At least three entries below the header, up to the first line that is none, or three blank lines."""
-    header = _CONTENTS.search(text)
-    found: list[str] = []
-    blank = 0
-    for line in map(str.strip, text[header.end() :].splitlines()[: MAX_CONTENTS + 20] if header else ()):
-        blank = 0 if line else blank + 1
-        if blank == 3 or len(found) == MAX_CONTENTS:
-            break
-        if line and _ENTRY_OF_CONTENTS.match(line):
-            found.append(line)
-        elif line and found:
-            break
-    return found if len(found) >= 3 else None
+    """Entries below the label, up to the first line that is none, or a gap of three lines."""
+    lines = lines_of(text)
+    label = first_of(lines, 0, lambda x: x.alone("contents") and x.shift == 0)
+    some = lines[label + 1 : label + 1 + MAX_CONTENTS + 20]
+    entry = np.array([bool(x.text) and bool(_CONTENTS_ENTRY.match(x.text)) for x in some], bool)
+    blank = np.array([not x.text for x in some], bool)
+    stops = [len(some)]
+    stops += np.flatnonzero(blank[2:] & blank[1:-1] & blank[:-2])[:1].tolist() if len(some) > 2 else []
+    stops += np.flatnonzero(~entry & ~blank & (np.cumsum(entry) > 0))[:1].tolist()
+    found = [x.text for x, ok in zip(some[: min(stops)], entry) if ok][:MAX_CONTENTS]
+    return found if len(found) >= LEAST_ENTRIES else None
 
 
 def references(text: str) -> list[str]:
-    """Entries below the last header, wrapped lines joined; by paragraphs where hardly an entry is recognised."""
-    headers = list(_REFERENCES.finditer(text))
-    if not headers:
+    """Entries below the last label, wrapped lines joined; by paragraphs where hardly an entry is recognised."""
+    lines = lines_of(text)
+    labels = [i for i, x in enumerate(lines) if x.alone("references")]
+    if not labels:
         return []
-    rest = text[headers[-1].end() :]
-    if stop := _REFERENCES_END.search(rest):
-        rest = rest[: stop.start()]
-    entries: list[list[str]] = []
-    stray = 0
-    for line in filled(rest):
-        if _PAGE_MARK.search(line):
-            continue
-        if _REFERENCE.match(line):
-            entries.append([line])
-        elif not entries:
-            stray += 1
-            if stray == MAX_STRAY:
-                break
-        elif sum(map(len, entries[-1])) + len(line) > MAX_ENTRY:
-            break
-        else:
-            entries[-1].append(line)
-    found = [" ".join(e) for e in entries]
-    if len(found) < 3:
-        paragraphs = ([s for s in filled(p) if not _PAGE_MARK.search(s)] for p in re.split(r"\n\s*\n", rest.strip()))
-        others = [" ".join(p) for p in paragraphs if p]
-        found = others if len(others) > len(found) else found
+    part = [x for x in lines[labels[-1] + 1 : first_of(lines, labels[-1] + 1, lambda x: x.opens("back"))] if not x.page_mark]
+    some = [x.text for x in part if x.text]
+    begins = np.array([bool(_ENTRY.match(x)) for x in some], bool)
+    starts = np.flatnonzero(begins)
+    found: list[str] = []
+    if len(starts) and starts[0] < MAX_STRAY:
+        length = np.cumsum([len(x) for x in some])
+        group = np.cumsum(begins) - 1
+        within = length - np.concatenate([[0], length])[starts[np.maximum(group, 0)]]
+        stop = min([*np.flatnonzero((group >= 0) & ~begins & (within > MAX_ENTRY)).tolist(), len(some)])
+        found = [" ".join(some[a:min(b, stop)]) for a, b in zip(starts, [*starts[1:], len(some)]) if a < stop]
+    if len(found) < LEAST_ENTRIES:
+        number = np.cumsum([not x.text for x in part])
+        paragraphs = [" ".join(x.text for x, k in zip(part, number) if k == n and x.text) for n in sorted(set(number.tolist()))]
+        found = max(found, [x for x in paragraphs if x], key=len)
     return found[:MAX_REFERENCES]
 
 
 def tables(text: str) -> list[tuple[str, str]]:
     """(context before, markdown) of tables of at least two data rows and two columns."""
-    out = []
-    for m in _TABLE.finditer(text):
-        lines = [s for s in m[0].strip().split("\n") if s.strip()]
-        rows = sum("---" not in s for s in lines) - 1
-        if rows >= 2 and lines[0].count("|") >= 3:
-            out.append((text[max(0, m.start() - 200) : m.start()].strip(), m[0].strip()))
+    lines, out = lines_of(text), []
+    for i, line in enumerate(lines):
+        if not line.divider:
+            continue
+        header = next((x for x in reversed(lines[:i]) if x.text), line)  # blank lines may lie between
+        if header.row and not header.divider:
+            stop = first_of(lines, i + 1, lambda x: not x.row)
+            data = sum("---" not in x.text for x in lines[i + 1 : stop])
+            if data >= 2 and header.text.count("|") >= 3:
+                out.append((text[max(0, header.start - TABLE_CONTEXT) : header.start].strip(), text[header.start : lines[stop - 1].next].strip()))
     return out
 
 

@@ -152,9 +152,9 @@ def ded05_drop_duplicates(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("source", "lang").dropDuplicates()
 
 
-@query("SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0 INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'left', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0 EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 > 0)")
+@query("SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'left', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def set01_intersection_differences(spark, d) -> DataFrame:
-    a, b = table(spark, d, "documents").filter("doc_id % 3 > 0").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     mark = lambda s, df: df.select(F.lit(s).alias("side"), "doc_id")
     return mark("both", a.intersect(b)).unionByName(mark("left", a.subtract(b))).unionByName(mark("right", b.subtract(a)))
 
@@ -170,19 +170,19 @@ def set04_array_intersect(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(F.array_intersect(F.split("text", " "), F.array(*map(F.lit, ("the", "de", "der"))))).alias("n"))
 
 
-@query("""WITH o AS (SELECT doc_id, source AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, 'old' AS state, doc_id % 5 AS a FROM documents WHERE doc_id % 3 > 0),
+@query("""WITH o AS (SELECT doc_id, source AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, 'old' AS state, doc_id % 5 AS a FROM documents),
     n AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'new' END AS title, 'xx' AS lang, 'fresh' AS state FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY toxic DESC) = 1)
     SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.title, o.title) AS title, coalesce(n.lang, o.lang) AS lang, CASE WHEN o.doc_id IS NULL THEN n.state ELSE o.state END AS state, CAST(o.a AS VARCHAR) AS a, CASE WHEN n.doc_id IS NOT NULL THEN n.lang END AS b,
     CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS _change FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def snk01_upsert(spark, d) -> DataFrame:
     i = F.col("doc_id")
-    old = table(spark, d, "documents").filter(i % 3 > 0).select("doc_id", F.col("source").alias("title"), F.when(i % 2 == 0, F.col("lang")).alias("lang"), F.lit("old").alias("state"), F.create_map(F.lit("a"), (i % 5).cast("string")).alias("extra"))
+    old = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.when(i % 2 == 0, F.col("lang")).alias("lang"), F.lit("old").alias("state"), F.create_map(F.lit("a"), (i % 5).cast("string")).alias("extra"))
     new = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "new").alias("title"), F.lit("xx").alias("lang"), F.lit("fresh").alias("state"), F.create_map(F.lit("b"), F.lit("xx")).alias("extra"), F.col("toxic").alias("seq"))
     got = O.upsert(old, new, "doc_id", "seq", protected=("state",), maps=("extra",))
     return got.select("doc_id", "title", "lang", "state", F.col("extra")["a"].alias("a"), F.col("extra")["b"].alias("b"), "_change")
 
 
-@query("SELECT _change, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS _change FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT DISTINCT doc_id FROM labels) n ON o.doc_id = n.doc_id) GROUP BY _change")
+@query("SELECT _change, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS _change FROM (SELECT doc_id FROM documents) o FULL JOIN (SELECT DISTINCT doc_id FROM labels) n ON o.doc_id = n.doc_id) GROUP BY _change")
 def agg09_upsert_counts(spark, d) -> DataFrame:
     return snk01_upsert(spark, d).groupBy("_change").agg(F.count(F.lit(1)).alias("n"))
 
@@ -204,10 +204,10 @@ def snk13_delete_where(spark, d) -> DataFrame:
     return table(spark, d, "documents").filter(~((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0))).select("doc_id", "source")
 
 
-@query("SELECT doc_id, CASE WHEN lang <> 'fr' THEN doc_id % 500 END AS vec_id, CASE WHEN lang <> 'fr' THEN 'embedded' ELSE 'pending' END AS state FROM documents")
+@query("SELECT doc_id, CASE WHEN lang <> 'fr' THEN doc_id % (SELECT count(*) FROM embeddings) END AS vec_id, CASE WHEN lang <> 'fr' THEN 'embedded' ELSE 'pending' END AS state FROM documents")
 def snk14_drop_vectors(spark, d) -> DataFrame:
     stays = F.col("lang") != "fr"
-    return table(spark, d, "documents").select("doc_id", F.when(stays, F.col("doc_id") % 500).alias("vec_id"), F.when(stays, "embedded").otherwise("pending").alias("state"))
+    return table(spark, d, "documents").select("doc_id", F.when(stays, F.col("doc_id") % max(1, table(spark, d, "embeddings").count())).alias("vec_id"), F.when(stays, "embedded").otherwise("pending").alias("state"))
 
 
 @query("SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id = d.doc_id AND length(p.html) = d.n_chars)")

@@ -265,14 +265,14 @@ def jn07_band(spark, d) -> DataFrame:
     return band_join(h, c.select("book_id", "chunk_idx", "doc_id"), ["book_id"], "center", "chunk_idx", 2).select("hit", "doc_id")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def jn09_reconcile(spark, d) -> DataFrame:
-    return reconcile(table(spark, d, "documents").filter("doc_id % 3 > 0"), table(spark, d, "labels"), "doc_id")
+    return reconcile(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT coalesce(d.doc_id, l.doc_id, b.item_id) AS page, length(d.text) AS a, l.quality AS b, length(b.text) AS c FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id FULL JOIN benchmark b ON coalesce(d.doc_id, l.doc_id) = b.item_id""")
+@query("""SELECT coalesce(d.doc_id, l.doc_id, b.item_id) AS page, length(d.text) AS a, l.quality AS b, length(b.text) AS c FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id FULL JOIN benchmark b ON coalesce(d.doc_id, l.doc_id) = b.item_id""")
 def jn10_three_extractors(spark, d) -> DataFrame:
-    a = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("page"), F.length("text").alias("a"))
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.length("text").alias("a"))
     b = table(spark, d, "labels").select(F.col("doc_id").alias("page"), F.col("quality").alias("b"))
     c = table(spark, d, "benchmark").select(F.col("item_id").alias("page"), F.length("text").alias("c"))
     return a.join(b, "page", "full_outer").join(c, "page", "full_outer").select("page", "a", "b", "c")
@@ -314,7 +314,7 @@ def snk03_chunk_id(spark, d) -> DataFrame:
 
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'refs: ' || source WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 9) || '] ' || substr(text, 1, 40) ELSE 'question' END AS context FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'refs: ' || source WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 9) || '] ' || text ELSE 'question' END AS context FROM documents")
 def msc14_chat_context(spark, d) -> DataFrame:
     i = F.col("doc_id")
     page = F.concat(F.lit("[p. "), (i % 9).cast("string"), F.lit("] "), "text")
@@ -329,7 +329,7 @@ def msc15_paper_context(spark, d) -> DataFrame:
     return lines.select("paper", F.md5(F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["place"].cast("string"), F.lit("] "), x["t"])), "\n")).alias("digest"))
 
 
-@query(f"WITH {CHUNKS}, r AS (SELECT book_id, source, text, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS place FROM chunks QUALIFY place <= 5) SELECT book_id, place, '<' || source || '> ' || substr(text, 1, 30) AS line FROM r")
+@query(f"WITH {CHUNKS}, r AS (SELECT book_id, source, text, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS place FROM chunks QUALIFY place <= 5) SELECT book_id, place, '<' || source || '> ' || text AS line FROM r")
 def msc16_answer_context(spark, d) -> DataFrame:
     top = top_per_group(chunks(spark, d).select("book_id", "doc_id", "source", "text"), ["book_id"], ["doc_id"], 5, "place")
     return top.select("book_id", "place", F.concat(F.lit("<"), "source", F.lit("> "), "text").alias("line"))
