@@ -300,6 +300,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     firsts = classes.select("node", F.explode("first").alias("shingle"))
     often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
     shared = written(firsts.join(often, "shingle"))
+    # Shingles of the very same rows say the same: one of them is enough. 128 bits and a count tell sets of rows apart.
+    rows_of = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("two"))
+    shared = written(shared.join(rows_of.groupBy("n", "one", "two").agg(F.min("shingle").alias("shingle")).select("shingle"), "shingle", "left_semi"))
     most = (1 - similarity) / (1 + similarity)
 
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
