@@ -17,6 +17,8 @@ from stackroom.session import ship
 
 #: Rows per Arrow batch. Long documents would make the default of 10,000 rows too large for a worker.
 BATCH_ROWS = 1000
+#: Bytes after which an Arrow batch ends, whatever its rows.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch, and see that the workers have this code."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

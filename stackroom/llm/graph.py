@@ -21,7 +21,11 @@ from .common import checkpoint
 #: Rows of a group that one slot holds.
 BLOCK = 2048
 #: Rows of small groups that are looked at together.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
+#: Pairs of a large block that are matched together.
+PAIRS = 1 << 18
+#: Links that a task holds before it reduces them to a star or a forest, or emits them.
+HELD = 1 << 20
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +95,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, wide: int = 256, every: bool = False, one: str | None = None) -> DataFrame:
+def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], match: Callable[..., np.ndarray], star: bool = True, every: bool = False, one: str | None = None) -> DataFrame:
     """(a, b): a star over the linked nodes of each block; without star, a spanning forest of real links, heaviest first,
     or every link.
 
@@ -116,7 +120,39 @@ def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], m
             gid = np.repeat(np.arange(len(start)), sizes)
             cols = [as_array(t.column(c)) for c in columns]
             slot, diagonal = t.column("slot").to_numpy(), (t.column("slot_a").to_numpy() == t.column("slot_b").to_numpy())
+            ids = t.column(node).to_numpy()
+            roots = np.unique(t.column(one).to_numpy(), return_inverse=True)[1] if one else np.arange(n)
             left, right, weights = [], [], []
+
+            def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """What is needed of the links held: reducing them once more with others gives what all would give."""
+                a, b, w = (np.concatenate(x) for x in (left, right, weights))
+                keep = a != b
+                a, b, w = a[keep], b[keep], w[keep]
+                if star:
+                    label = stars(a, b, n)
+                    b = np.flatnonzero(label != np.arange(n))
+                    return label[b], b, np.ones(len(b), np.int8)
+                if every:
+                    return a, b, w
+                some = forest(roots[a], roots[b], w, n)
+                return a[some], b[some], w[some]
+
+            def put(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for x, y in zip((left, right, weights), (a, b, w)):
+                    x.append(y)
+                if sum(map(len, left)) >= HELD:
+                    got = reduced()
+                    left[:], right[:], weights[:] = [], [], []
+                    if every:
+                        yield named(*got[:2])
+                    else:
+                        for x, y in zip((left, right, weights), got):
+                            x.append(y)
+
+            def named(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
+
             small = np.flatnonzero(sizes[gid] <= 64)
             sub, sub_cols = gid[small], [c[small] for c in cols]
             for lag in range(1, int(sizes[sizes <= 64].max(initial=1))):
@@ -125,34 +161,20 @@ def links(blocked: DataFrame, group: list[str], node: str, columns: list[str], m
                 if len(same):
                     weight = match([c[same] for c in sub_cols], [c[same + lag] for c in sub_cols])
                     hit = same[weight > 0]
-                    weights.append(weight[weight > 0])
-                    left.append(small[hit])
-                    right.append(small[hit + lag])
+                    yield from put(small[hit], small[hit + lag], weight[weight > 0])
             for at in np.flatnonzero(sizes > 64):
                 lo, hi = int(start[at]), int(start[at] + sizes[at])
                 mid = lo if diagonal[lo] else lo + int(np.searchsorted(slot[lo:hi], t.column("slot_b")[lo].as_py()))
                 stop = hi if diagonal[lo] else mid
+                wide = max(1, PAIRS // max(1, sizes[at]))
                 for i in range(lo, stop, wide):
                     j = i if diagonal[lo] else mid
                     k = min(i + wide, stop)
                     hit = match([c[i:k, None] for c in cols], [c[None, j:hi] for c in cols])
                     x, y = np.nonzero(hit)
-                    weights.append(hit[x, y])
-                    left.append(x + i)
-                    right.append(y + j)
+                    yield from put(x + i, y + j, hit[x, y])
             if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                keep = a != b
-                a, b, ids = a[keep], b[keep], t.column(node).to_numpy()
-                if star:
-                    label = stars(a, b, n)
-                    b = np.flatnonzero(label != np.arange(n))
-                    a = label[b]
-                elif not every:
-                    roots = np.unique(t.column(one).to_numpy(), return_inverse=True)[1] if one else np.arange(n)
-                    some = forest(roots[a], roots[b], np.concatenate(weights)[keep], n)
-                    a, b = a[some], b[some]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
+                yield named(*reduced()[:2])
 
     return blocked.select(*dict.fromkeys([*keys, "slot", node, *columns])).mapInArrow(run, "a long, b long")
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ SLOT = 4096
 CELLS = 1024
 #: Rows whose texts are to be compared: up to so many, their keys go to all tasks, and no other text is moved.
 SMALL_NEEDED = 500_000
+#: Bytes of the texts of pairs that are compared together; a longer pair is a run of its own.
+RUN_BYTES = 1 << 22
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -235,31 +238,42 @@ def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> D
 
 
 def similar(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, text_a, text_b) whose shingles are similar enough."""
+    """(a, b) of the pairs (a, b, text_a, text_b) whose shingles are similar enough.
+
+    Pairs are taken in runs of bounded text; a text that several pairs of a run share is cut into shingles once.
+    """
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, data, offsets in texts_of(texts):
+            row, found = shingles(lowered(data), offsets, words)
+            stops = np.searchsorted(row, np.arange(len(offsets)))
+            out += [np.unique(found[i:j]) for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        return out
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        least, most = sorted((len(x), len(y)))
+        if least < similarity * most - 1e-9:
+            return False
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common >= similarity * (least + most - common) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with quiet_gc():
             for batch in batches:
-                if not len(batch):
-                    continue
-                sides = []
-                for column in (batch.column(2), batch.column(3)):
-                    row, found = [], []
-                    for at, data, offsets in texts_of(column):
-                        r, f = shingles(lowered(data), offsets, words)
-                        row.append(r + at)
-                        found.append(f)
-                    row, found = np.concatenate(row), np.concatenate(found)
-                    places, row = distinct(row, found)
-                    sides.append((row, found[places]))
-                (ra, fa), (rb, fb) = sides
-                row, found = np.concatenate([ra, rb]), np.concatenate([fa, fb])
-                order = np.lexsort((found, row))
-                row, found = row[order], found[order]
-                twice = row[1:][(row[1:] == row[:-1]) & (found[1:] == found[:-1])]
-                both = np.bincount(twice, minlength=len(batch))
-                either = np.bincount(ra, minlength=len(batch)) + np.bincount(rb, minlength=len(batch)) - both
-                yield batch.select([0, 1]).filter(pa.array(both >= similarity * either - 1e-9))
+                size = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(size, dtype=np.int64)
+                at = 0
+                while at < len(batch):
+                    stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, "right")))
+                    part = batch.slice(at, stop - at)
+                    named = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
+                    of, index = sets(named.dictionary), named.indices.to_numpy().tolist()
+                    keep = [linked(of[i], of[j]) for i, j in zip(index[: len(part)], index[len(part) :])]
+                    yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    at = stop
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -314,8 +328,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             ia, ib = (at[0], at[1]) if len(at) == 2 else (at[0], at[0])
             a, b = (c.reshape(-1, CELLS // 8).view(np.uint64) for c in (a, b))
             x, y = (c.ravel()[i] for c, i in ((x, ia), (y, ib)))
-            for first in range(0, len(ia), 1 << 18):
-                part = slice(first, first + (1 << 18))
+            for first in range(0, len(ia), 1 << 15):
+                part = slice(first, first + (1 << 15))
                 apart = np.bitwise_count(a[ia[part]] ^ b[ib[part]]).sum(1, dtype=np.int64)
                 out[tuple(i[part] for i in at)] = np.where(apart <= most * (x[part] + y[part]) + 1e-6, CELLS + 1 - apart, 0)
         return out
