@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,8 @@ def parallelism(spark: SparkSession) -> int:
 
 @contextlib.contextmanager
 def quiet_gc():
-    """Large caches of strings make the cycle collector slow; it is off within a task."""
+    """Large caches of strings make the cycle collector slow; it is off within a task. After it, free memory goes back
+    to the system, since a worker lives on beside tasks that need none."""
     on = gc.isenabled()
     gc.disable()
     try:
@@ -99,6 +102,9 @@ def quiet_gc():
     finally:
         if on:
             gc.enable()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def portions(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
