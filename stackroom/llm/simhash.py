@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import checkpoint, fresh, quiet_gc, small_batches, text_or_empty, written
+from .common import checkpoint, free_shuffles, fresh, quiet_gc, small_batches, text_or_empty, written
 from .units import lowered, shingles, spans, texts_of
 
 SEED = 42
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     ring_links = close_pairs(leads.select("fp"), 2).filter("a <> b").toDF("fp_a", "fp_b")
     ring_links = ring_links.join(leads.toDF("fp_a", "a", "size_a"), "fp_a").join(leads.toDF("fp_b", "b", "size_b"), "fp_b").filter(sizes_fit("size_a", "size_b")).select("a", "b")
     true = checked(alike.unionByName(ring_links))
+    free_shuffles(spark)
 
     # Only shingles that are first ones of two rows can be the common one.
     firsts = classes.select("node", F.explode("first").alias("shingle"))
@@ -344,6 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
     true = checkpoint(true.unionByName(checked(found(graph.components(true), False))))
     comps = graph.components(true)
+    free_shuffles(spark)
     last = checked(found(comps, True))
     if not last.isEmpty():
         comps = graph.components(true.unionByName(last))
