@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, language, lm, packing, quality, simhash, warc
+from . import bpe, byte_bpe, chat, embedding_dedup, exact_dedup, language, lm, packing, quality, simhash, warc
 from .common import doc_hash, table
 
 
@@ -74,8 +74,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(extra)))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = byte_bpe.encode(table(spark, sf_dir, "documents"), subword_vocabulary())
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
