@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat, embedding_dedup, exact_dedup, language, lm, packing, quality, simhash, warc
+from . import bpe, byte_bpe, chat, embedding_dedup, exact_dedup, language, lexical, lm, packing, quality, simhash, warc
 from .common import doc_hash, table
 
 
@@ -74,13 +74,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(extra)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = byte_bpe.encode(table(spark, sf_dir, "documents"), subword_vocabulary())
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat, op11_lexical_search, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,4 +100,13 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
             g AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g""",
+        "op11_lexical_search": r"""
+            WITH found AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+            d AS (SELECT doc_id, terms, len(terms) AS n FROM found WHERE len(terms) > 0),
+            total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+            t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+            q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(total.docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, total GROUP BY term),
+            s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total.terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN t USING (term), total GROUP BY ALL)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     }

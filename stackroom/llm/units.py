@@ -155,6 +155,15 @@ class Units:
         return out, np.concatenate([*fresh, np.array(later, np.int64)]).astype(np.int64)
 
 
+    def find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The code of each string, -1 for those that are not there."""
+        low, high = _pair(data, starts, sizes)
+        out = self._find(low, high, self._mix(low, high))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.long.get(data[starts[i] : starts[i] + sizes[i]].tobytes(), -1)
+        return out
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte strings, the same in every process."""
     low, high = _pair(data, starts, sizes)
