@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat, embedding_dedup, exact_dedup, language, lexical, lm, packing, quality, simhash, warc
-from .common import doc_hash, table
+from . import bpe, byte_bpe, chat, embedding_dedup, exact_dedup, language, lexical, lm, packing, quality, simhash, trie, warc
+from .common import doc_hash, small_batches, table, written
 
 
 def word_tokenizer() -> str:
@@ -78,13 +78,18 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return trie.nodes(trie.rebuilt(written(trie.sequences(table(spark, sf_dir, "conversations")))))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = byte_bpe.encode(table(spark, sf_dir, "documents"), subword_vocabulary())
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat, op11_lexical_search, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_warc, op4_language, op5_quality, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_simhash, op10_chat, op11_lexical_search, op12_prefix_trie, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -109,4 +114,19 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(total.docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, total GROUP BY term),
             s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total.terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN t USING (term), total GROUP BY ALL)
             SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+        "op12_prefix_trie": r"""
+            WITH t AS (SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_id, turn FROM conversations WHERE conv_id IS NOT NULL),
+            o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(turn_id, 1, 15)) AS pos FROM t),
+            crc AS (SELECT conv_id, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS v FROM (SELECT DISTINCT conv_id FROM t)),
+            h AS (SELECT conv_id, xor(v, 4294967295) % 4 AS h FROM crc),
+            r AS (SELECT h.conv_id, 0 AS part, pos, turn_id, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.pos <= h.h UNION ALL SELECT h.conv_id, 1, pos, turn_id, text FROM h JOIN o ON o.conv_id = h.conv_id AND o.pos > h.h),
+            s AS (SELECT h.conv_id, coalesce(list(turn_id ORDER BY part, pos) FILTER (turn_id IS NOT NULL), []) AS s, coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY part, pos) FILTER (turn_id IS NOT NULL), []) AS w FROM h LEFT JOIN r ON h.conv_id = r.conv_id GROUP BY h.conv_id),
+            p AS (SELECT conv_id, d AS depth, s[1:d] AS prefix, w[d] AS words, len(s) = d AS ended FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+            n AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM p GROUP BY ALL),
+            c AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+            k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (prefix)),
+            a AS (SELECT prefix[1:d] AS prefix, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum(CASE WHEN depth > 0 THEN (n_convs - 1) * words ELSE 0 END) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM k) GROUP BY ALL)
+            SELECT k.conv_id, k.depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+            FROM k JOIN a USING (prefix) LEFT JOIN n up ON k.depth > 0 AND up.prefix = k.prefix[1:k.depth - 1]""",
     }
