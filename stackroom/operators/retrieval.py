@@ -43,6 +43,19 @@ def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return words.groupBy(key, "token").agg(F.log1p(F.count(F.lit(1))).alias("weight"))
 
 
+def dense_hashed(chunks: DataFrame, key: str = "doc_id", dim: int = 64) -> DataFrame:
+    """key, bucket, value: the part of a dense embedding of length 1 that differs from 0, without a model or Python.
+
+    A token goes to the bucket that its MD5 names, with a sign; equal texts have equal vectors, common tokens pull alike.
+    """
+    words = chunks.select(key, F.explode(tokens(F.col("text"))).alias("token"))
+    name = F.md5(F.col("token").cast("binary"))
+    signed = words.select(key, (F.conv(F.substring(name, 1, 4), 16, 10).cast("long") % dim).cast("int").alias("bucket"), F.when(F.substring(name, 5, 1) < "8", 1.0).otherwise(-1.0).alias("sign"))
+    sums = signed.groupBy(key, "bucket").agg(F.sum("sign").alias("value")).filter("value <> 0")
+    lengths = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_length"))
+    return sums.join(lengths, key).select(key, "bucket", F.round(F.col("value") / F.col("_length"), 6).alias("value"))
+
+
 def sparse_query(text: str, drop: float = CONFIG.drop_ratio) -> dict[str, float]:
     """Token weights of a query, without those below the drop quantile."""
     from math import log1p
