@@ -50,15 +50,22 @@ def recover_stale(items: DataFrame, now: Column) -> DataFrame:
     return items.withColumns({"status": F.when(stale, "failed").otherwise(F.col("status")), "error_group": F.when(stale, "stale").otherwise(F.col("error_group")), "attempt": F.col("attempt") + stale.cast("int"), "recovered": stale})
 
 
-def dispatch(items: DataFrame, high_water: int = CONFIG.high_water, most: int = CONFIG.max_attempts) -> DataFrame:
+def dispatch(items: DataFrame, high_water: int = CONFIG.high_water, most: int = CONFIG.max_attempts, limits: DataFrame | None = None) -> DataFrame:
     """Items to send next, oldest first, as many as each job has free slots; finished ones go straight to done.
 
-    At most high_water rows of a job pass the ranking, which the planner applies within each task first.
+    At most high_water rows of a job pass the ranking, which the planner applies within each task first. limits names
+    jobs (job_id, high_water) with a bound of their own.
     """
     busy = items.filter(F.col("status").isin(IN_FLIGHT)).groupBy("job_id").agg(F.count(F.lit(1)).alias("busy"))
     waiting = items.filter(F.col("status").isin(WAITING) & (F.col("attempt") < most))
-    first = waiting.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("id"))).filter(F.col("place") <= high_water)
-    chosen = first.join(busy, "job_id", "left").filter(F.col("place") <= high_water - F.coalesce("busy", F.lit(0)))
+    first = waiting.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("id")))
+    if limits is None:
+        bound = F.lit(high_water)
+        first = first.filter(F.col("place") <= high_water)
+    else:
+        bound = F.coalesce("high_water", F.lit(high_water))
+        busy = busy.join(limits.select("job_id", "high_water"), "job_id", "full_outer")
+    chosen = first.join(busy, "job_id", "left").filter(F.col("place") <= bound - F.coalesce("busy", F.lit(0)))
     return chosen.select("job_id", "id", "place", F.when(next_stage(F.col("stage")).isNull(), "done").otherwise("dispatched").alias("status"), next_stage(F.col("stage")).alias("next_stage"))
 
 
