@@ -1,8 +1,8 @@
 """What a paper's text says about itself: abstract, keywords, contents, references, tables.
 
-A text becomes a list of lines, each classified once: which labels it opens with, what follows the label, and whether
-it looks like an entry, a page mark, a table row. Every extractor then works on places in this list. `enrich` runs all
-of them in Arrow batches, one pass, no shuffle.
+A text becomes a list of lines, cut once for all extractors; a line remembers which labels it opens with. Whether it
+looks like an entry, a page mark or a table row, predicates on the line tell. Every extractor works on places in this
+list. `enrich` runs all of them in Arrow batches, one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -32,30 +32,100 @@ LABELS = {
 MIN_ABSTRACT, MAX_ABSTRACT, ANCHOR_WITHIN, MIN_ANCHORED = 50, 2000, 6000, 100
 MAX_ENTRY, MAX_STRAY, MAX_REFERENCES, MAX_CONTENTS = 600, 4, 200, 60
 TABLE_CONTEXT, BLOCK_LINES, LEAST_ENTRIES = 200, 5, 3
-# What marks a line as no prose, and how entries begin.
+# What marks a line as no prose; words behind a list of names; dots and dashes of a leader; Roman numbers.
 NOISE = ["Vol.", "No.", "p.", "pp.", "@", "Tel:", "Tel.", "Fax:", "Fax.", "Email", "E-mail", "대학교", "대학원", "학회", "저널", "Journal", "University"]
-YEAR = r"(?:19|20)\d{2}"
-ENTRY_STARTS = {
-    "number in brackets": r"\[\d+\]",
-    "number and dot": r"\d{1,3}\.",
-    "names, then a year": rf"[가-힣A-Z][가-힣A-Za-z\s,\-]{{2,}}(?:\.\s+\(?{YEAR}|,\s+{YEAR}[,.])",
-    "names in Hangul": r"[가-힣]{2,}(?:,\s*[가-힣]{2,})*\s*(?:외|등)?\s*[,.]",
-    "surname and initial": r"[A-Z][A-Za-z\-]+,\s+[A-Z]",
-}
-CONTENTS_ENTRIES = {
-    "numbered": r"(?:\d+[.)]|[IVXⅠ-Ⅸ가-힣]+[.)]\s)",
-    "leader first": r"[.·\-]{3,}",
-    "page at the end": r".+(?:[.·\-]{3,}|\s{2,})\s*\d+\s*$",
-}
+AND_OTHERS = ("외", "등")
+LEADERS, ROMAN = ".·-", "IVXivxⅠⅡⅢⅣⅤⅥⅦⅧⅨ"
 DECORATION = " \t#*-_<>[]【】()（）"
 
-_ENTRY = re.compile("|".join(f"(?:{x})" for x in ENTRY_STARTS.values()))
-_CONTENTS_ENTRY = re.compile("|".join(f"(?:{x})" for x in CONTENTS_ENTRIES.values()), re.I)
 _NUMBERING = re.compile(r"(?:\d+[.)]|[IVX]+\.)\s+", re.I)
 _HEADING = re.compile(r"\d+[.)]|[A-Z가-힣]{2,}[.)]\s")
 _SQUEEZED = {kind: sorted(("".join(x.lower().split()) for x in labels), key=len, reverse=True) for kind, labels in LABELS.items()}
 
 
+def hangul(c: str) -> bool:
+    return "가" <= c <= "힣"
+
+
+def latin(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def year_at(s: str) -> bool:
+    """Does s begin with a year of the last or this century?"""
+    return s[:2] in ("19", "20") and len(s) >= 4 and s[2:4].isdecimal()
+
+
+def run(s: str, test) -> int:
+    """Length of the run of characters at the start of s that pass a test."""
+    return next((i for i, c in enumerate(s) if not test(c)), len(s))
+
+
+def numbered_reference(s: str) -> bool:
+    """A number in brackets, or one of up to three digits and a dot."""
+    if s.startswith("["):
+        n = run(s[1:], str.isdecimal)
+        return n > 0 and s[n + 1 : n + 2] == "]"
+    n = run(s, str.isdecimal)
+    return 1 <= n <= 3 and s[n : n + 1] == "."
+
+
+def names_and_year(s: str) -> bool:
+    """Names, then a dot and a year (in brackets or not), or a comma and a year that a comma or dot closes."""
+    if not s or not (hangul(s[0]) or latin(s[0]) and s[0].isupper()):
+        return False
+    n = run(s, lambda c: hangul(c) or latin(c) or c.isspace() or c in ",-")
+    names, rest = s[:n], s[n:]
+    if rest.startswith("."):
+        after = rest[1:].lstrip()
+        return n >= 3 and after != rest[1:] and year_at(after.removeprefix("("))
+    bare = names.rstrip()
+    return year_at(rest) and rest[4:5] in (",", ".") and bare.endswith(",") and bare != names and len(bare) > 3
+
+
+def names_in_hangul(s: str) -> bool:
+    """A name in Hangul before a comma or dot, with or without a word for others."""
+    n = run(s, hangul)
+    rest = s[n:].lstrip()
+    if rest.startswith(AND_OTHERS):
+        rest = rest[1:].lstrip()
+    return n >= 2 and rest[:1] in (",", ".")
+
+
+def surname_and_initial(s: str) -> bool:
+    n = run(s, lambda c: latin(c) or c == "-")
+    rest = s[n + 1 :].lstrip()
+    return n >= 2 and latin(s[0]) and s[0].isupper() and s[n : n + 1] == "," and rest != s[n + 1 :] and latin(rest[:1]) and rest[:1].isupper()
+
+
+def begins_reference(s: str) -> bool:
+    return numbered_reference(s) or names_and_year(s) or names_in_hangul(s) or surname_and_initial(s)
+
+
+def ends_in_page(s: str) -> bool:
+    """Something, a leader or a gap, and a number at the end."""
+    stem = s.rstrip()
+    before = stem.rstrip("0123456789")
+    gap = before.rstrip()
+    leader = len(gap) - len(gap.rstrip(LEADERS))
+    return before != stem and (leader >= 3 and len(gap) > 3 or len(before) - len(gap) >= 2 and bool(gap))
+
+
+def leads_to_page(s: str) -> bool:
+    """Dots or a gap, then a number at the end: what lines of a table of contents look like within prose."""
+    before = s.rstrip("0123456789")
+    gap = before.rstrip()
+    return before != s and (gap[-3:].strip(".·") == "" and len(gap) >= 3 or len(before) - len(gap) >= 2)
+
+
+def contents_entry(s: str) -> bool:
+    """A line of a table of contents: numbered in digits, Roman or Hangul, or with a leader, or with a page at its end."""
+    digits = run(s, str.isdecimal)
+    letters = run(s, lambda c: c in ROMAN or hangul(c))
+    numbered = digits and s[digits : digits + 1] in (".", ")") or letters and s[letters : letters + 1] in (".", ")") and s[letters + 1 : letters + 2].isspace()
+    return bool(numbered) or run(s, lambda c: c in LEADERS) >= 3 or ends_in_page(s)
+
+
 def _label(body: str, kind: str) -> int:
     """Where the longest label of this kind that the line begins with ends, whatever its spacing; 0 if there is none."""
     places = [i for i, c in enumerate(body[:60]) if not c.isspace()]
@@ -111,14 +181,7 @@ class Line:
     @property
     def noise(self) -> bool:
         low = self.text.lower()
-        return self.text.isdigit() or bool(re.search(YEAR, self.text)) or any(x.lower() in low for x in NOISE)
-
-    @property
-    def leader(self) -> bool:
-        """Dots or a gap, then a number: a line of a table of contents."""
-        digits = self.text.rstrip("0123456789")
-        gap = digits.rstrip()
-        return digits != self.text and (gap[-3:].strip(".·") == "" and len(gap) >= 3 or len(digits) - len(gap) >= 2)
+        return self.text.isdigit() or any(year_at(self.text[i:]) for i, c in enumerate(self.text) if c in "12") or any(x.lower() in low for x in NOISE)
 
     @property
     def row(self) -> bool:
@@ -147,14 +210,14 @@ def ends_abstract(line: Line) -> bool:
 
 def prose(body: str, least: int) -> str | None:
     """The body, cut, if it is long enough and no table of contents."""
-    seen = [x for x in lines_of(body) if x.text][:8]
-    dotted = sum(x.leader for x in seen)
+    seen = list(islice((x for x in map(str.strip, body.splitlines()) if x), 8))
+    dotted = sum(map(leads_to_page, seen))
     return body[:MAX_ABSTRACT] if len(body) >= least and not (seen and dotted >= max(2, len(seen) // 2)) else None
 
 
-def abstract(text: str) -> str | None:
+def abstract(text: str, lines: list[Line] | None = None) -> str | None:
     """Behind the first label that fitting prose follows, else the paragraph above the keyword line."""
-    lines = lines_of(text)
+    lines = lines or lines_of(text)
     for i, line in enumerate(lines):
         said = line.value("abstract")
         if line.alone("abstract"):
@@ -177,9 +240,9 @@ def abstract(text: str) -> str | None:
     return prose(" ".join(reversed(paragraph)), MIN_ANCHORED)
 
 
-def keywords(text: str) -> list[str] | None:
+def keywords(text: str, lines: list[Line] | None = None) -> list[str] | None:
     """Behind the label and a colon, else in BLOCK_LINES lines from a label alone on."""
-    lines = lines_of(text)
+    lines = lines or lines_of(text)
     here = first_of(lines, 0, lambda x: bool((x.value("keywords") or ("",))[0].strip(DECORATION)))
     if here < len(lines):
         raw = lines[here].value("keywords")[0].lstrip(DECORATION)
@@ -190,12 +253,12 @@ def keywords(text: str) -> list[str] | None:
     return [w for w in map(str.strip, re.split(r"[,;/，；]", raw)) if w] or None
 
 
-def contents(text: str) -> list[str] | None:
+def contents(text: str, lines: list[Line] | None = None) -> list[str] | None:
     """Entries below the label, up to the first line that is none, or a gap of three lines."""
-    lines = lines_of(text)
+    lines = lines or lines_of(text)
     label = first_of(lines, 0, lambda x: x.alone("contents") and x.shift == 0)
     some = lines[label + 1 : label + 1 + MAX_CONTENTS + 20]
-    entry = np.array([bool(x.text) and bool(_CONTENTS_ENTRY.match(x.text)) for x in some], bool)
+    entry = np.array([bool(x.text) and contents_entry(x.text) for x in some], bool)
     blank = np.array([not x.text for x in some], bool)
     stops = [len(some)]
     stops += np.flatnonzero(blank[2:] & blank[1:-1] & blank[:-2])[:1].tolist() if len(some) > 2 else []
@@ -204,15 +267,15 @@ def contents(text: str) -> list[str] | None:
     return found if len(found) >= LEAST_ENTRIES else None
 
 
-def references(text: str) -> list[str]:
+def references(text: str, lines: list[Line] | None = None) -> list[str]:
     """Entries below the last label, wrapped lines joined; by paragraphs where hardly an entry is recognised."""
-    lines = lines_of(text)
+    lines = lines or lines_of(text)
     labels = [i for i, x in enumerate(lines) if x.alone("references")]
     if not labels:
         return []
     part = [x for x in lines[labels[-1] + 1 : first_of(lines, labels[-1] + 1, lambda x: x.opens("back"))] if not x.page_mark]
     some = [x.text for x in part if x.text]
-    begins = np.array([bool(_ENTRY.match(x)) for x in some], bool)
+    begins = np.array([begins_reference(x) for x in some], bool)
     starts = np.flatnonzero(begins)
     found: list[str] = []
     if len(starts) and starts[0] < MAX_STRAY:
@@ -228,9 +291,9 @@ def references(text: str) -> list[str]:
     return found[:MAX_REFERENCES]
 
 
-def tables(text: str) -> list[tuple[str, str]]:
+def tables(text: str, lines: list[Line] | None = None) -> list[tuple[str, str]]:
     """(context before, markdown) of tables of at least two data rows and two columns."""
-    lines, out = lines_of(text), []
+    lines, out = lines or lines_of(text), []
     for i, line in enumerate(lines):
         if not line.divider:
             continue
@@ -249,8 +312,13 @@ def enrich(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            texts = [t or "" for t in pdf["text"]]
-            yield pd.DataFrame({key: pdf[key], "abstract": [abstract(t) for t in texts], "keywords": [keywords(t) for t in texts], "contents": [contents(t) for t in texts], "references": [references(t) for t in texts], "tables": [[{"context": c, "markdown": m} for c, m in tables(t)] for t in texts]})
+            rows = []
+            for text in (t or "" for t in pdf["text"]):
+                lines = lines_of(text)
+                rows.append((abstract(text, lines), keywords(text, lines), contents(text, lines), references(text, lines), [{"context": c, "markdown": m} for c, m in tables(text, lines)]))
+            found = pd.DataFrame(rows, columns=["abstract", "keywords", "contents", "references", "tables"], dtype=object)
+            found.insert(0, key, pdf[key].to_numpy())
+            yield found
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, abstract string, keywords array<string>, contents array<string>, references array<string>, tables array<struct<context:string,markdown:string>>")

@@ -98,6 +98,21 @@ def test_keywords_contents_references():
     assert [c for c, _ in papers.tables(table)] == ["Before it."] and papers.tables(table.rsplit("|", 6)[0]) == []
 
 
+@pytest.mark.parametrize("line", ["[12] Anything", "7. Title", "104. T", "Kim, Lee-Park. (2004) On", "Kim, Lee, 1999. On", "Kim and Lee,  2011, p", "김철수, 이영희. 책", "김철수 외. 책", "박민 등, 글", "Bogart, H. On"])
+def test_lines_that_begin_a_reference(line):
+    assert papers.begins_reference(line)
+
+
+@pytest.mark.parametrize("line", ["", "[a] x", "[] x", "1999 was", "1234. x", "Kim. and 2004", "Ki.2004", "kim, lee. 2004", "김. 책", "Kim and Lee 1999.", "Bogart H.", "bogart, H.", "plain words"])
+def test_lines_that_begin_no_reference(line):
+    assert not papers.begins_reference(line)
+
+
+@pytest.mark.parametrize("line, entry", [("3) Aims", True), ("IV. Aims", True), ("가. 목적", True), ("IV.Aims", False), ("··· 7", True), ("Aims ..... 12", True), ("Aims  12", True), ("Aims 12", False), ("12", False), ("", False)])
+def test_entries_of_contents(line, entry):
+    assert papers.contents_entry(line) is entry
+
+
 def test_marc_loose_and_mods_quirks(spark):
     assert one(spark, catalog.marc_loose(F.col("v"))["title"], "245 10$aLost title /$cSomeone 260  $aSeoul :$bHouse,$c1999") == "Lost title"
     xml = "<mods><titleInfo><title>A & B</title></titleInfo><name type='corporate'><namePart>Corp</namePart></name><relatedItem type='series'><titleInfo><title>S</title></titleInfo></relatedItem><accessCondition><licenseType>open</licenseType></accessCondition></mods>"
