@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import year
@@ -97,3 +97,17 @@ def merged(old: Column, new: Column) -> Column:
 
 def short_year(date: Column) -> Column:
     return year(date)
+
+
+def record_rows(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Catalogue rows of records (source_id, source_format, core, extra): a column's value is the core's, else the extra
+    map's, which is kept whole beside it. A missing format is the record's own, a missing title its id."""
+    core, extra = F.col("core"), F.col("extra")
+
+    def value(c: str) -> Column:
+        own = F.nullif("source_format", F.lit("")) if c == "source_format" else None
+        rest = extra[c] if own is None else F.coalesce(own, extra[c])
+        rest = F.when(F.map_contains_key(extra, F.lit(c)), rest).otherwise(F.col("source_id")) if c == "title" else rest
+        return F.when(F.map_contains_key(core, F.lit(c)), core[c]).otherwise(rest).alias(c)
+
+    return records.select(F.col("source_id").alias("cnts_id"), *map(value, columns), extra)

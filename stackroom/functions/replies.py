@@ -23,14 +23,25 @@ def reply_items(reply: Column, need: tuple[str, ...] = ("book_id",)) -> Column:
     return F.filter(F.coalesce(items, F.array().cast("array<struct<book_id:string,reason:string,quote:string>>")), keep)
 
 
+#: Labels of search words that a model may put below a summary. Fixed values.
+SEARCH_WORDS = ("비슷한 감성으로 찾을 독자의 검색어", "관련 검색어", "검색어")
+
+
 def summary_and_themes(reply: Column, most: int = 20) -> tuple[Column, Column]:
-    """Text under a SUMMARY label, and the list under a THEMES label; labels may carry markdown."""
+    """Text under a SUMMARY label, and the list under a THEMES label; labels may carry markdown.
+
+    Search words at the end of the summary don't belong to it; without a THEMES label they are the themes.
+    """
     mark = r"(?s)\n*[*#]*\s*THEMES\s*:\s*[*#]*\s*\n?"
     parts = F.split(F.trim(reply), mark, 2)
     body = F.regexp_replace(F.trim(parts[0]), r"^[*#]*\s*SUMMARY\s*:\s*[*#]*\s*\n?", "")
     strip = lambda c: F.regexp_replace(F.trim(c), r"^[*#\s]+|[*#\s]+$", "")
-    themes = F.when(F.size(parts) == 2, F.slice(F.filter(F.transform(F.split(F.element_at(parts, 2), r"[,\n]"), strip), lambda s: s != ""), 1, most)).otherwise(F.array().cast("array<string>"))
-    return strip(body), themes
+    words = lambda c: F.slice(F.filter(F.transform(F.split(c, r"[,，\n]"), strip), lambda s: s != ""), 1, most)
+    label = rf"(?s)\n+(?:{'|'.join(SEARCH_WORDS)})\s*:\s*"
+    cut = F.split(body, label, 2)
+    found = F.when(F.size(parts) == 2, words(F.element_at(parts, 2))).otherwise(F.array().cast("array<string>"))
+    themes = F.when((F.size(found) == 0) & (F.size(cut) == 2), words(F.element_at(cut, 2))).otherwise(found)
+    return strip(cut[0]), themes
 
 
 def ended_stream(text: Column, marker: str = "###EFFECT###", most: int = 5) -> Column:

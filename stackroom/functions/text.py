@@ -109,3 +109,15 @@ def bigrams(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \n]+"), lambda s: s != "")
+
+
+#: What likens a book to another in a query, before the word for book. Fixed values.
+LIKENESS, BOOK = ("같은", "처럼", r"과\s*비슷한", r"와\s*비슷한", r"과\s*유사한", r"와\s*유사한", "비슷한"), "책"
+SIMILAR_TO = rf"[\"']?(.+?)[\"']?\s*(?:{'|'.join(LIKENESS)})\s*{BOOK}"
+SIMILAR_TO_ENGLISH = r"(?i)^\s*books? (?:like|similar to) (.+?)\s*$"
+
+
+def similar_to(query: Column) -> Column:
+    """The title that a query likens its books to; null if it likens to none."""
+    english, korean = F.regexp_extract(query, SIMILAR_TO_ENGLISH, 1), F.regexp_extract(query, SIMILAR_TO, 1)
+    return F.when(english != "", english).when(korean != "", F.regexp_replace(korean, r"^\s+|\s+$", ""))

@@ -102,9 +102,14 @@ def error_group(kind: Column, message: Column) -> Column:
     return F.when(kind.rlike("Timeout"), "llm_timeout").when(kind.rlike("^HTTP"), "llm_error").when(text.contains("milvus") | F.lower(kind).startswith("milvus"), "milvus_error").when((kind == "S3Error") | text.contains("minio"), "minio_error").when(text.contains("vlm"), "vlm_error").otherwise("unknown")
 
 
+def last_hour(at: Column, now: Column) -> Column:
+    """Does a time lie within the hour that ends now?"""
+    return at.cast("timestamp") >= now.cast("timestamp") - F.expr("INTERVAL 1 HOUR")
+
+
 def progress(items: DataFrame, now: Column) -> DataFrame:
     """Per job: items done in the last hour, and hours left at that rate (null at rate 0)."""
-    recent = (F.col("status") == "done") & (F.col("updated_at").cast("timestamp") >= now.cast("timestamp") - F.expr("INTERVAL 1 HOUR"))
+    recent = (F.col("status") == "done") & last_hour(F.col("updated_at"), now)
     counts = items.groupBy("job_id").agg(F.count_if(recent).alias("rate_per_hour"), F.count_if(F.col("status").isin([*IN_FLIGHT, *WAITING])).alias("left"))
     return counts.withColumn("eta_hours", F.when(F.col("rate_per_hour") > 0, F.round(F.col("left") / F.col("rate_per_hour"), 1)))
 

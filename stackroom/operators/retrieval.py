@@ -74,6 +74,12 @@ def sparse_top(chunks: DataFrame, query: dict[str, float], k: int, key: str = "d
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
 
 
+def candidate_sizes(k: Column, by_book: Column, by_date: Column) -> Column:
+    """books and chunks to fetch for k results: books only where books are wanted, more of them for a sort by date."""
+    books = k * F.when(by_date, CONFIG.sorted_multiplier).otherwise(CONFIG.book_multiplier)
+    return F.struct(F.when(by_book, books).alias("books"), F.when(by_book, books * CONFIG.chunks_per_book).otherwise(k * CONFIG.chunk_multiplier).alias("chunks"))
+
+
 def fuse(lists: list[DataFrame], k: int, key: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of ranked lists of bounded length."""
     both = lists[0].select(key, rrf(F.col("rank")).alias("part"))

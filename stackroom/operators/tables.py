@@ -80,3 +80,14 @@ def band_join(points: DataFrame, rows: DataFrame, keys: list[str], center: str,
     width = 2 * reach + 1
     cells = points.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor((F.col(center) - reach) / width), F.floor((F.col(center) + reach) / width)))))
     return cells.join(rows.withColumn("_cell", F.floor(F.col(position) / width)), [*keys, "_cell"]).filter(F.abs(F.col(position) - F.col(center)) <= reach).drop("_cell")
+
+
+def page_buttons(current: Column, total: Column) -> Column:
+    """Labels of page buttons: all of up to seven pages, else the first, the last and those around the current one, with
+    an ellipsis for what lies between."""
+    near = F.sequence(F.greatest(F.lit(2), current - 1), F.greatest(F.least(total - 1, current + 1), F.greatest(F.lit(2), current - 1)))
+    near = F.filter(near, lambda p: (p >= current - 1) & (p <= current + 1) & (p <= total - 1))
+    gap = lambda there: F.when(there, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>"))
+    some = F.concat(F.array(F.lit("1")), gap(current > 3), near.cast("array<string>"), gap(current < total - 2), F.array(total.cast("string")))
+    every = F.filter(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda p: p <= total).cast("array<string>")
+    return F.when(total <= 7, every).otherwise(some)

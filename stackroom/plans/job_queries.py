@@ -11,7 +11,7 @@ from stackroom.operators import tables as O
 from stackroom.sources import catalog as C
 from stackroom.streaming import streams
 
-from .registry import CHUNKS, ITEMS, NOW, TITLES, chunks, items, now, query, table, titles
+from .registry import CHUNKS, ITEMS, NOW, TITLES, chunks, items, n_vectors, now, query, table, titles
 
 _NOW = f"TIMESTAMP '{NOW}'"
 
@@ -207,7 +207,7 @@ def snk13_delete_where(spark, d) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN lang <> 'fr' THEN doc_id % (SELECT count(*) FROM embeddings) END AS vec_id, CASE WHEN lang <> 'fr' THEN 'embedded' ELSE 'pending' END AS state FROM documents")
 def snk14_drop_vectors(spark, d) -> DataFrame:
     stays = F.col("lang") != "fr"
-    return table(spark, d, "documents").select("doc_id", F.when(stays, F.col("doc_id") % max(1, table(spark, d, "embeddings").count())).alias("vec_id"), F.when(stays, "embedded").otherwise("pending").alias("state"))
+    return table(spark, d, "documents").select("doc_id", F.when(stays, F.col("doc_id") % n_vectors(spark, d)).alias("vec_id"), F.when(stays, "embedded").otherwise("pending").alias("state"))
 
 
 @query("SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id = d.doc_id AND length(p.html) = d.n_chars)")

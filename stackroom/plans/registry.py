@@ -35,11 +35,16 @@ CHUNKS = """chunks AS (SELECT doc_id, 'b' || lpad(CAST(doc_id // 8 AS VARCHAR),
     CAST(2000 + doc_id % 25 AS VARCHAR) AS pub_date, ['paper', 'book', 'literature', 'policy'][doc_id % 4 + 1] AS doc_type, coalesce(text, '') AS text, doc_id % (SELECT count(*) FROM embeddings) AS vec_id, source, lang FROM documents)"""
 
 
+def n_vectors(spark: SparkSession, sf_dir: str):
+    """The number of embeddings, one at least: a subquery of the plan, so building a plan runs nothing."""
+    return table(spark, sf_dir, "embeddings").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     kinds = F.array(*map(F.lit, ("paper", "book", "literature", "policy")))
-    return d.select("doc_id", book_of(i).alias("book_id"), (i % 8 - 1).cast("int").alias("chunk_idx"), (2000 + i % 25).cast("string").alias("pub_date"), F.get(kinds, (i % 4).cast("int")).alias("doc_type"), F.coalesce("text", F.lit("")).alias("text"), (i % F.lit(max(1, table(spark, sf_dir, "embeddings").count()))).alias("vec_id"), "source", "lang")
+    return d.select("doc_id", book_of(i).alias("book_id"), (i % 8 - 1).cast("int").alias("chunk_idx"), (2000 + i % 25).cast("string").alias("pub_date"), F.get(kinds, (i % 4).cast("int")).alias("doc_type"), F.coalesce("text", F.lit("")).alias("text"), (i % n_vectors(spark, sf_dir)).alias("vec_id"), "source", "lang")
 
 
 ITEMS = """items AS (SELECT event_id AS id, user_id % 10 AS job_id, 'b' || CAST(event_id AS VARCHAR) AS book_id,

@@ -68,6 +68,27 @@ class Templates:
         raise KeyError(f"no template {name}")
 
 
+    def column(self, name: str, kind: Column, **values: Column) -> Column:
+        """The user part of a template for each row: that of the row's kind if there is one, else the plain one."""
+        known = [self.known[n] for n in sorted(self.known) if n == name or n.startswith(f"{name}.")]
+        if not known:
+            raise KeyError(f"no template {name}")
+        out = rendered(self.known[name], values) if name in self.known else F.raise_error(F.concat(F.lit(f"no template {name} for "), kind))
+        for t in known:
+            if t.name != name:
+                out = F.when(kind == t.name[len(name) + 1 :], rendered(t, values)).otherwise(out)
+        return out
+
+
+def rendered(template: Template, values: dict[str, Column]) -> Column:
+    """The user part with columns in its fields; a missing or an unknown field is an error before anything runs."""
+    parts = list(string.Formatter().parse(template.user))
+    wanted = {n for text in (template.system, template.user) for _, n, _, _ in string.Formatter().parse(text) if n}
+    if wanted != set(values):
+        raise KeyError(f"{template.name}: fields {sorted(wanted ^ set(values))} are missing or unknown")
+    return F.concat(*(c for text, name, _, _ in parts for c in ([F.lit(text)] if text else []) + ([F.coalesce(values[name].cast("string"), F.lit(""))] if name else [])))
+
+
 TEMPLATES = Templates(
     Template("section_summary", "You summarize a section of a book for library readers.", "Book: {title}\n\n{text}", "labels"),
     Template("section_summary.policy", "You summarize a section of a regulation.", "Regulation: {title}\n\n{text}"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stackroom.config import CONFIG
 from stackroom.functions import biblio
+from stackroom.functions.text import SIMILAR_TO, SIMILAR_TO_ENGLISH
 from stackroom.operators import retrieval
 
 
@@ -41,10 +42,10 @@ def read_filter(query: str, this_year: int = 2024) -> Filter:
 
 def rewrite(query: str, catalog: DataFrame | None = None) -> str:
     """"books like X" becomes the themes of X where the catalogue has it; any other query stays."""
-    m = re.match(r"\s*books? (?:like|similar to) (.+?)\s*$", query, re.I) or re.match(r"\s*(.+?)\s*(?:같은|비슷한) 책", query)
+    m = re.search(SIMILAR_TO_ENGLISH, query) or re.search(SIMILAR_TO, query)
     if not m or catalog is None:
         return query
-    found = catalog.filter(F.col("title").ilike("%" + m[1].replace("%", r"\%").replace("_", r"\_") + "%")).orderBy("book_id").limit(1).select("themes").head()
+    found = catalog.filter(F.col("title").ilike("%" + m[1].strip().replace("%", r"\%").replace("_", r"\_") + "%")).orderBy("book_id").limit(1).select("themes").head()
     return found.themes if found and found.themes else query
 
 

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -73,13 +73,21 @@ class BucketTable:
         self._put(stays.select(*new.columns).unionByName(new))
 
     def delete(self, keys: DataFrame) -> None:
-        """Remove the rows of some keys; buckets left empty go as a whole."""
+        """Remove the rows of some keys."""
         gone = self._dealt(keys.select(*self.keys).distinct())
         some, old = self._touched(gone)
-        stays = old.join(gone.drop("bucket"), list(self.keys), "left_anti")
+        self._keep(old.join(gone.drop("bucket"), list(self.keys), "left_anti"), some)
+
+    def delete_where(self, condition: Column) -> None:
+        """Remove the rows that meet a condition; buckets without such rows keep their files."""
+        some, old = self._touched(self._stored().filter(condition))
+        self._keep(old.filter(~F.coalesce(condition, F.lit(False))), some)
+
+    def _keep(self, stays: DataFrame, touched: list[int]) -> None:
+        """Leave these rows in the touched buckets; a bucket left empty goes as a whole, since no new file replaces it."""
         filled = {r.bucket for r in stays.select("bucket").distinct().collect()}
         self._put(stays)
-        for b in set(some) - filled:
+        for b in set(touched) - filled:
             remove(self.spark, f"{self.path}/data/bucket={b}")
 
     def upsert(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,40 +65,60 @@ def restore_controls(raw: Column) -> Column:
     return raw
 
 
-def marc(raw: Column) -> Column:
-    """A struct of fields of an ISO 2709 record whose separators are there; null fields where it has none.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def marc_fields(raw: Column) -> Column:
+    """Fields (tag, data) of an ISO 2709 record whose separators are there; null for any other.
 
     Tags come from the directory (12 characters an entry), contents from the separators, so lengths counted in bytes
     don't matter.
     """
-    text = restore_controls(F.trim(raw))
-    base = F.when(F.substring(text, 13, 5).rlike(r"^\d{5}$"), F.substring(text, 13, 5).cast("int"))
-    directory = F.substr(text, F.lit(25), base - 25)
-    tags = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(directory) / 12).cast("int") - 1, F.lit(0))), lambda i: F.substr(directory, i * 12 + 1, F.lit(3)))
-    parts = F.filter(F.transform(F.split(F.substr(text, base + 1), FIELD_END), lambda s: F.regexp_replace(s, RECORD_END, "")), lambda s: s != "")
-    n = F.least(F.size(tags), F.size(parts))
-    fields = F.zip_with(F.slice(tags, 1, n), F.slice(parts, 1, n), lambda t, p: F.struct(t.alias("tag"), p.alias("data")))
-    valid = F.contains(text, F.lit(FIELD_END)) & base.isNotNull() & (base < F.length(text)) & (n > 0)
-    fields = F.when(valid, fields)
-
-    def values(tag: str, code: str) -> Column:
-        mine = F.filter(fields, lambda f: f["tag"] == tag)
-        if not code:
-            return F.transform(mine, lambda f: F.trim(f["data"]))
-        sub = F.transform(mine, lambda f: F.regexp_extract(f["data"], f"{SUBFIELD}{code}([^{SUBFIELD}]*)", 1))
-        return F.filter(sub, lambda s: F.trim(s) != "")
+    def read(text: Column) -> Column:
+        base = F.when(F.substring(text, 13, 5).rlike(r"^\d{5}$"), F.substring(text, 13, 5).cast("int"))
+        directory = F.substr(text, F.lit(25), base - 25)
+        tags = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(directory) / 12).cast("int") - 1, F.lit(0))), lambda i: F.substr(directory, i * 12 + 1, F.lit(3)))
+        parts = F.filter(F.transform(F.split(F.substr(text, base + 1), FIELD_END), lambda s: F.regexp_replace(s, RECORD_END, "")), lambda s: s != "")
+        n = F.least(F.size(tags), F.size(parts))
+        fields = F.zip_with(F.slice(tags, 1, n), F.slice(parts, 1, n), lambda t, p: F.struct(t.alias("tag"), p.alias("data")))
+        return F.when(F.contains(text, F.lit(FIELD_END)) & base.isNotNull() & (base < F.length(text)) & (n > 0), fields)
+
+    return bound(restore_controls(F.trim(raw)), read)
+
+
+def all_subfields(fields: Column, tag: str, code: str = "") -> Column:
+    """Values of a subfield in all fields of a tag, empty ones left out; without a code, whole fields."""
+    mine = F.filter(fields, lambda f: f["tag"] == tag)
+    if not code:
+        return F.transform(mine, lambda f: F.trim(f["data"]))
+    sub = F.transform(mine, lambda f: F.regexp_extract(f["data"], f"{SUBFIELD}{code}([^{SUBFIELD}]*)", 1))
+    return F.filter(sub, lambda s: F.trim(s) != "")
+
+
+def first_subfield(fields: Column, tag: str, code: str = "") -> Column:
+    """The first of them, or null."""
+    return F.get(all_subfields(fields, tag, code), F.lit(0))
+
 
+def marc(raw: Column) -> Column:
+    """A struct of the fields of a record with separators; null fields where it has none."""
+    return bound(marc_fields(raw), _marc_record)
+
+
+def _marc_record(fields: Column) -> Column:
     def tidy(name: str, c: Column) -> Column:
         c = year(c) if name == "pub_date" else strip_punctuation(c) if name in MARC_CLEAN else c
         return F.when(c != "", c)
 
-    out = [F.coalesce(*(tidy(name, F.get(values(*w), F.lit(0))) for w in where)).alias(name) for name, where in MARC_FIELDS.items()]
-    for name, tags_ in MARC_LISTS.items():
-        got = F.concat(*(values(t, "a") for t in tags_))
+    out = [F.coalesce(*(tidy(name, first_subfield(fields, *w)) for w in where)).alias(name) for name, where in MARC_FIELDS.items()]
+    for name, tags in MARC_LISTS.items():
+        got = F.concat(*(all_subfields(fields, t, "a") for t in tags))
         got = F.transform(got, strip_punctuation) if name in MARC_CLEAN else got
         out.append(F.when(F.size(got) > 0, F.array_join(got, " | ")).alias(name))
-    language = F.trim(F.substring(F.get(values("008", ""), F.lit(0)), 36, 3))
-    return F.struct(*out, F.when(language != "", language).alias("language"), F.when(valid, "MARC").alias("source_format"))
+    language = F.trim(F.substring(first_subfield(fields, "008"), 36, 3))
+    return F.struct(*out, F.when(language != "", language).alias("language"), F.when(fields.isNotNull(), "MARC").alias("source_format"))
 
 
 def marc_loose(raw: Column) -> Column:
@@ -165,6 +187,27 @@ def mods(record: Column) -> Column:
     )
 
 
+def marc_tiers(rows: DataFrame, raw: str, library: str | None = None, out: str = "record") -> DataFrame:
+    """rows with title, personal_author, publisher, pub_date and tier of the record in raw, by the first way that finds
+    a title: a MARC library's reading (a struct column with these fields), the separators, loose patterns.
+
+    Blank records have none; one without a title anywhere is what the loose patterns give. Each way is a column of its
+    own, so no record is parsed twice.
+    """
+    fields, filled = ("title", "personal_author", "publisher", "pub_date"), F.trim(F.coalesce(F.col(raw), F.lit(""))) != ""
+    ways = {"library": F.col(library)} if library else {}
+    read = rows.withColumns({"_separators": F.when(filled, marc(F.col(raw))), "_loose": F.when(filled, marc_loose(F.col(raw)))})
+    ways |= {"separators": F.col("_separators"), "loose": F.col("_loose")}
+    whole = lambda name, way: F.struct(*(way[f].alias(f) for f in fields), F.lit(name).alias("tier"))
+    tried = [F.when(F.coalesce(way["title"], F.lit("")) != "", whole(name, way)) for name, way in ways.items()]
+    return read.withColumn(out, F.when(filled, F.coalesce(*tried, whole("loose", ways["loose"])))).drop("_separators", "_loose")
+
+
+def readable(content: Column, magic: bytes = b"%PDF") -> Column:
+    """Do a file's bytes begin with the mark of its kind? An empty file doesn't."""
+    return F.coalesce(F.substring(content, 1, len(magic)) == F.lit(magic), F.lit(False))
+
+
 def merged_records(sheet: DataFrame) -> DataFrame:
     """Rows (CONTENTS_ID, TITLE_INFO, MARC, MODS) as records: MARC's values first, then MODS's, then the sheet's title, then the id."""
     some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
@@ -190,7 +233,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> tuple[Dat
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
-    rows = found.select(clean_id(stem).alias("id"), "path", F.col("length").alias("size"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("readable"))
+    rows = found.select(clean_id(stem).alias("id"), "path", F.col("length").alias("size"), readable(F.col("content")).alias("readable"))
     return first_wins(rows, ["id"], ["path"])
 
 
