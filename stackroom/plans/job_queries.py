@@ -305,6 +305,15 @@ def stm04_dispatch(spark, d) -> DataFrame:
     return J.dispatch(items(spark, d), high_water=500)
 
 
+@query(f"""WITH {ITEMS}, b AS (SELECT job_id, count(*) FILTER (status IN ('dispatched', 'running')) AS busy, count(*) FILTER (status IN ('dispatched', 'running')) + count(*) // 20 AS high_water FROM items GROUP BY job_id), w AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id) AS place FROM items WHERE status IN ('pending', 'failed') AND attempt < 3)
+    SELECT w.job_id, id, CAST(place AS INTEGER) AS place, CASE WHEN {_NEXT} IS NULL THEN 'done' ELSE 'dispatched' END AS status, {_NEXT} AS next_stage FROM w JOIN b USING (job_id) WHERE place <= high_water - busy""")
+def stm04_dispatch_by_limits(spark, d) -> DataFrame:
+    """Jobs with bounds of their own, which leave room for a twentieth of each job's items."""
+    rows = items(spark, d)
+    bound = F.count_if(F.col("status").isin(J.IN_FLIGHT)) + F.floor(F.count(F.lit(1)) / 20)
+    return J.dispatch(rows, limits=rows.groupBy("job_id").agg(bound.alias("high_water")))
+
+
 @query(f"""WITH {ITEMS}, c AS (SELECT job_id, count(*) FILTER (status IN ('dispatched', 'running')) AS in_flight, count(*) FILTER (status IN ('pending', 'failed') AND attempt < 3) AS eligible, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM items WHERE job_id <> 3 OR status IN ('done') GROUP BY job_id)
     SELECT *, CASE WHEN in_flight > 0 OR eligible > 0 THEN 'running' WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS state FROM c""")
 def stm05_completion(spark, d) -> DataFrame:

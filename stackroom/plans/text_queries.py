@@ -32,7 +32,9 @@ def ch03_sentences(spark, d) -> DataFrame:
     return s.select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT item_id, text, {_SENTENCES} AS s FROM benchmark WHERE text IS NOT NULL), r AS (SELECT item_id, text, s, 0 AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, CAST(NULL AS VARCHAR) AS found FROM b
+    UNION ALL SELECT item_id, text, s, i + 1, stop + pos - 1, CASE WHEN pos > 0 THEN stop + pos - 1 + length(s[i + 1]) ELSE stop END, CASE WHEN pos > 0 THEN s[i + 1] END FROM (SELECT *, instr(substr(text, stop + 1), s[i + 1]) AS pos FROM r WHERE i < len(s)))
+    SELECT item_id, found AS text, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM r WHERE found IS NOT NULL""")
 def ch04_sentence_spans(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark")
     return b.select("item_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select("item_id", "s.text", "s.start", "s.stop")
