@@ -32,7 +32,11 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with shingle similarity of 0.8 or more over five words. Columns of docs."""
+    """One document of each group with shingle similarity of 0.8 or more over five words. Columns of docs.
+
+    The pigeonring over fingerprints finds the first links; the others, which fingerprints can't all show, come from
+    prefix filtering of the shingle sets. Every link is checked on the shingles in full.
+    """
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
