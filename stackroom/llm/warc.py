@@ -26,7 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -65,6 +65,10 @@ def assign(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
+#: Characters of a URL that stay as they are.
+_PLAIN = ":/?#[]@!$&()*+,;=~"
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -73,9 +77,10 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None)
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {quote(url, safe=_PLAIN + '%')}"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
+    head.append(f"X-Page-Url: {quote(url, safe=_PLAIN)}")  # what a percent sign stands for can't be told from the URI
     if refers_to is not None:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -210,9 +215,12 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read(archives: DataFrame, folder: str, split: int = SPLIT, payloads: bool = True, strict: bool = True) -> DataFrame:
-    """page_id, url, record_type, payload (null for a revisit), payload_bytes, payload_digest, refers_to of each record."""
+    """page_id, url, record_type, payload (null for a revisit), payload_bytes, payload_digest, refers_to of each record.
+
+    strict: a lost or damaged record is an error, and so is an archive that was cut or grew since it was written.
+    """
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("size")).alias("end")).repartition(F.xxhash64("path", "start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("size")).alias("end"), "size").repartition(F.xxhash64("path", "start"))
     names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
     types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
@@ -225,13 +233,15 @@ def read(archives: DataFrame, folder: str, split: int = SPLIT, payloads: bool =
             payload = block.partition(b"\r\n\r\n")[2]
             if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"the payload of page {page} differs from its digest")
-        return None if page is None else int(page), fields["WARC-Target-URI"], kind, payload if payloads else None, size, digest, None if other is None else int(other)
+        return None if page is None else int(page), unquote(fields["X-Page-Url"]), kind, payload if payloads else None, size, digest, None if other is None else int(other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = place(folder)
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(f"{base}/{path}") as file:
+                    if strict and file.size() != size:
+                        raise ValueError(f"{path} has {file.size()} bytes, not the {size} that were written")
                     rows = []
                     for raw in scan(file, start, end, strict):
                         rows.append(row(raw))
