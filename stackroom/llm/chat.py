@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
+_FIELD = re.compile(r"\{(role|text)\}")
 
 
 @dataclass(frozen=True)
 class Template:
-    """parts of a turn: (pattern, whether it is in the loss of a trained role). Patterns hold {role} and {text}."""
+    """parts of a turn: (pattern, whether it is in the loss of a trained role). Patterns hold {role} and {text}, each in
+    one part at least, and any text between; where a part holds both, something must lie between them."""
 
     parts: tuple[tuple[str, bool], ...] = ((START + "{role}\n", False), ("{text}", True), (END + "\n", False))
     trained: frozenset[str] = frozenset({"assistant"})
@@ -38,6 +40,36 @@ class Template:
     order: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        whole = "".join(p for p, _ in self.parts)
+        if "{role}" not in whole or "{text}" not in whole:
+            raise ValueError("a template needs {role} and {text}")
+        for i, (p, _) in enumerate(self.parts):
+            marks = _FIELD.findall(p)
+            if "text" in marks[:-1] or re.search(r"\}\{", p) or self.delimiter(i).isalnum() or self.delimiter(i) == "\\":
+                raise ValueError(f"part {p!r}: a text comes once and last, behind a role and a mark that is no letter or digit")
+
+    def delimiter(self, part: int) -> str:
+        """First character of what follows the role in a part that holds the text too; such a character is escaped in
+        roles. Without one, the empty string."""
+        found = re.search(r"\{role\}(?=(.)).*\{text\}", self.parts[part][0], re.S)
+        return found[1] if found else ""
+
+    def rendered(self, part: int, role: str, text: str) -> str:
+        """A part with both placeholders filled, in one pass."""
+        said = {"role": escape_role(role, self.delimiter(part)), "text": escape(text)}
+        return _FIELD.sub(lambda m: said[m[1]], self.parts[part][0])
+
+    def pattern(self, part: int) -> re.Pattern[str]:
+        """What reads a part again; a placeholder that comes twice has to say the same."""
+        seen: set[str] = set()
+        out = ""
+        for bit in re.split(r"(\{role\}|\{text\})", self.parts[part][0]):
+            name = bit[1:-1] if bit in ("{role}", "{text}") else ""
+            out += re.escape(bit) if not name else f"(?P={name})" if name in seen else f"(?P<{name}>.*?)"
+            seen |= {name} - {""}
+        return re.compile(out, re.S)
+
 
 CHATML = Template()
 
@@ -50,11 +82,13 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+def escape_role(role: str, delimiter: str = "") -> str:
+    role = escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return role.replace(delimiter, f"\\u{ord(delimiter):06x}") if delimiter and delimiter != "\n" else role
 
 
 def unescape_role(role: str) -> str:
+    role = re.sub(r"(?<!\\)((?:\\\\)*)\\u([0-9a-f]{6})", lambda m: m[1] + chr(int(m[2], 16)), role)
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
@@ -73,9 +107,8 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
                     conv, state, valid, position = c, "", True, 0
                 valid = valid and role in template.order.get(state, ())
                 state = role
-                for pattern, loss in template.parts:
-                    written = pattern.replace("{role}", escape_role(role)) if "{role}" in pattern else escape(text) if pattern == "{text}" else pattern.replace("{text}", escape(text))
-                    out.append((c, position, written, loss and role in template.trained, valid))
+                for part, (_, loss) in enumerate(template.parts):
+                    out.append((c, position, template.rendered(part, role, text), loss and role in template.trained, valid))
                     position += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["conv_id", "position", "text", "loss", "valid"])
 
@@ -83,32 +116,38 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 class Reader:
-    """Parses the formatted text of one conversation, fed piece by piece; holds one turn at most."""
+    """Reads the formatted segments of one conversation by its template, one after the other; holds one turn at most."""
 
-    def __init__(self) -> None:
-        self.held, self.turns, self.chars, self.loss_chars, self.valid, self.last = "", 0, 0, 0, True, ""
+    def __init__(self, template: Template = CHATML) -> None:
+        self.template, self.patterns = template, [template.pattern(i) for i in range(len(template.parts))]
+        self.at, self.found = 0, {}
+        self.turns, self.chars, self.loss_chars, self.valid, self.last = 0, 0, 0, True, ""
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, text: str, loss: bool, valid: bool) -> None:
-        self.chars += len(text)
+    def feed(self, segment: str, loss: bool, valid: bool) -> None:
+        self.chars += len(segment)
         self.valid = self.valid and valid
-        self.held += text
+        read = self.patterns[self.at].fullmatch(segment)
+        if read is None:
+            raise ValueError("not a formatted turn")
+        for name, said in read.groupdict().items():
+            plain = unescape_role(said) if name == "role" else unescape(said)
+            if self.found.setdefault(name, plain) != plain:
+                raise ValueError(f"a turn says its {name} in two ways")
+        if self.template.rendered(self.at, self.found.get("role", ""), self.found.get("text", "")) != segment:
+            raise ValueError("not a formatted turn")  # a control string inside a text, say
         if loss:
-            plain = unescape(text)
+            plain = unescape(segment)
             self.loss_chars += len(plain)
             self.loss.update(plain.encode("utf-8", "surrogatepass"))
-        if self.held.endswith(END + "\n"):
-            body = self.held[len(START) : -len(END) - 1]
-            if not self.held.startswith(START) or START in body or END in body or "\n" not in body:
-                raise ValueError("not a formatted turn")
-            role, _, said = body.partition("\n")
-            self.last = unescape_role(role)
-            self.all.update(f"{self.last}\n{unescape(said)}\n".encode("utf-8", "surrogatepass"))
-            self.turns += 1
-            self.held = ""
+        self.at += 1
+        if self.at == len(self.patterns):
+            self.last = self.found["role"]
+            self.all.update(f"{self.last}\n{self.found['text']}\n".encode("utf-8", "surrogatepass"))
+            self.turns, self.at, self.found = self.turns + 1, 0, {}
 
     def row(self, final: tuple[str, ...]) -> tuple:
-        if self.held:
+        if self.at:
             raise ValueError("a turn is not closed")
         return self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid and self.last in final
 
@@ -134,7 +173,7 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
                 if reader is None or c != conv:
                     if reader is not None:
                         out.append((conv, *reader.row(final)))
-                    conv, reader = c, Reader()
+                    conv, reader = c, Reader(template)
                 reader.feed(text, loss, valid)
             yield made(out)
         if reader is not None:
