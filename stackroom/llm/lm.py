@@ -476,10 +476,12 @@ def train(texts: DataFrame, n_texts: int, raw: Broadcast, single: np.ndarray, op
     params, facts = init_params(), Facts(single, opens)
     if not n_texts:
         return params, facts
-    # The start: texts by their hash, so many that they hold more than enough ids, in one task.
+    # The start: texts by their hash, so many that they hold more than enough ids. All tasks look for them; one gets
+    # what they found, of a size that START_IDS bounds, in an order of its own.
     mean = max(1.0, single.sum() / n_texts)
     share = min(1.0, 2 * START_IDS / mean / n_texts)
-    some = texts.filter(F.xxhash64("hash") % F.lit(1 << 30) <= F.lit(int(share * (1 << 30)))).coalesce(1)
+    chosen = F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
+    some = texts.filter(chosen).repartition(1).sortWithinPartitions(F.xxhash64("hash"))
     params, pairs, topics = parted(learned(some, raw, params, facts, start=True), params)
     facts.learn(pairs, topics)
     pairs, topics, first = np.zeros_like(pairs), np.zeros_like(topics), 0
