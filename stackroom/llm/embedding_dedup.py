@@ -1,9 +1,9 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-The principal axes of all vectors are found from one grouped sum. Tiles of vectors rotated onto these axes are
-compared from the leading axes on; the norms of what is left bound the rest of each product (Cauchy-Schwarz), and a
-pair is dropped as soon as its cosine cannot reach the threshold. What remains is decided on the unit vectors as
-given, in double precision.
+The principal axes of all vectors are found from one grouped sum (the leading ones of very long vectors from three
+smaller ones). Tiles of vectors rotated onto these axes are compared from the leading axes on; the norms of what is
+left bound the rest of each product (Cauchy-Schwarz), and a pair is dropped as soon as its cosine cannot reach the
+threshold. What remains is decided on the unit vectors as given, in double precision.
 
 Equal unit vectors first collapse to one class with a count, so copies never pair up. Each pair of classes meets in
 one block; a block gives link counts and a star over linked classes, never pairs. The comparison is exact over all
@@ -32,8 +32,9 @@ SLOT = 8192
 STEPS = (8, 16, 32)
 #: Rounding that a bound may be off by.
 EPS = 1e-9
-#: Axes are those of the most frequent vector length; longer ones keep their given order of components.
-MOST_DIM = 512
+#: Longest vectors whose products of all components are summed. Of longer ones the leading axes are found, so many, by
+#: sums of products with a few directions, which each round turns towards the axes.
+MOST_DIM, LEADING, ROUNDS = 512, 64, 3
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -61,8 +62,9 @@ def units(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, unit binary, dim int")
 
 
-def axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes of each vector length: at most MOST_DIM ** 2 numbers a length, whatever the rows."""
+def _summed(classes: DataFrame, right: dict[int, np.ndarray] | None) -> dict[int, np.ndarray]:
+    """By vector length, the sum over all vectors x of x times (x times the columns of right); without right, of x times x."""
+    shared = classes.sparkSession.sparkContext.broadcast(right)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -70,16 +72,32 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
             for dim in set(batch.column(1).to_pylist()):
                 rows = batch.filter(pa.compute.equal(batch.column(1), dim)).column(0).to_pylist()
                 m = np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim)
-                sums[dim] = sums.get(dim, 0) + m.T @ m
+                sums[dim] = sums.get(dim, 0) + m.T @ (m if shared.value is None else m @ shared.value[dim])
         for dim, total in sums.items():
             flat = total.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), dim, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["dim", "cell", "x"])
 
-    cells = classes.filter(F.col("dim") <= MOST_DIM).select("unit", "dim").mapInArrow(partial, "dim int, cell int, x double")
-    total: dict[int, np.ndarray] = {}
-    for r in cells.groupBy("dim", "cell").agg(F.sum("x").alias("x")).toLocalIterator():
-        total.setdefault(r.dim, np.zeros(r.dim * r.dim))[r.cell] = r.x
-    return {d: np.linalg.eigh(t.reshape(d, d))[1][:, ::-1].copy() for d, t in total.items()}
+    some = classes.filter(F.col("dim") <= MOST_DIM) if right is None else classes.filter(F.col("dim").isin(list(right)))
+    cells = some.select("unit", "dim").mapInArrow(partial, "dim int, cell int, x double").groupBy("dim", "cell").agg(F.sum("x").alias("x"))
+    total: dict[int, dict[int, float]] = {}
+    for r in cells.toLocalIterator():
+        total.setdefault(r.dim, {})[r.cell] = r.x
+    return {d: np.array([c[i] for i in range(len(c))]).reshape(d, -1) for d, c in total.items()}
+
+
+def axes(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Principal axes of each vector length, in their order: at most a square of numbers a length, whatever the rows.
+
+    Of vectors over MOST_DIM long, the LEADING first ones; any directions at right angles to these follow.
+    """
+    out = {d: np.linalg.eigh(t)[1][:, ::-1].copy() for d, t in _summed(classes, None).items()}
+    long = [r.dim for r in classes.filter(F.col("dim") > MOST_DIM).select("dim").distinct().collect()]
+    found = {d: np.linalg.qr(np.random.default_rng(d).normal(size=(d, LEADING)))[0] for d in long}
+    for _ in range(ROUNDS if long else 0):
+        sums = _summed(classes, found)
+        turned = {d: np.linalg.eigh(found[d].T @ t)[1][:, ::-1] for d, t in sums.items()}  # directions in the order of their share
+        found = {d: np.linalg.qr(t @ turned[d])[0] for d, t in sums.items()}
+    return out | {d: np.linalg.qr(q, mode="complete")[0] for d, q in found.items()}
 
 
 def close(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

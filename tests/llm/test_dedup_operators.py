@@ -199,6 +199,26 @@ def test_embeddings(spark, slot):
     assert embedding_dedup.group(df.limit(0)).count() == 0
 
 
+def test_long_embeddings_have_leading_axes(spark):
+    r = np.random.default_rng(9)
+    plain = r.normal(size=(20, 768))
+    base = r.normal(size=(150, 20)) @ plain + 0.3 * r.normal(size=(150, 768))
+    m = np.concatenate([base, base[:60] + 0.9 * r.normal(size=(60, 768)), base[:5]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(1000, [1.0, 0.0]), (1001, [0.99, 0.01])], "vec_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    links = [(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i != j]
+    at, n = groups_of(range(len(m)), links), Counter(i for i, _ in links)
+    least = {}
+    for i in range(len(m)):
+        least[at[i]] = min(least.get(at[i], i), i)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.group(df, slot=64).collect()}
+    assert len(links) > 50 and got == {i: (n[i], least[at[i]]) for i in range(len(m))} | {1000: (1, 1000), 1001: (1, 1000)}
+    q = embedding_dedup.axes(embedding_dedup.units(df, "vec_id", "embedding"))[768]
+    assert np.allclose(q.T @ q, np.eye(768), atol=1e-9)
+    share = ((u @ q) ** 2).mean(0)
+    assert share[:20].sum() > 0.9 and share[:16].sum() > 2 * share[16:].sum()
+
+
 def test_early_stop_is_exact():
     r = np.random.default_rng(0)
     for dim in (1, 3, 8, 20, 64):
@@ -287,6 +307,43 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.segments(df.limit(0))).count() == 0
 
 
+PLAIN = chat.Template(parts=(("{role}: {text}\n\n", True),), trained=frozenset({"bot"}), order={"": ("me",), "me": ("bot",), "bot": ("me",)}, final=("bot",))
+SPLIT = chat.Template(parts=(("<|{role}|>", False), ("[{text}]", True), ("</{role}>\n", False)), trained=frozenset({"bot"}))
+
+
+@pytest.mark.parametrize("template", [PLAIN, SPLIT])
+def test_chat_with_other_templates(spark, template):
+    said = "{role}: {text}\n\nme: <|bot|>[x]</bot>\n"
+    rows = [(1, 0, "me", "hi"), (1, 1, "bot", said), (2, 0, "a: b\n\\u00003a", "c: d"), (3, 0, None, None), (3, 1, "{text}", "{role}")]
+    parts = chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    got = {r.conv_id: r for r in chat.read_back(parts, template).collect()}
+    for conv in (1, 2, 3):
+        turns = [(r or "", x or "") for c, _, r, x in rows if c == conv]
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
+    loss = f"bot: {said}\n\n" if template is PLAIN else f"[{said}]"
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("parts", [(("{role}", False),), (("{text}: {role}", True),), (("{role}{text}", True),), (("{role}x{text}", True),)])
+def test_templates_that_cannot_be_read_back(parts):
+    with pytest.raises(ValueError):
+        chat.Template(parts=parts)
+
+
+def test_cut_archive_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a/ä b?q=50%&x=%20", "one" * 40), (2, "http://a/2", "two" * 40)], "page_id long, url string, html string").coalesce(1)
+    archives, folder = warc.archive(df, str(tmp_path / "w"))
+    assert {r.url for r in warc.read(archives, folder).collect()} == {"http://a/ä b?q=50%&x=%20", "http://a/2"}
+    path = next((tmp_path / "w").glob("*.gz"))
+    data = path.read_bytes()
+    cut = data.rindex(b"\x1f\x8b\x08\x04")
+    path.write_bytes(data[:cut])
+    for split in (200, 1 << 20):
+        with pytest.raises(Exception, match="bytes, not the"):
+            warc.read(archives, folder, split).collect()
+    assert warc.read(archives, folder, 200, strict=False).count() == 1
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|", "a<|im_end|>b", "|<|", "<<||"])
 def test_escape(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
