@@ -148,3 +148,18 @@ def test_folds_of_pieces(spark):
     said = " ".join(f"Sentence number {i} is here." for i in range(20))
     parts = [r.text for r in chunker.regrouped(spark.createDataFrame([(1, [said])], "id int, p array<string>"), "id", "p", most=60).orderBy("place").collect()]
     assert " ".join(parts) == said and all(len(p) / 1.5 < 61 + len(re.findall(r"\.", p)) for p in parts)
+
+
+def test_filter_expression_follows_the_rules_of_search(spark):
+    import random
+
+    from stackroom.functions.filters import query_filter
+    from stackroom.search import read_filter
+
+    r = random.Random(4)
+    parts = ["since", "before", "between", "from", "until", "by ", "2001", "1999", "12345", "1750", "최근 5년", "last 10 years", "newest", "oldest", "이전", "부터", "-", "Latest", "books", "2010년"]
+    asked = ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 5))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(asked)), "id int, q string").select("id", query_filter(F.col("q")).alias("f")).collect()
+    for row in rows:
+        want = read_filter(asked[row.id])
+        assert (row.f.year_from, row.f.year_to, row.f.sort_by) == (want.year_from, want.year_to, want.sort_by), asked[row.id]
