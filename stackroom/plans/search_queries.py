@@ -136,7 +136,12 @@ def rnk08_title_scores(spark, d) -> DataFrame:
     return t.select("page_id", F.when(F.col("title") == "", F.col("score")).otherwise(S.combined(S.title_match(q, F.col("title")), F.col("score"))).alias("relevance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT doc_id, book_id, chunk_idx, CAST(greatest(1, floor(length(text) / 1.5)) AS BIGINT) AS tokens FROM chunks WHERE chunk_idx >= 0), h AS (SELECT doc_id // 200 AS query_id, CAST(doc_id % 200 AS INTEGER) AS rank, book_id, chunk_idx AS center FROM c WHERE doc_id % 20 = 0),
+    n AS (SELECT query_id, rank, h.book_id, c.chunk_idx AS section_idx, tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank, h.book_id, c.chunk_idx) AS i FROM h JOIN c ON h.book_id = c.book_id AND c.chunk_idx BETWEEN center - 2 AND center + 2),
+    r AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS spent, []::VARCHAR[] AS taken, -1 AS stopped, false AS takes FROM (SELECT DISTINCT query_id FROM n)
+        UNION ALL SELECT query_id, i, CASE WHEN fits THEN spent + tokens ELSE spent END, CASE WHEN fits THEN list_append(taken, k) ELSE taken END, CASE WHEN open AND NOT fits THEN rank ELSE stopped END, fits
+        FROM (SELECT *, open AND spent + tokens <= 8000 AS fits FROM (SELECT r.query_id, n.i, spent, taken, stopped, n.rank, n.tokens, n.book_id || '/' || n.section_idx AS k, n.rank <> stopped AND NOT list_contains(taken, n.book_id || '/' || n.section_idx) AS open FROM r JOIN n ON n.query_id = r.query_id AND n.i = r.i + 1)))
+    SELECT n.query_id, n.rank, n.book_id, CAST(n.section_idx AS INTEGER) AS section_idx, n.tokens FROM r JOIN n USING (query_id, i) WHERE takes""")
 def rnk11_context(spark, d) -> DataFrame:
     c = chunks(spark, d).filter("chunk_idx >= 0")
     sections = c.select("book_id", F.col("chunk_idx").alias("section_idx"), T.token_estimate(F.col("text")).alias("tokens"))
