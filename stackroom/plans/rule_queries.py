@@ -9,7 +9,7 @@ from stackroom.functions import biblio as B
 from stackroom.functions import replies as R
 from stackroom.functions import text as T
 from stackroom.functions.filters import query_filter
-from stackroom.operators import chunker, conversation, enrichment, jobs, retrieval
+from stackroom.operators import chunker, conversation, enrichment, indexing, jobs, retrieval
 from stackroom.operators.batches import ReplyTable
 from stackroom.operators.history import History, entries
 from stackroom.operators.tables import page_buttons
@@ -314,3 +314,29 @@ def flt03_query_filters(spark, d) -> DataFrame:
         forms.append(said)
     asked = F.concat(F.get(F.array(*forms), (i % len(_FORMS)).cast("int")), F.lit(" "), "source")
     return table(spark, d, "documents").dropna(subset=["source"]).select("doc_id", F.inline(F.array(query_filter(asked))))
+
+
+# The chunk stream of books: every second book is a paper, whose lines are tables and figures.
+
+_STREAM = f"""{CHUNKS}, b AS (SELECT book_id, min(doc_id) AS doc_id, min(doc_id) // 8 % 2 = 0 AS paper FROM chunks GROUP BY book_id), f AS (SELECT b.*, source, lang, text FROM b JOIN chunks USING (book_id, doc_id)),
+    body AS (SELECT book_id, chunk_idx, 'body' AS kind, chunk_idx // 2 AS section_idx, text, concat_ws(chr(10), CASE WHEN chunk_idx // 2 = 1 THEN '[핵심 테마] a, b' END, CASE WHEN chunk_idx // 2 < 2 THEN '[섹션 요약] s' || (chunk_idx // 2) END, '[본문] ' || text) AS embed_text FROM chunks WHERE chunk_idx >= 0),
+    n AS (SELECT book_id, count(*) AS n FROM body GROUP BY book_id), l AS (SELECT book_id, source, lang, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1:3] AS t FROM f WHERE paper),
+    e AS (SELECT book_id, CASE WHEN source IS NULL THEN [] ELSE [('abstract', '[초록] ' || source)] END || [('keywords', '[키워드] k, ' || coalesce(lang, ''))] || flatten(list_transform(t, lambda x, i: [('table', '[표]' || chr(10) || CASE WHEN i % 2 = 1 THEN 'c' || chr(10) || chr(10) ELSE '' END || x)] || CASE WHEN i > 1 THEN [('table description', '[표 설명] d' || i)] ELSE [] END)) || list_transform(t, lambda x: ('figure description', '[그림 설명] ' || x)) AS a FROM l),
+    added AS (SELECT e.book_id, CAST(coalesce(n, 0) + i - 1 AS INTEGER) AS chunk_idx, a[i] AS x FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM e) e LEFT JOIN n ON e.book_id = n.book_id),
+    meta AS (SELECT book_id, concat_ws(' | ', '제목: ' || coalesce(nullif(source, ''), book_id), CASE WHEN lang <> '' THEN '주제: ' || lang END) AS t FROM f)"""
+
+
+@query(f"""WITH {_STREAM} SELECT book_id, chunk_idx, kind, CAST(section_idx AS INTEGER) AS section_idx, md5(text) AS text, md5(embed_text) AS embed_text FROM body
+    UNION ALL SELECT book_id, chunk_idx, x[1], NULL, md5(x[2]), md5(x[2]) FROM added UNION ALL SELECT book_id, -1, 'meta', NULL, md5(t), md5(t) FROM meta""")
+def ch15_chunk_stream(spark, d) -> DataFrame:
+    """Body, enrichment and meta chunks of all books in one plan."""
+    c = chunks(spark, d)
+    first = c.groupBy("book_id").agg(F.min("doc_id").alias("doc_id")).join(c.drop("book_id"), "doc_id")
+    books = first.select("book_id", F.when(F.floor(F.col("doc_id") / 8) % 2 == 0, "paper").otherwise("book").alias("doc_type"), F.col("source").alias("title"), F.col("lang").alias("subject"))
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""), 1, 3)
+    tables = F.transform(lines, lambda x, i: F.struct(F.when(i % 2 == 0, "c").otherwise("").alias("context"), x.alias("markdown"), F.when(i > 0, F.concat(F.lit("d"), (i + 1).cast("string"))).alias("description")))
+    found = first.select("book_id", F.col("source").alias("abstract"), F.array(F.lit("k"), F.coalesce("lang", F.lit(""))).alias("keywords"), tables.alias("tables"), lines.alias("figures"))
+    body = c.filter("chunk_idx >= 0").select("book_id", "chunk_idx", F.floor(F.col("chunk_idx") / 2).cast("int").alias("section_idx"), "text")
+    sections = body.select("book_id", "section_idx").distinct().select("book_id", "section_idx", F.when(F.col("section_idx") < 2, F.concat(F.lit("s"), F.col("section_idx").cast("string"))).alias("summary"), F.when(F.col("section_idx") == 1, "a , b,").alias("themes"))
+    got = indexing.chunk_stream(books, body, sections, found)
+    return got.select("book_id", "chunk_idx", "kind", "section_idx", F.md5("text").alias("text"), F.md5("embed_text").alias("embed_text"))
