@@ -63,11 +63,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until a collection
-    of the driver's garbage happens to come."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of each action go when the action ends; else they stay until a collection of the
+    driver's garbage happens to come."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

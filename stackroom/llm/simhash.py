@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import checkpoint, free_shuffles, fresh, quiet_gc, small_batches, text_or_empty, written
+from .common import checkpoint, fresh, quiet_gc, small_batches, text_or_empty, tidy_shuffles, written
 from .units import lowered, shingles, spans, texts_of
 
 SEED = 42
@@ -45,6 +45,8 @@ REPORTED, FREQUENT = 20_000, 65_536
 SLOT = 4096
 #: Classes of shingles whose parities bound the difference of two sets.
 CELLS = 1024
+#: Sets of more shingles have finer parities too: 2 KB that are looked at before two long texts are brought together.
+LONG_SET, FINE_CELLS = 256, 16_384
 #: Rows whose texts are to be compared: up to so many, their keys go to all tasks, and no other text is moved.
 SMALL_NEEDED = 500_000
 #: Bytes of the texts of pairs that are compared together; a longer pair is a run of its own.
@@ -72,9 +74,9 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def parities(distinct: np.ndarray) -> bytes:
+def parities(distinct: np.ndarray, cells: int = CELLS) -> bytes:
     """One bit for each class of hashes: is their number odd? Sets differ in at least as many members as these bits do."""
-    odd = np.bincount((distinct & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    odd = np.bincount((distinct & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -205,8 +207,8 @@ def distinct(row: np.ndarray, found: np.ndarray, level: np.ndarray | None = None
 
 def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> DataFrame:
     """rows (key, more, id, text) with a number of their own (node), the digest and size of the shingle set, its
-    fingerprint and parities, and its first shingles."""
-    names = ["node", "key", "more", "id", "set", "size", "fp", "odd", "first"]
+    fingerprint and parities (finer ones too for a long set), and its first shingles."""
+    names = ["node", "key", "more", "id", "set", "size", "fp", "odd", "fine", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId() << 36
@@ -222,19 +224,20 @@ def marks(rows: DataFrame, words: int, similarity: float, often: Broadcast) -> D
                     ordered = found[places]
                     stops = np.searchsorted(row, np.arange(n + 1))
                     sizes = np.diff(stops)
-                    sets, fps, odd = [], [], []
+                    sets, fps, odd, fine = [], [], [], []
                     for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
                         sets.append(xxhash.xxh3_128_digest(np.sort(ordered[a:b]).tobytes()))
                         fps.append(fingerprint(ordered[a:b]))
                         odd.append(parities(ordered[a:b]))
+                        fine.append(parities(ordered[a:b], FINE_CELLS) if b - a > LONG_SET else None)
                     length = np.array([prefix_length(k, similarity) for k in sizes.tolist()], np.int64)
                     firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ordered[spans(stops[:-1], length)].view(np.int64)))
                     part = batch.slice(at, n)
-                    cols = [pa.array(np.arange(node, node + n)), part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), firsts]
+                    cols = [pa.array(np.arange(node, node + n)), part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), pa.array(fine, pa.binary()), firsts]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     node += n
 
-    return written(rows.select("key", "more", "id", "text").mapInArrow(run, "node long, key long, more long, id long, set binary, size int, fp long, odd binary, first array<long>"))
+    return written(rows.select("key", "more", "id", "text").mapInArrow(run, "node long, key long, more long, id long, set binary, size int, fp long, odd binary, fine binary, first array<long>"))
 
 
 def similar(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -281,19 +284,41 @@ def similar(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, key, more, id, keep) of each row that shares a group with another: keep is true for one row, of the
     smallest id. key and more are 128 bits of id and text; node tells rows apart that repeat them."""
+    small_batches(docs.sparkSession)
+    with tidy_shuffles(docs.sparkSession):
+        return _near_duplicates(docs, words, similarity, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     key, more = row_key(docs, id_col, text_col)
     rows = docs.select(key.alias("key"), more.alias("more"), docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     marked = marks(rows, words, similarity, spark.sparkContext.broadcast(frequent(rows, words)))
     # Equal sets: one row stands for the others, so a group of copies is one row here.
     stands = checkpoint(marked.groupBy("set").agg(F.min("node").alias("node")))
     classes = marked.join(stands.select("node"), "node", "left_semi")
-    facts = written(classes.select("node", "key", "more", "size", "fp", "odd"))
+    facts = written(classes.select("node", "key", "more", "size", "fp", "odd", "fine"))
+    most = (1 - similarity) / (1 + similarity)
+
+    def possible(edges: DataFrame) -> DataFrame:
+        """Edges (a, b) but for those of two long sets whose finer parities rule the similarity out."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                long = np.flatnonzero(pc.and_(batch.column(3).is_valid(), batch.column(5).is_valid()).to_numpy(zero_copy_only=False))
+                keep = np.ones(len(batch), bool)
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(long)).to_pylist()), np.uint64).reshape(len(long), FINE_CELLS // 64) for c in (3, 5))
+                sizes = batch.column(2).to_numpy()[long].astype(np.int64) + batch.column(4).to_numpy()[long]
+                keep[long] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most * sizes + 1e-6
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+        own = facts.select("node", "size", "fine")
+        both = edges.join(own.toDF("a", "size_a", "fine_a"), "a").join(own.toDF("b", "size_b", "fine_b"), "b")
+        return checkpoint(both.select("a", "b", "size_a", "fine_a", "size_b", "fine_b").mapInArrow(run, "a long, b long"))
 
     def checked(edges: DataFrame) -> DataFrame:
         """Edges (a, b) that hold on the shingles."""
-        edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = possible(checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         named = checkpoint(facts.select("node", "key", "more").join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
         some = F.broadcast(named) if named.count() <= SMALL_NEEDED else named
         texts = rows.select("key", "more", "text").join(some, ["key", "more"]).groupBy("node").agg(F.first("text").alias("text"))
@@ -309,7 +334,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     ring_links = close_pairs(leads.select("fp"), 2).filter("a <> b").toDF("fp_a", "fp_b")
     ring_links = ring_links.join(leads.toDF("fp_a", "a", "size_a"), "fp_a").join(leads.toDF("fp_b", "b", "size_b"), "fp_b").filter(sizes_fit("size_a", "size_b")).select("a", "b")
     true = checked(alike.unionByName(ring_links))
-    free_shuffles(spark)
 
     # Only shingles that are first ones of two rows can be the common one.
     firsts = classes.select("node", F.explode("first").alias("shingle"))
@@ -318,7 +342,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     # Shingles of the very same rows say the same: one of them is enough. 128 bits and a count tell sets of rows apart.
     rows_of = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("two"))
     shared = written(shared.join(rows_of.groupBy("n", "one", "two").agg(F.min("shingle").alias("shingle")).select("shingle"), "shingle", "left_semi"))
-    most = (1 - similarity) / (1 + similarity)
 
     def match(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         (x, a, r), (y, b, q) = left, right
@@ -345,7 +368,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     # A forest joins most groups by few checks. As some of its pairs fail, each pair between what it joined is checked too.
     true = checkpoint(true.unionByName(checked(found(graph.components(true), False))))
     comps = graph.components(true)
-    free_shuffles(spark)
     last = checked(found(comps, True))
     if not last.isEmpty():
         comps = graph.components(true.unionByName(last))
