@@ -297,7 +297,7 @@ def vec10_related_by_title(spark, d) -> DataFrame:
 _FORMS = ("books since {0}", "before {0}", "from {0} to {1}", "last {2} years", "newest of {0}", "the oldest ones", "in {0}", "until {1}, latest", "최근 {2}년 논문", "{0}년 이후", "page 12345", "{1}~{0} 사이")
 
 
-@query(f"""WITH q AS (SELECT doc_id, lower([{", ".join("'" + f.replace("{0}", "' || (1990 + doc_id % 40) || '").replace("{1}", "' || (1980 + doc_id % 60) || '").replace("{2}", "' || (doc_id % 12 + 1) || '") + "'" for f in _FORMS)}][doc_id % {len(_FORMS)} + 1] || ' ' || source) AS q FROM documents WHERE source IS NOT NULL),
+@query(rf"""WITH q AS (SELECT doc_id, lower([{", ".join("'" + f.replace("{0}", "' || (1990 + doc_id % 40) || '").replace("{1}", "' || (1980 + doc_id % 60) || '").replace("{2}", "' || (doc_id % 12 + 1) || '") + "'" for f in _FORMS)}][doc_id % {len(_FORMS)} + 1] || ' ' || source) AS q FROM documents WHERE source IS NOT NULL),
     y AS (SELECT doc_id, q, list_transform(list_filter(regexp_extract_all(q, '[0-9]+'), lambda x: regexp_full_match(x, '1[89][0-9][0-9]|20[0-9][0-9]')), lambda x: CAST(x AS INTEGER)) AS y, TRY_CAST(regexp_extract(q, '(?:last|recent|최근)\s*([0-9]{{1,2}})\s*(?:years?|년)', 1) AS INTEGER) AS n FROM q),
     r AS (SELECT *, CASE WHEN n IS NOT NULL THEN 1 WHEN len(y) > 1 AND regexp_matches(q, 'between|from|~|-|부터|에서') THEN 2 WHEN len(y) > 0 AND regexp_matches(q, 'since|after|from|이후|부터') THEN 3 WHEN len(y) > 0 AND regexp_matches(q, 'before|until|by |이전|까지') THEN 4 WHEN len(y) > 0 THEN 5 END AS rule FROM y),
     f AS (SELECT doc_id, CAST(CASE rule WHEN 1 THEN 2024 - n WHEN 2 THEN least(y[1], y[2]) WHEN 3 THEN y[1] WHEN 5 THEN y[1] END AS INTEGER) AS year_from, CAST(CASE rule WHEN 2 THEN greatest(y[1], y[2]) WHEN 4 THEN y[1] - CASE WHEN regexp_matches(q, 'before|이전') THEN 1 ELSE 0 END WHEN 5 THEN y[1] END AS INTEGER) AS year_to, CASE WHEN regexp_matches(q, 'newest|latest|most recent|최신') THEN 'date_desc' WHEN regexp_matches(q, 'oldest|earliest|오래된') THEN 'date_asc' ELSE 'relevance' END AS sort_by FROM r)

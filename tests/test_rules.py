@@ -163,3 +163,18 @@ def test_filter_expression_follows_the_rules_of_search(spark):
     for row in rows:
         want = read_filter(asked[row.id])
         assert (row.f.year_from, row.f.year_to, row.f.sort_by) == (want.year_from, want.year_to, want.sort_by), asked[row.id]
+
+def test_chunk_stream_of_odd_books(spark):
+    from stackroom.operators import indexing
+
+    books = spark.createDataFrame([("p", "paper", None, "2001"), ("q", "paper", "Q", None), ("b", "book", "B", "")], "book_id string, doc_type string, title string, pub_date string")
+    body = spark.createDataFrame([("p", 0, 0, "one"), ("p", 1, 9, "two"), ("b", 0, 0, "three")], "book_id string, chunk_idx int, section_idx int, text string")
+    sections = spark.createDataFrame([("p", 0, None, " x ,, y"), ("b", 0, "sum", None)], "book_id string, section_idx int, summary string, themes string")
+    table = "array<struct<context:string,markdown:string,description:string>>"
+    found = spark.createDataFrame([("p", "abs", None, [("c", "|m|", "says"), (None, "가" * 6000, None)], ["fig"]), ("q", None, [], None, None), ("b", "no", ["no"], [], [])], f"book_id string, abstract string, keywords array<string>, tables {table}, figures array<string>")
+    got = {(r.book_id, r.chunk_idx): (r.kind, r.embed_text) for r in indexing.chunk_stream(books, body, sections, found).collect()}
+    assert got["p", 0] == ("body", "[핵심 테마] x, y\n[본문] one") and got["p", 1] == ("body", "[본문] two") and got["b", 0] == ("body", "[섹션 요약] sum\n[본문] three")
+    assert got["p", 2] == ("abstract", "[초록] abs") and got["p", 3] == ("table", "[표]\nc\n\n|m|") and got["p", 4] == ("table description", "[표 설명] says")
+    assert got["p", 5][0] == "table" and len(got["p", 5][1].encode()) <= 15_500 and got["p", 6] == ("figure description", "[그림 설명] fig")
+    assert (got["p", -1][1], got["q", -1][1], got["b", -1][1]) == ("제목: p | 발행년도: 2001", "제목: Q", "제목: B")
+    assert len(got) == 11
