@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stackroom.session import ship
+from stackroom.sources.store import exists
 
 #: Numbers of the sample that centroids are fitted on, and of the queries that are sent to the tasks at once.
 SAMPLE_VALUES = QUERY_VALUES = 1 << 23
@@ -124,6 +125,19 @@ class VectorIndex:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # MOST_LISTS at most
         return VectorIndex(path, rows[0].key, rows[0].vector, len(rows[0].centroid), rows[0].nprobe, np.array([r.centroid for r in rows]), rows[0].schema)
 
+    @staticmethod
+    def ensure(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = (), recreate: bool = False) -> VectorIndex:
+        """The index at path, built from vectors if there is none. One that lacks columns is an error, unless it may be
+        built anew: an index isn't thrown away by accident."""
+        spark = vectors.sparkSession
+        if not exists(spark, f"{path}/lists/_SUCCESS"):
+            return VectorIndex.build(vectors, path, key, vector, keep=keep)
+        there = VectorIndex.open(spark, path)
+        missing = sorted({key, vector, *keep} - set(StructType.fromJson(json.loads(there.schema)).names))
+        if missing and not recreate:
+            raise RuntimeError(f"the index at {path} lacks {missing}: pass recreate to build it anew")
+        return VectorIndex.build(vectors, path, key, vector, keep=keep) if missing else there
+
     def add(self, vectors: DataFrame) -> None:
         """Append vectors with the columns of those that are there; centroids stay."""
         self._put(vectors, "append")

@@ -78,6 +78,15 @@ def test_odd_vectors_and_empty_tables(spark, index, vectors):
     assert none.search(asked(vectors, 1000), 5).collect() == []
 
 
+def test_index_that_lacks_columns_is_not_thrown_away(spark, vectors):
+    path, some = store.scratch(spark, "ivf"), vectors.filter("vec_id < 50")
+    first = VectorIndex.ensure(some, path)
+    assert VectorIndex.ensure(vectors, path).rows(spark).count() == first.rows(spark).count() == 50  # it is there already
+    with pytest.raises(RuntimeError, match="label"):
+        VectorIndex.ensure(vectors, path, keep=("label",))
+    assert "label" in VectorIndex.ensure(some, path, keep=("label",), recreate=True).rows(spark).columns
+
+
 def skewed_postings(n=2000, seed=2):
     """Keys whose heavy tokens lie together, so that most ranges can't reach the best scores."""
     r = random.Random(seed)
