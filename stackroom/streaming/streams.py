@@ -34,10 +34,16 @@ def once(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def followed(first: DataFrame, second: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Events of a user that another one follows within an interval."""
-    a, b = first.alias("a"), second.alias("b")
+    """Events of a user that another one follows within an interval.
+
+    Rows meet by user and by cells of time as long as the interval, so a busy user's events meet their neighbours only.
+    """
+    length = int(pd.Timedelta(within).total_seconds() * 1_000_000)
+    cell = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(length))
+    a = first.withColumn("cell", F.explode(F.array(cell(F.col("ts")), cell(F.col("ts")) + 1))).alias("a")
+    b = second.withColumn("cell", cell(F.col("ts"))).alias("b")
     near = (F.col("b.ts") > F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr(f"INTERVAL {within}"))
-    return a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & near).select(F.col("a.event_id").alias("event_id"), F.col("b.event_id").alias("next_id"))
+    return a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.event_id").alias("event_id"), F.col("b.event_id").alias("next_id"))
 
 
 class ReplySplitter:

@@ -213,6 +213,17 @@ def test_stream_windows_equal_batch(spark, sf_dir, tmp_path):
     assert spark.table("w").exceptAll(want).count() == 0 == want.exceptAll(spark.table("w")).count()
 
 
+def test_followed_events_meet_by_cells(spark):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    a, b = [(1, 7, 0), (2, 7, 3599), (3, 7, 3600), (4, 8, 10)], [(11, 7, 0), (12, 7, 3600), (13, 7, 7199), (14, 7, 7200), (15, 7, 7201), (16, 8, 10), (17, 8, 3610)]
+    first, second = (spark.createDataFrame([(i, u, at(s)) for i, u, s in x], "event_id long, user_id long, ts timestamp_ntz") for x in (a, b))
+    want = {(i, j) for i, u, s in a for j, v, t in b if u == v and s < t <= s + 3600}
+    got = streams.followed(first, second).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_dispatcher_ticks(spark, tmp_path):
     items = spark.createDataFrame([(1, 7, "pending", "extracted", 0), (2, 7, "failed", "finalized", 1)], "id long, job_id long, status string, stage string, attempt int").withColumns({"updated_at": F.lit("2024-01-01").cast("timestamp_ntz"), "error_group": F.lit(None).cast("string")})
     seen = {}
