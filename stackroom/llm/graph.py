@@ -25,7 +25,7 @@ CHUNK = 1 << 14
 #: Pairs of a large block that are matched together.
 PAIRS = 1 << 18
 #: Links that a task holds before it reduces them to a star or a forest, or emits them.
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
