@@ -573,8 +573,9 @@ class Scorer:
         """Know the most frequent training words only."""
         self.coder.forget()
         flat, sizes, counts = self.model.head
-        self.counts = counts.astype(np.float64)
-        self.coder.codes(np.concatenate([flat, np.zeros(PADDING, np.uint8)]), np.cumsum(sizes) - sizes, sizes)
+        codes, _ = self.coder.codes(np.concatenate([flat, np.zeros(PADDING, np.uint8)]), np.cumsum(sizes) - sizes, sizes)
+        self.counts = np.empty(len(counts))
+        self.counts[codes] = counts  # long words have later codes than short ones, whatever their counts
 
     def windows(self, ids: np.ndarray, at: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Of each id: log of its probability among its kind, and log-odds that a word opens there."""

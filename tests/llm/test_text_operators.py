@@ -359,6 +359,18 @@ def test_lm_score_has_no_head_of_words(docs, monkeypatch):
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-4)
 
 
+def test_lm_counts_of_long_words(spark):
+    """A long word among the most frequent ones keeps its own count."""
+    texts = ["donaudampfschifffahrt " * 5 + "the", "the internationalization the", "internationalization a", "the \x00 unknowninallothertexts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts[:3] for w in t.split(" "))
+    total, kinds = counts.total() + 3, len(counts) + 1
+    want = [math.log10(4 / (total + kinds + 1)) + sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in t.split(" ")) for t in texts]
+    got = lm.score(docs, F.col("doc_id") == 3, subword_vocabulary()).orderBy("doc_id").collect()
+    assert [r.base_score for r in got] == pytest.approx(want)
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(7, 7, total), (4, 4, total), (3, 3, total), (4, 2, total)]
+
+
 def test_lm_rows(docs, no_docs):
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     got = lm.score(docs, held, subword_vocabulary()).collect()
