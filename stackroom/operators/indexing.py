@@ -30,12 +30,12 @@ def body_chunks(body: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.select("book_id", "chunk_idx", F.lit("body").alias("kind"), "section_idx", "text", F.concat_ws("\n", *parts).alias("embed_text"))
 
 
-def added_chunks(enrichment: DataFrame, body: DataFrame) -> DataFrame:
+def added_chunks(enrichment: DataFrame, body: DataFrame, table_bytes: int | None = CONFIG.chunk_bytes) -> DataFrame:
     """What enrichment adds to papers, numbered on from their body: abstract, keywords, each table and what a model says
     of it, what a model says of figures.
 
     enrichment: book_id, abstract, keywords (array), tables (array of context, markdown, description), figures (array of
-    descriptions).
+    descriptions). table_bytes: a table's text is cut there; None keeps it whole.
     """
     none = F.array().cast("array<struct<kind:string,text:string>>")
     if_there = lambda holds, entry: F.when(holds, F.array(entry)).otherwise(none)
@@ -50,7 +50,9 @@ def added_chunks(enrichment: DataFrame, body: DataFrame) -> DataFrame:
     )
     counts = body.groupBy("book_id").agg(F.count(F.lit(1)).alias("_base"))
     rows = enrichment.select("book_id", F.posexplode(entries).alias("_at", "e")).join(counts, "book_id", "left")
-    text = F.when(F.col("e.kind") == "table", truncate_bytes(F.col("e.text"), CONFIG.chunk_bytes)).otherwise(F.col("e.text"))
+    text = F.col("e.text")
+    if table_bytes is not None:
+        text = F.when(F.col("e.kind") == "table", truncate_bytes(text, table_bytes)).otherwise(text)
     return rows.select("book_id", (F.coalesce("_base", F.lit(0)) + F.col("_at")).cast("int").alias("chunk_idx"), F.col("e.kind").alias("kind"), F.lit(None).cast("int").alias("section_idx"), text.alias("text"), text.alias("embed_text"))
 
 
@@ -61,8 +63,8 @@ def meta_chunks(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.lit(-1).alias("chunk_idx"), F.lit("meta").alias("kind"), F.lit(None).cast("int").alias("section_idx"), text.alias("text"), text.alias("embed_text"))
 
 
-def chunk_stream(books: DataFrame, body: DataFrame, sections: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """COLUMNS of all chunks of books. Only papers are enriched; what they lack is left out."""
+def chunk_stream(books: DataFrame, body: DataFrame, sections: DataFrame, enrichment: DataFrame, table_bytes: int | None = CONFIG.chunk_bytes) -> DataFrame:
+    """COLUMNS of all chunks of books. Only papers are enriched; what they lack is left out. table_bytes: as of `added_chunks`."""
     papers = enrichment.join(books.filter(F.col("doc_type") == "paper").select("book_id"), "book_id", "left_semi")
-    parts = [body_chunks(body, sections), added_chunks(papers, body), meta_chunks(books)]
+    parts = [body_chunks(body, sections), added_chunks(papers, body, table_bytes), meta_chunks(books)]
     return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS))

@@ -178,3 +178,20 @@ def test_chunk_stream_of_odd_books(spark):
     assert got["p", 5][0] == "table" and len(got["p", 5][1].encode()) <= 15_500 and got["p", 6] == ("figure description", "[그림 설명] fig")
     assert (got["p", -1][1], got["q", -1][1], got["b", -1][1]) == ("제목: p | 발행년도: 2001", "제목: Q", "제목: B")
     assert len(got) == 11
+
+
+def test_chunk_stream_query_keeps_long_tables(spark, tmp_path):
+    """A line of over 15,500 bytes is whole in the query's result, as in its SQL."""
+    import duckdb
+
+    from stackroom import plans
+
+    docs = [(i, f"head {i}\n" + ("가" * 6000 if i == 0 else "short"), "en", f"s{i}") for i in range(17)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = plans.QUERIES["ch15_chunk_stream"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL['ch15_chunk_stream']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
