@@ -30,7 +30,7 @@ from .common import quiet_gc, small_batches, text_or_empty
 from .units import PADDING, SPACES, Pool, Units, spans, texts_of
 
 #: Pieces remembered by a worker, of some 40 bytes each.
-KNOWN_PIECES = 1_500_000
+KNOWN_PIECES = 1 << 19
 #: Pieces of up to so many symbols are merged side by side, in trees of as many leaves; longer ones alone.
 WIDTHS = (8, 16, 32, 64)
 #: Trees held in memory at once.
@@ -349,9 +349,10 @@ class WordBpe:
     def forget(self) -> None:
         self.units, self.pool = Units(), Pool(self.kind)
 
-    def encode_column(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, offsets of the rows in them) for runs of rows; with end_id, one closes each row."""
-        for row, data, offsets in texts_of(column):
+    def encode_column(self, column: pa.Array, end_id: int | None = None, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of the rows in them) for runs of rows of about so many bytes; with end_id, one closes
+        each row."""
+        for row, data, offsets in texts_of(column, most):
             if len(self.units) > KNOWN_PIECES:
                 self.forget()
             low, starts, sizes, whole = segments(data, offsets)

@@ -25,8 +25,8 @@ from .bpe import load_tokenizer, worker_bpe
 from .common import quiet_gc, small_batches, text_or_empty
 
 WINDOW = 2048
-#: Tokens packed together; 2 bytes each.
-SHARD_TOKENS = 1 << 24
+#: Tokens packed together, 2 bytes each, and bytes of text encoded at once: a worker lives on beside tasks of other stages.
+SHARD_TOKENS, RUN_BYTES = 1 << 22, 1 << 19
 #: A window with more room than this share of it is cut anew.
 SLACK = 0.02
 
@@ -122,16 +122,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-    def packed(keys: list, tokens: list[np.ndarray], id_type: pa.DataType, first: int) -> tuple[list[pa.RecordBatch], int]:
-        sequences = best_fit([len(t) for t in tokens], window)
-        out, flat = [], [(k, off, p) for k, s in enumerate(sequences, first) for off, p in zip(np.cumsum([0, *(p[2] for p in s)]).tolist(), s)]
-        for at in range(0, len(flat), 2000):
-            some = flat[at : at + 2000]
+    def packed(keys: list, tokens: list[np.ndarray], sequences: list[list[tuple[int, int, int]]], id_type: pa.DataType, first: int) -> Iterator[pa.RecordBatch]:
+        flat = [(k, off, p) for k, s in enumerate(sequences, first) for off, p in zip(np.cumsum([0, *(p[2] for p in s)]).tolist(), s)]
+        for at in range(0, len(flat), 500):
+            some = flat[at : at + 500]
             cols = [pa.array([keys[p[0]] for _, _, p in some], id_type), *(pa.array([p[i] for _, _, p in some], pa.int64()) for i in (1, 2))]
             cols += [pa.array([tokens[d][s : s + n].astype("<u4").tobytes() for _, _, (d, s, n) in some], pa.binary())]
             cols += [pa.array(c, pa.int64()) for c in ([len(tokens[p[0]]) for _, _, p in some], [k for k, _, _ in some], [o for _, o, _ in some])]
-            out.append(pa.RecordBatch.from_arrays(cols, names=names))
-        return out, first + len(sequences)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with quiet_gc():
@@ -140,15 +138,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             for batch in batches:
                 id_type = batch.schema.field(0).type
                 batch_keys = batch.column(0).to_pylist()
-                for row, ids, stops in bpe.encode_column(batch.column(1), end_id):
+                for row, ids, stops in bpe.encode_column(batch.column(1), end_id, RUN_BYTES):
                     keys += batch_keys[row : row + len(stops) - 1]
                     tokens += [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
                     held += len(ids)
                     if held >= SHARD_TOKENS:
-                        out, at = packed(keys, tokens, id_type, at)
-                        yield from out
-                        held, keys, tokens = 0, [], []
+                        sequences = best_fit([len(t) for t in tokens], window)
+                        yield from packed(keys, tokens, sequences, id_type, at)
+                        at, held, keys, tokens = at + len(sequences), 0, [], []
             if keys:
-                yield from packed(keys, tokens, id_type, at)[0]
+                yield from packed(keys, tokens, best_fit([len(t) for t in tokens], window), id_type, at)
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -396,3 +396,22 @@ def test_digest_columns(docs, library):
     ids = library.encode(docs.filter("doc_id = 7").head().text, add_special_tokens=False).ids
     assert got.a == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got.b == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_packing_holds_a_bounded_shard(docs, monkeypatch):
+    """Pieces come out long before a task's input ends, a few at a time."""
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    read, n = [], 60_000
+
+    def batches():
+        for i in range(100):
+            read.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["a " * n])], names=["id", "text"])
+
+    run, tokens, first = packing.pack(docs, word_tokenizer()), 0, None
+    for batch in run(batches()):
+        first = first or len(read)
+        tokens += sum(batch.column(2).to_pylist())
+        assert sum(map(len, batch.column(3).to_pylist())) <= 4 * 500 * packing.WINDOW
+    assert tokens == 100 * (n + 1) and first * n < 5_000_000
