@@ -15,25 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.session import ship
-
-#: Rows per Arrow batch. Long documents would make the default of 10,000 rows too large for a worker.
-BATCH_ROWS = 1000
-#: Bytes after which an Arrow batch ends, whatever its rows.
-BATCH_BYTES = 16 << 20
+from stackroom.session import small_batches  # noqa: F401  the operators take it from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of one Arrow batch, and see that the workers have this code."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     sc = spark.sparkContext

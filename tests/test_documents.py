@@ -125,3 +125,15 @@ def test_batch_is_taken_up_again(spark, tmp_path):
     assert replies.ask(rows.filter("id = 1"), "prompt", lambda ps: [p + "!" for p in ps], again=True) == (1, 0)
     assert replies.joined(rows.filter("id = 1"), "prompt").head().reply == "abc!"
     assert ReplyTable(spark, f"{tmp_path}/r", "other").ask(rows, "prompt", upper) == (4, 0)  # another model is asked anew
+
+def test_paper_parts_go_in_small_batches(spark):
+    """What a worker holds doesn't grow with a task's rows."""
+    from stackroom.operators import papers
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", "if(id % 7 = 0, null, concat('Abstract: ', repeat('word ', 30), id, '\\nKeywords: a, b')) AS text")
+    got = papers.enrich(docs)
+    sizes = [len(b) for b in docs.mapInArrow(lambda bs: (b for b in bs), "doc_id long, text string").toArrow().to_batches()]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert max(sizes) <= 1000 and len(rows) == 5000
+    assert rows[7].abstract is None and rows[8].keywords == ["a", "b"] and rows[4999].abstract.endswith("4999")
