@@ -71,7 +71,7 @@ def _sparse_sql(documents: str) -> str:
 
 
 def _sparse(spark, d, drop: float) -> DataFrame:
-    index = SparseIndex.build(retrieval.postings(table(spark, d, "documents")), scratch(spark, "postings"), drop=drop)
+    index = SparseIndex.of_texts(table(spark, d, "documents"), scratch(spark, "postings"), drop=drop)
     return index.search(query_weights(table(spark, d, "benchmark"), query="item_id"), 10)
 
 

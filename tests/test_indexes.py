@@ -135,3 +135,18 @@ def test_drop_quantile_and_query_weights(spark):
     weights = sorted(math.log1p(n) for n in (3, 2, 1, 1))
     assert got == {(1, t): round(math.log1p(n), 6) for t, n in (("a", 3), ("b", 2)) if math.log1p(n) >= (weights[1] + weights[2]) / 2}
     assert pruned(retrieval.postings(texts, "item"), "item", 0.0).count() == 4
+
+
+def test_index_of_texts_shuffles_only_texts(spark, tmp_path, monkeypatch):
+    """What is written comes from one exchange, which deals texts by range; duplicates of a key are one text."""
+    from pyspark.sql import DataFrameWriter
+
+    texts = [(i % 700, f"common w{i % 5} w{i % 5} rare{i}") for i in range(900)]
+    docs, plans, save = spark.createDataFrame(texts, "doc_id long, text string"), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (plans.append((path, self._df._jdf.queryExecution().sparkPlan().toString(), self._df._jdf.queryExecution().executedPlan().toString())), save(self, path, *a, **b))[1])
+    index = SparseIndex.of_texts(docs, f"{tmp_path}/index", drop=0.2)
+    plan = next(p for path, _, p in plans if path.endswith("/blocks"))
+    assert plan.count("Exchange") == 1
+    got = {(t, k): w for t, keys, ws in spark.read.parquet(f"{tmp_path}/index/blocks").select("token", "keys", "weights").collect() for k, w in zip(keys, ws)}
+    want = {(r.token, r.doc_id): r.weight for r in pruned(retrieval.postings(docs), "doc_id", 0.2).collect()}
+    assert got == want and index.key == "doc_id"
