@@ -40,7 +40,8 @@ class ItemTimers(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:  # rows that only move the clock
             return
-        seq, status, group, attempt = self.item.get() if self.item.exists() else (-1, None, None, 0)
+        kept = self.item.get()  # each call on state goes to the JVM and back
+        seq, status, group, attempt = kept or (-1, None, None, 0)
         limit = silent = None
         for r in sorted(rows, key=lambda r: r["seq"]):
             if r["seq"] <= seq:  # came again, or too late
@@ -53,16 +54,18 @@ class ItemTimers(StatefulProcessor):
         if silent is None:
             return
         self.item.update((seq, status, group, attempt))
-        self._alone()
+        if kept:  # a new item has no timer
+            self._alone()
         if status in IN_FLIGHT:
             self.handle.registerTimer(silent + limit + 1)
         elif status in ("done", "canceled"):
             self.handle.registerTimer(silent + self.keep)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.item.exists():
+        kept = self.item.get()
+        if not kept:
             return
-        seq, status, _, attempt = self.item.get()
+        seq, status, _, attempt = kept
         if status not in IN_FLIGHT:
             self.item.clear()
             return

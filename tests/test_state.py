@@ -141,3 +141,18 @@ def test_figures_are_cut_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(BucketTable, "replace", lambda self, rows: (read.extend(rows.inputFiles()), replace(self, rows)))
     plans.QUERIES["snk07_figures_replaced"](spark, sf_dir)
     assert read and not any("/documents.parquet" in f for f in read)
+
+
+def test_new_items_make_few_calls_on_state():
+    """Each call goes to the JVM and back: a new item reads and writes its state once, and sets a timer if it needs one."""
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or None
+
+    processor = timers.ItemTimers(1000)
+    processor.handle = processor.item = Handle()
+    row = {"id": 1, "seq": 1, "status": "running", "error_group": None, "attempt": 0, "limit_ms": 5, "at_ms": 7}
+    assert [r.status for r in processor.handleInputRows((1,), iter([row]), None)] == ["running"]
+    assert calls == ["get", "update", "registerTimer"]
