@@ -22,6 +22,9 @@ over the words that begin with an id, so a text's score is the log of a probabil
 Scoring cuts a text into windows of WINDOW ids that overlap by CONTEXT, and scores each id once, in the window where
 it has at least CONTEXT ids before it (or the text's start); windows of many texts make one batch.
 
+One pass over the texts writes their ids to a table and counts their words. What follows reads the ids: words come back
+from them by the bytes of the vocabulary.
+
 Also given: the add-one unigram score over whole words. For both, counts of the HEAD_WORDS most frequent words go to
 all tasks; the others meet their counts by a shuffled join, so every training word counts.
 
@@ -53,8 +56,8 @@ CLASSES = HEAD + 2
 TOPICS, DIM, HIDDEN = 16, 8, 16
 EXPERTS = TOPICS + 1
 WINDOW, CONTEXT = 32, 8
-#: Windows in a step of Adam, its rate in the start and in the rounds; ids between two sums of counts.
-BATCH, START_RATE, RATE, HELD_IDS = 128, 2e-2, 2e-3, 1 << 17
+#: Windows in a step of Adam, its rate in the start and in the rounds; ids between two sums of pairs.
+BATCH, START_RATE, RATE, HELD_IDS = 128, 2e-2, 2e-3, 1 << 19
 START_IDS, START_EPOCHS = 600_000, 4
 #: Each training text is in one of the rounds: of so many parts of the texts, this many.
 ROUNDS, PARTS = (1, 3), 4
@@ -80,17 +83,29 @@ class Subwords:
         for token, i in ranks.items():
             self.opens[i] = token.startswith(b" ")
         self.opens[self.end] = True
+        self.spelled = Pool(np.uint8)
+        tokens = sorted(ranks, key=ranks.get)
+        self.spelled.add(np.frombuffer(b"".join(tokens), np.uint8), np.array([*map(len, tokens), 0]))
         self.forget()
 
+    @property
+    def kind(self) -> type:
+        """Of the numbers that ids are kept as."""
+        return np.uint16 if self.end < 1 << 16 else np.uint32
+
     def forget(self) -> None:
-        self.units, self.pool = Units(), Pool(np.uint16 if self.end < 1 << 16 else np.uint32)
+        self.units, self.pool, self.words = Units(), Pool(self.kind), Pool(np.uint8)
         self.pool.add(np.array([self.end]), np.array([1]))  # stretch 0 is the end; a word's is its code plus one
 
     def encode(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words end to end, and their numbers."""
         if not some:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = np.array(self.coder.encode_ordinary(" " + b" ".join(some).decode("utf-8", "surrogatepass")), np.int64)
+        text = " " + b" ".join(some).decode("utf-8", "surrogatepass")
+        try:
+            ids = self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        except UnicodeEncodeError:  # halves of characters
+            ids = np.array(self.coder.encode_ordinary(text), np.int64)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) == len(some):
             return ids, np.diff(starts, append=len(ids))
@@ -105,19 +120,35 @@ class Subwords:
         codes, new = self.units.codes(low, starts, sizes)
         for at in range(0, len(new), 1 << 14):
             part = new[at : at + (1 << 14)]
-            self.pool.add(*self.encode([low[a : a + n].tobytes() for a, n in zip(starts[part].tolist(), sizes[part].tolist())]))
+            n = sizes[part] + 1
+            apart = low[spans(starts[part] - 1, n)]
+            apart[np.cumsum(n) - n] = ord(" ")
+            self.pool.add(*self.encode(apart.tobytes()[1:].split(b" ")))
+        self.words.add(low[spans(starts[new], sizes[new])], sizes[new])
         return codes, new
 
-    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, offsets of the rows in them) for runs of rows; the end id closes each row."""
-        for row, data, offsets in texts_of(column):
-            if len(self.units) > KNOWN_WORDS:
-                self.forget()
-            low = lowered(data)
-            starts, sizes, at = words(low, offsets)
-            codes, _ = self.codes(low, starts, sizes)
-            ids, counts = self.pool.of(np.insert(codes + 1, at[1:], 0))
-            yield row, ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[at + np.arange(len(at))]
+    def ids(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts of these words, each closed by the end id; where they stop, from 0 on; codes of the words."""
+        codes, _ = self.codes(low, starts, sizes)
+        ids, counts = self.pool.of(np.insert(codes + 1, at[1:], 0))
+        return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[at + np.arange(len(at))], codes
+
+    def spell(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of texts given as ids, as by `units.words`: bytes with PADDING, starts, sizes, words before each text."""
+        low, sizes = self.spelled.of(ids)
+        opened = np.flatnonzero(self.opens[ids])
+        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        word = opened[ids[opened] != self.end]
+        starts = stops[word] + 1  # behind the space
+        ends = stops[opened[np.flatnonzero(ids[opened] != self.end) + 1]]
+        return np.concatenate([low, np.zeros(PADDING, np.uint8)]), starts, ends - starts, np.searchsorted(word, at)
+
+
+def ids_of(column: pa.Array, kind: type, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, offsets of the rows in them) for runs of rows of a column of ids."""
+    size = np.dtype(kind).itemsize
+    for row, data, offsets in texts_of(column, most):
+        yield row, data[:-PADDING].view(kind), offsets // size
 
 
 _built: dict[int, Subwords] = {}
@@ -168,12 +199,13 @@ class Facts:
 
     def learn(self, pairs: np.ndarray, topics: np.ndarray) -> None:
         """pairs: counts of class after class; topics: counts of id by topic."""
-        self.pairs, self.topics = np.zeros((CLASSES, CLASSES), np.float32), np.zeros((len(self.of), TOPICS), np.float32)
+        self.pairs, self.by_id = np.zeros((CLASSES, CLASSES), np.float32), np.zeros((len(self.of), EXPERTS + 1), np.float32)
+        self.by_id[:, TOPICS], self.by_id[:, EXPERTS] = self.share, self.opens
         for c, kind in ((self.class_opens, self.opens), (~self.class_opens, ~self.opens)):
             n = pairs[:, c] + PAIR_PRIOR * self.class_alone[c]
             self.pairs[:, c] = n / np.maximum(1e-300, n.sum(1, keepdims=True))
             n = topics[kind] + TOPIC_PRIOR * self.alone[kind, None]
-            self.topics[kind] = n / n.sum(0)
+            self.by_id[kind, :TOPICS] = n / n.sum(0)
         opened, gone = pairs[:, self.class_opens].sum(1), pairs[:, ~self.class_opens].sum(1)
         mean = (opened.sum() + 1) / (pairs.sum() + 2)
         self.open_odds = np.log((opened + PAIR_PRIOR * mean) / (gone + PAIR_PRIOR * (1 - mean))).astype(np.float32)
@@ -188,19 +220,19 @@ class Facts:
         for _ in range(rounds):
             by = np.stack([np.bincount(ids, times * share[text, k], n_ids) for k in range(TOPICS)], axis=1)
             self.learn(np.zeros((CLASSES, CLASSES)), by)
-            logs, weight = np.log(self.topics), np.log(share.sum(0) + 1)
+            logs, weight = np.log(self.by_id[:, :TOPICS]), np.log(share.sum(0) + 1)
             z = np.stack([np.bincount(text, times * logs[ids, k], n_texts) for k in range(TOPICS)], axis=1) + weight
             share = np.exp(z - z.max(1, keepdims=True))
             share /= share.sum(1, keepdims=True)
 
     def experts(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Probability of each id among its kind by each expert; before: the class before it."""
-        out = np.empty((len(ids), EXPERTS), np.float32)
-        np.take(self.topics, ids, axis=0, out=out[:, :TOPICS], mode="clip")
-        np.multiply(np.take(self.pairs.ravel(), before * np.int32(CLASSES) + np.take(self.of, ids)), np.take(self.share, ids), out=out[:, TOPICS])
+        """Probability of each id among its kind by each expert; last, whether it opens a word. before: the class before."""
+        out = np.take(self.by_id, ids, axis=0, mode="clip")
+        out[:, TOPICS] *= np.take(self.pairs.ravel(), before * np.int32(CLASSES) + np.take(self.of, ids))
         return out
 
 
+
 _gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _causal = _gap >= 0
 #: Attention weights are exponentials read off the bits of a float: linear between powers of two, and cheap. They are
@@ -209,6 +241,8 @@ _EXP_SCALE, _EXP_SHIFT = np.float32((1 << 23) / math.log(2)), np.float32(127 * (
 #: Bounds of the bits: nothing of what comes later, and something of the position itself, so that weights have a sum.
 _most = np.where(_causal, 190 << 23, 0).astype(np.float32)
 _least = np.where(_gap == 0, 64 << 23, 0).astype(np.float32)
+#: What the gradients of queries, keys and values lack; the queries at hand hold the scale of the exponentials.
+_DQKV = np.repeat(np.array([1 / math.sqrt(DIM), 1 / _EXP_SCALE, 1], np.float32), DIM)
 
 
 def forward(p: dict, x: np.ndarray, first: np.ndarray | None = None, since: int = 0) -> tuple[np.ndarray, dict]:
@@ -231,57 +265,66 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray | None = None, since: int
         s[some] -= np.where(np.arange(WINDOW) < first[some, None], np.float32(1e12), np.float32(0))[:, None]
     np.minimum(s, _most[since:], out=s)
     a = np.maximum(s, low, out=s).astype(np.int32).view(np.float32)
-    mix = a @ v
-    total = mix[:, :, DIM:]
-    mix = (mix[:, :, :DIM] / total).reshape(-1, DIM)
-    flat = np.take(p["embed"], here, axis=0)
-    flat += mix @ p["out"]
+    mix = (a @ v).reshape(-1, DIM + 1)
+    total = mix[:, DIM:]
+    mix = mix[:, :DIM] / total
+    own = np.take(p["embed"], here, axis=0)
+    flat = mix @ p["out"]
+    flat += own
     up = flat @ p["up"]
     np.maximum(up, 0, out=up)
     z = up @ p["down"]
     z += np.take(p["bias"], here, axis=0)
-    return z, {"q": q, "k": k, "v": v, "a": a, "total": total, "mix": mix, "flat": flat, "up": up, "n": n, "m": m}
+    return z, {"q": q, "k": k, "v": v, "a": a, "total": total, "mix": mix, "own": own, "flat": flat, "up": up, "n": n, "m": m}
 
 
-_ones = np.ones((EXPERTS, 1), np.float32)
+#: Adds up the experts, but not what stands behind them.
+_experts = (np.arange(EXPERTS + 1) < EXPERTS).astype(np.float32)[:, None]
 
 
 def weights(z: np.ndarray) -> np.ndarray:
-    """Of the experts."""
-    g = np.exp(np.clip(z[:, :EXPERTS], -40, 40))
-    g /= g @ _ones
+    """Of the experts; the last column is of no use."""
+    g = np.clip(z, -40, 40)
+    np.exp(g, out=g)
+    g /= g @ _experts
     return g
 
 
-def gradients(p: dict, facts: Facts, x: np.ndarray, ids: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Of the mean loss over the real positions; the topics' shares in the ids; the loss. x: the classes before the ids."""
+#: Where the numbers of a class lie in a flat array of all classes.
+_places = {k: np.arange(CLASSES * n).reshape(CLASSES, n) for k, n in (("embed", DIM), ("bias", EXPERTS + 1))}
+
+
+def gradients(p: dict, facts: Facts, x: np.ndarray, ids: np.ndarray, real: np.ndarray, losses: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Of the mean loss over the real positions; the experts' shares in the ids, none in ids that aren't real; the loss,
+    if asked for. x: the classes before the ids."""
     z, c = forward(p, x)
     n, m = c["n"], c["m"]
-    flat_x, flat_ids, flat_real = x.ravel(), ids.ravel(), real.ravel()
+    flat_x, flat_ids, unreal = x.ravel(), ids.ravel(), np.flatnonzero(~real)
     g = weights(z)
     by = facts.experts(flat_x, flat_ids)
+    opens = by[:, EXPERTS].copy()
     by *= g
-    total = by @ _ones
+    total = by @ _experts
     by /= total
-    opens = facts.opens[flat_ids]
-    u = z[:, EXPERTS] + facts.open_odds[flat_x]
-    chance = 1 / (1 + np.exp(-u))
-    loss = -float((np.log(total[:, 0]) + np.log(np.where(opens, chance, 1 - chance) + np.float32(1e-30)))[flat_real].sum())
-    d = np.empty_like(z)
-    np.subtract(g, by, out=d[:, :EXPERTS])
+    chance = 1 / (1 + np.exp(-(z[:, EXPERTS] + np.take(facts.open_odds, flat_x))))
+    loss = -float((np.log(total[:, 0]) + np.log(np.where(opens > 0, chance, 1 - chance) + np.float32(1e-30)))[real.ravel()].sum()) if losses else math.nan
+    d = g
+    d -= by
     np.subtract(chance, opens, out=d[:, EXPERTS])
-    d *= (flat_real / np.float32(max(1, flat_real.sum()))).astype(np.float32)[:, None]
+    d[unreal] = by[unreal] = 0
     out = {"down": c["up"].T @ d}
     du = d @ p["down"].T
     du *= c["up"] > 0
     out["up"] = c["flat"].T @ du
     dh = du @ p["up"].T
     out["out"] = c["mix"].T @ dh
-    dmix = dh @ p["out"].T
     # The last column of v is one: there goes what the weights' sum takes away.
-    beside = np.concatenate([dmix, -np.einsum("ij,ij->i", dmix, c["mix"])[:, None]], axis=1).reshape(n, m, DIM + 1)
+    beside = np.empty((n * m, DIM + 1), np.float32)
+    np.matmul(dh, p["out"].T, out=beside[:, :DIM])
+    np.matmul(beside[:, :DIM] * c["mix"], -_experts[:DIM, 0], out=beside[:, DIM])
+    beside /= c["total"]
+    beside = beside.reshape(n, m, DIM + 1)
     a = c["a"]
-    a /= c["total"]
     da = beside @ c["v"].transpose(0, 2, 1)
     da *= a
     out["far"] = np.bincount(np.maximum(_gap, 0).ravel(), (da.sum(0) * _causal).ravel(), WINDOW).astype(np.float32)
@@ -289,44 +332,52 @@ def gradients(p: dict, facts: Facts, x: np.ndarray, ids: np.ndarray, real: np.nd
     np.matmul(da, c["k"], out=dqkv[:, :, :DIM])
     np.matmul(da.transpose(0, 2, 1), c["q"], out=dqkv[:, :, DIM : 2 * DIM])
     np.matmul(a.transpose(0, 2, 1), beside[:, :, :DIM], out=dqkv[:, :, 2 * DIM :])
-    dqkv[:, :, :DIM] *= np.float32(1 / math.sqrt(DIM))
-    dqkv[:, :, DIM : 2 * DIM] /= _EXP_SCALE  # q holds the scale of the exponentials
     dqkv = dqkv.reshape(-1, 3 * DIM)
-    out["qkv"] = np.take(p["embed"], flat_x, axis=0).T @ dqkv
+    out["qkv"] = (c["own"].T @ dqkv) * _DQKV
+    dh += dqkv @ (p["qkv"] * _DQKV).T
     # By class: what reaches its embedding, and its bias.
-    order = np.argsort(flat_x.astype(np.uint16), kind="stable")
-    both = np.concatenate([dqkv @ p["qkv"].T + dh, d], axis=1)
-    at, starts = np.unique(flat_x[order], return_index=True)
-    summed = np.add.reduceat(np.take(both, order, axis=0), starts)
-    out["embed"], out["bias"] = np.zeros_like(p["embed"]), np.zeros_like(p["bias"])
-    out["embed"][at], out["bias"][at] = summed[:, :DIM], summed[:, DIM:]
-    return out, by[:, :TOPICS], loss
+    for name, rows in (("embed", dh), ("bias", d)):
+        out[name] = np.zeros(p[name].shape, np.float32)
+        np.add.at(out[name].ravel(), np.take(_places[name], flat_x, axis=0).ravel(), rows.astype(np.float32, copy=False).ravel())
+    each = np.float32(1 / max(1, n * m - len(unreal)))
+    return {k: x * each for k, x in out.items()}, by, loss
 
 
 class Adam:
-    def __init__(self, params: dict, rate: float):
+    """Changes numbers in place."""
+
+    def __init__(self, size: int, rate: float):
         self.t, self.rate = 0, rate
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
+        self.m, self.v, self.x = (np.zeros(size, np.float32) for _ in range(3))
 
-    def step(self, params: dict, grads: dict) -> None:
+    def step(self, params: np.ndarray, grads: np.ndarray) -> None:
         self.t += 1
         size = np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
-        for k, g in grads.items():
-            m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            params[k] = params[k] - size * m / (np.sqrt(v) + np.float32(1e-7))
+        m, v, x = self.m, self.v, self.x
+        np.subtract(grads, m, out=x)
+        x *= np.float32(0.1)
+        m += x
+        np.multiply(grads, grads, out=x)
+        x -= v
+        x *= np.float32(0.01)
+        v += x
+        np.sqrt(v, out=x)
+        x += np.float32(1e-7)
+        np.divide(m, x, out=x)
+        x *= size
+        params -= x
 
 
 class Learner:
     """Trains on windows of texts and sums up what is counted on the way."""
 
     def __init__(self, params: dict, facts: Facts, rate: float):
-        self.params, self.facts, self.adam = dict(params), facts, Adam(params, rate)
+        self.flat = flat_params(params)
+        self.params, self.facts, self.adam = shaped_params(self.flat), facts, Adam(len(self.flat), rate)
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.ids_held, self.seen, self.loss = 0, 0, 0.0
-        self.pairs, self.topics = np.zeros(CLASSES * CLASSES), np.zeros((TOPICS, len(facts.of)))
-        self.done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids_held, self.seen = 0, 0
+        self.pairs, self.topics = np.zeros(CLASSES * CLASSES), np.zeros(len(facts.of) * TOPICS)
+        self.met: list[np.ndarray] = []
 
     def texts(self, ids: np.ndarray, at: np.ndarray) -> None:
         """ids of texts, each closed by its end."""
@@ -350,23 +401,21 @@ class Learner:
         stop = len(x) // most * most if most > 1 else len(x)
         for a in range(0, stop, BATCH):
             b = min(a + BATCH, stop)
-            grads, by, loss = gradients(self.params, self.facts, x[a:b], ids[a:b], real[a:b])
-            self.adam.step(self.params, grads)
-            ok = real[a:b].ravel()
-            self.done.append((x[a:b].ravel()[ok], ids[a:b].ravel()[ok], by[ok]))
-            self.seen += int(ok.sum())
-            self.loss += loss
-            if len(self.done) * BATCH * WINDOW >= HELD_IDS:
+            grads, by, _ = gradients(self.params, self.facts, x[a:b], ids[a:b], real[a:b], losses=False)
+            self.adam.step(self.flat, flat_params(grads))
+            place = np.repeat(ids[a:b].astype(np.int64) * TOPICS, TOPICS).reshape(-1, TOPICS)
+            place += np.arange(TOPICS)
+            np.add.at(self.topics, place.ravel(), by[:, :TOPICS].astype(np.float64).ravel())
+            self.met.append((x[a:b] * np.int32(CLASSES) + np.take(self.facts.of, ids[a:b]))[real[a:b]])
+            self.seen += len(self.met[-1])
+            if len(self.met) * BATCH * WINDOW >= HELD_IDS:
                 self.count()
         self.held, self.ids_held = [(x[stop:], ids[stop:], real[stop:])], len(x) - stop
 
     def count(self) -> None:
-        if self.done:
-            before, ids, by = (np.concatenate(c) for c in zip(*self.done))
-            self.pairs += np.bincount(before * CLASSES + self.facts.of[ids], minlength=CLASSES * CLASSES)
-            for k, x in enumerate(np.ascontiguousarray(by.T, np.float64)):
-                self.topics[k] += np.bincount(ids, x, len(self.facts.of))
-            self.done = []
+        if self.met:
+            self.pairs += np.bincount(np.concatenate(self.met), minlength=CLASSES * CLASSES)
+            self.met = []
 
     def close(self) -> None:
         self.learn(1)
@@ -374,7 +423,7 @@ class Learner:
 
     def sums(self) -> np.ndarray:
         """Parameters times ids, ids, pairs, topics: all can be added up over tasks."""
-        return np.concatenate([flat_params(self.params).astype(np.float64) * self.seen, [self.seen], self.pairs, self.topics.ravel()])
+        return np.concatenate([self.flat.astype(np.float64) * self.seen, [self.seen], self.pairs, self.topics])
 
 
 def flat_params(p: dict) -> np.ndarray:
@@ -382,9 +431,10 @@ def flat_params(p: dict) -> np.ndarray:
 
 
 def shaped_params(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Views, if the numbers are 32 bits wide."""
     out, at = {}, 0
     for k, v in sorted(init_params().items()):
-        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32, copy=False)
         at += v.size
     return out
 
@@ -394,7 +444,7 @@ def parted(sums: np.ndarray, params: dict) -> tuple[dict, np.ndarray, np.ndarray
     n = flat_params(params).size
     flat, seen = sums[:n], sums[n]
     at = n + 1 + CLASSES * CLASSES
-    return (shaped_params(flat / seen) if seen else params), sums[n + 1 : at].reshape(CLASSES, CLASSES), sums[at:].reshape(TOPICS, -1).T
+    return (shaped_params(flat / seen) if seen else params), sums[n + 1 : at].reshape(CLASSES, CLASSES), sums[at:].reshape(-1, TOPICS)
 
 
 def summed(rows: DataFrame, size: int, tasks: int) -> np.ndarray:
@@ -442,19 +492,19 @@ def started(texts: Iterator[tuple[np.ndarray, np.ndarray]], params: dict, facts:
         for ids, at in held:
             learner.texts(ids, at)
         learner.close()
-        facts.learn(learner.pairs.reshape(CLASSES, CLASSES), learner.topics.T)
+        facts.learn(learner.pairs.reshape(CLASSES, CLASSES), learner.topics.reshape(-1, TOPICS))
     return learner
 
 
-def learned(texts: DataFrame, raw: Broadcast, params: dict, facts: Facts, start: bool = False) -> np.ndarray:
+def learned(texts: DataFrame, kind: type, params: dict, facts: Facts, start: bool = False) -> np.ndarray:
     """The sums of all tasks' learners over the texts. start: of one task, which learns START_IDS ids again and again."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((params, facts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (params, facts) = worker_subwords(raw.value), shared.value
+        params, facts = shared.value
         with quiet_gc():
-            some = (part for batch in batches for _, *part in coder.texts(batch.column(0)))
+            some = (part for batch in batches for _, *part in ids_of(batch.column(0), kind))
             if start:
                 learner = started(some, params, facts)
             else:
@@ -467,12 +517,12 @@ def learned(texts: DataFrame, raw: Broadcast, params: dict, facts: Facts, start:
             yield chunks_of({i: sums[at : at + CHUNK] for i, at in enumerate(range(0, len(sums), CHUNK))}, task=TaskContext.get().partitionId())
 
     size = flat_params(params).size + 1 + CLASSES * CLASSES + len(facts.of) * TOPICS
-    rows = texts.select("text").mapInArrow(run, "chunk int, x binary, task int")
+    rows = texts.select("ids").mapInArrow(run, "chunk int, x binary, task int")
     return summed(rows, size, min(-(-size // CHUNK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def train(texts: DataFrame, n_texts: int, raw: Broadcast, single: np.ndarray, opens: np.ndarray) -> tuple[dict, Facts]:
-    """texts: (text, hash) of the training rows; single: counts of their ids."""
+def train(texts: DataFrame, n_texts: int, kind: type, single: np.ndarray, opens: np.ndarray) -> tuple[dict, Facts]:
+    """texts: (ids, hash) of the training rows; single: counts of their ids."""
     params, facts = init_params(), Facts(single, opens)
     if not n_texts:
         return params, facts
@@ -482,44 +532,60 @@ def train(texts: DataFrame, n_texts: int, raw: Broadcast, single: np.ndarray, op
     share = min(1.0, 2 * START_IDS / mean / n_texts)
     chosen = F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
     some = texts.filter(chosen).repartition(1).sortWithinPartitions(F.xxhash64("hash"))
-    params, pairs, topics = parted(learned(some, raw, params, facts, start=True), params)
+    params, pairs, topics = parted(learned(some, kind, params, facts, start=True), params)
     facts.learn(pairs, topics)
     pairs, topics, first = np.zeros_like(pairs), np.zeros_like(topics), 0
     for parts in ROUNDS:
         part = F.col("hash") % F.lit(PARTS)
-        params, p, t = parted(learned(texts.filter((part >= first) & (part < first + parts)), raw, params, facts), params)
+        params, p, t = parted(learned(texts.filter((part >= first) & (part < first + parts)), kind, params, facts), params)
         pairs, topics, first = pairs + p, topics + t, first + parts
         facts.learn(pairs, topics)
     return params, facts
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, n) of the words of all texts; the empty word counts the texts."""
+def tokenized(rows: DataFrame, raw: Broadcast) -> DataFrame:
+    """One pass over (id, text, held_out, hash) gives two kinds of rows. Of each text: id, held_out, hash, its ids, and
+    its lowered bytes where the ids don't give them back (halves of characters). Of each task: (word, n), counts in its
+    training texts; the empty word counts these texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts, held, rows = Units(), np.zeros(0, np.int64), [], 0
+        coder, counts, trained, id_type = worker_subwords(raw.value), np.zeros(0, np.int64), 0, None
 
-        def out() -> pa.RecordBatch:
-            sizes = np.concatenate([n for _, n in held]) if held else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([binaries(np.concatenate([b for b, _ in held]) if held else np.zeros(0, np.uint8), sizes), pa.array(counts)], names=["word", "n"])
+        def out(**columns: pa.Array) -> pa.RecordBatch:
+            """Rows with these columns; the others are null."""
+            kinds = {"id": id_type, "held_out": pa.bool_(), "hash": pa.int64(), "ids": pa.binary(), "low": pa.binary(), "word": pa.binary(), "n": pa.int64()}
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(size, kind) for k, kind in kinds.items()], names=list(kinds))
 
-        for batch in batches:
-            rows += len(batch)
-            for _, data, offsets in texts_of(batch.column(0)):
-                low = lowered(data)
-                starts, sizes, _ = words(low, offsets)
-                codes, new = units.codes(low, starts, sizes)
-                held.append((low[spans(starts[new], sizes[new])], sizes[new]))
-                more = np.bincount(codes, minlength=len(units))
-                more[: len(counts)] += counts
-                counts = more
-                if len(units) > KNOWN_WORDS:
-                    yield out()
-                    units, counts, held = Units(), np.zeros(0, np.int64), []
-        yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([rows])], names=["word", "n"])
-
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def counted() -> pa.RecordBatch:
+            some = np.flatnonzero(counts)
+            return out(word=binaries(*coder.words.of(some)), n=pa.array(counts[some]))
+
+        with quiet_gc():
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for row, data, offsets in texts_of(batch.column(1)):
+                    if len(coder.units) > KNOWN_WORDS:
+                        yield counted()
+                        counts = np.zeros(0, np.int64)
+                        coder.forget()
+                    low = lowered(data)
+                    starts, sizes, at = words(low, offsets)
+                    ids, stops, codes = coder.ids(low, starts, sizes, at)
+                    part = batch.slice(row, len(offsets) - 1)
+                    trains = part.column(2).fill_null(True).to_numpy(zero_copy_only=False) == 0
+                    more = np.bincount(codes[np.repeat(trains, np.diff(at))], minlength=len(coder.units))
+                    more[: len(counts)] += counts
+                    counts, trained = more, trained + int(trains.sum())
+                    odd = np.flatnonzero((low[:-1] == 0xED) & (low[1:] >= 0xA0))
+                    lost = np.isin(np.arange(len(part)), np.searchsorted(offsets, odd, "right") - 1) if len(odd) else np.zeros(len(part), bool)
+                    kept = pa.array([low[a:b].tobytes() if x else None for x, a, b in zip(lost, offsets, offsets[1:])] if len(odd) else [None] * len(part), pa.binary())
+                    yield out(id=part.column(0), held_out=part.column(2), hash=part.column(3), ids=binaries(ids.view(np.uint8), np.diff(stops) * ids.itemsize), low=kept)
+            if id_type is not None:
+                yield counted()
+                yield out(word=pa.array([b""], pa.binary()), n=pa.array([trained]))
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, hash long, ids binary, low binary, word binary, n long")
 
 
 def binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -565,15 +631,14 @@ class Scorer:
     """A worker's: ids and counts of the words it knows, and batches of windows."""
 
     def __init__(self, coder: Subwords, model: Model):
-        self.coder, self.model = Subwords.__new__(Subwords), model
-        self.coder.coder, self.coder.end, self.coder.opens = coder.coder, coder.end, coder.opens
+        self.coder, self.model = coder, model
         self.forget()
 
     def forget(self) -> None:
         """Know the most frequent training words only."""
-        self.coder.forget()
         flat, sizes, counts = self.model.head
-        codes, _ = self.coder.codes(np.concatenate([flat, np.zeros(PADDING, np.uint8)]), np.cumsum(sizes) - sizes, sizes)
+        self.units = Units()
+        codes, _ = self.units.codes(np.concatenate([flat, np.zeros(PADDING, np.uint8)]), np.cumsum(sizes) - sizes, sizes)
         self.counts = np.empty(len(counts))
         self.counts[codes] = counts  # long words have later codes than short ones, whatever their counts
 
@@ -586,47 +651,50 @@ class Scorer:
         left = np.minimum(np.repeat(sizes, counts) - starts, step)
         place = np.repeat(at[:-1], counts) + starts
         first = np.where(starts == 0, CONTEXT, 0)
-        before = facts.of[np.concatenate([[len(facts.of) - 1], ids[:-1]]).astype(np.int64)]
-        line = np.concatenate([np.zeros(CONTEXT, before.dtype), before, np.zeros(step, before.dtype)])
-        seen = np.lib.stride_tricks.sliding_window_view(line, WINDOW)
-        log, odds = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+        line = np.concatenate([np.full(CONTEXT + 1, len(facts.of) - 1), ids, np.zeros(step, np.int64)])
+        seen, then = (np.lib.stride_tricks.sliding_window_view(c, m) for c, m in ((facts.of[line], WINDOW), (line[CONTEXT + 1 :], step)))
+        log, odds, done = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32), 0
         for a in range(0, len(place), batch):
-            some = place[a : a + batch]
+            some, n = place[a : a + batch], left[a : a + batch]
             x = seen[some]
             z, _ = forward(self.model.params, x, first[a : a + batch], CONTEXT)
-            real = (np.arange(step) < left[a : a + batch, None]).ravel()
-            z = z[real]
-            to = spans(some, left[a : a + batch])
-            log[to] = np.log(np.einsum("ij,ij->i", weights(z), facts.experts(before[to], ids[to])))
-            odds[to] = z[:, EXPERTS] + facts.open_odds[before[to]]
+            before, g = x[:, CONTEXT:].ravel(), weights(z)
+            g *= facts.experts(before, then[some].ravel())
+            # The windows' own positions follow each other as the ids do.
+            real = (np.arange(step) < n[:, None]).ravel()
+            to = slice(done, done + int(n.sum()))
+            log[to] = np.log(g @ _experts)[real, 0]
+            odds[to] = (z[:, EXPERTS] + np.take(facts.open_odds, before))[real]
+            done = to.stop
         return log, odds
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of texts, see `rate`."""
+        low = lowered(data)
+        found = words(low, offsets)
+        ids, stops, _ = self.coder.ids(low, *found)
+        return self.rate(ids, stops, low, *found)
+
+    def rate(self, ids: np.ndarray, stops: np.ndarray, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known common tokens, logs of their counts plus one, score without the counts of words
         that are not common; then those words: how many a text has, where they lie, their bytes, and the log10 of what
         their probability without a count is in shares of the lexicon."""
         m = self.model
-        if len(self.coder.units) > KNOWN_WORDS + len(self.counts):
-            self.forget()
-        low = lowered(data)
-        starts, sizes, at = words(low, offsets)
-        codes, _ = self.coder.codes(low, starts, sizes)
-        marked = np.insert(codes + 1, at[1:], 0)  # with the ends
-        ids, counts = self.coder.pool.of(marked)
-        opened = np.cumsum(counts, dtype=np.int64) - counts
+        codes = self.units.find(low, starts, sizes)
+        opened = np.flatnonzero(self.coder.opens[ids])
+        begins = ids[opened]
         word_at = at + np.arange(len(at))
-        log, odds = self.windows(ids, np.concatenate([opened, [len(ids)]])[word_at])
-        first, is_end = log[opened].astype(np.float64), marked == 0
+        log, odds = self.windows(ids, stops)
+        first, is_end = log[opened].astype(np.float64), begins == self.coder.end
         further = log - np.logaddexp(0, odds)
         further[opened] = 0
         after = np.flatnonzero(~is_end)
         spelled = np.add.reduceat(further, opened).astype(np.float64)
         spelled[after] -= np.logaddexp(0, -odds[opened[after + 1]])  # the word ends: another one opens, or the text does
         n = np.where(is_end, m.n_train, 0).astype(np.float64)
-        common = np.zeros(len(marked), bool)
-        common[after] = codes < len(self.counts)
-        n[common] = self.counts[marked[common] - 1]
-        begins = ids[opened]
+        common = np.zeros(len(opened), bool)
+        common[after] = codes >= 0
+        n[common] = self.counts[codes[codes >= 0]]
         with np.errstate(divide="ignore"):
             rest = np.log(1 - m.lexicon[begins]) + spelled
             each = np.log(m.each[begins])
@@ -637,6 +705,16 @@ class Scorer:
         lies = np.searchsorted(after, rare)
         return np.diff(word_at), np.add.reduceat(n > 0, rows, dtype=np.int64), np.add.reduceat(np.log10(n + 1), rows), np.add.reduceat(total, rows), np.searchsorted(rare, word_at), low[spans(starts[lies], sizes[lies])], sizes[lies], np.minimum(ratio[rare], 1e4)
 
+    def rate_ids(self, ids: np.ndarray, stops: np.ndarray, lost: pa.Array) -> tuple[np.ndarray, ...]:
+        """Of texts given as ids. lost: the lowered bytes of those that the ids don't give back."""
+        low, starts, sizes, at = self.coder.spell(ids, stops)
+        for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            raw = np.frombuffer(lost[i].as_py(), np.uint8)
+            own, some, _ = words(raw, np.array([0, len(raw)]))
+            starts[at[i] : at[i + 1]], sizes[at[i] : at[i + 1]] = own + len(low) - PADDING, some
+            low = np.concatenate([low[:-PADDING], raw, low[-PADDING:]])
+        return self.rate(ids, stops, low, starts, sizes, at)
+
 
 _scorers: dict[str, Scorer] = {}
 
@@ -665,13 +743,14 @@ def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", tex
         raw = spark.sparkContext.broadcast(f.read())
     coder = worker_subwords(raw.value)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"), held_out.alias("held_out"), F.pmod(F.xxhash64(docs[id_col], text_or_empty(text_col)), F.lit(1 << 30)).alias("hash"))
-    texts = rows.filter("not held_out").select("text", "hash")
-    counted = checkpoint(word_counts(texts))
+    cut = written(tokenized(rows, raw))
+    texts = cut.filter("hash is not null and not held_out").select("ids", "hash")
+    counted = checkpoint(cut.filter("n is not null").groupBy("word").agg(F.sum("n").alias("n")))
     n_words, distinct, n_train = counted.agg(*(F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in ("if(word <> X'', n, 0)", "if(word <> X'', 1, 0)", "if(word = X'', n, 0)"))).head()
     total, kinds = n_words + n_train, distinct + (1 if n_train else 0)
     single = id_counts(counted, raw, coder.end)
     single[coder.end] = n_train, n_train, 0
-    params, facts = train(texts, n_train, raw, single[:, 0], coder.opens)
+    params, facts = train(texts, n_train, coder.kind, single[:, 0], coder.opens)
     model = spark.sparkContext.broadcast(Model(params, facts, single, n_train, head_words(counted, HEAD_WORDS)))
     key = f"{spark.sparkContext.applicationId}-{id(model)}"
     names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
@@ -683,16 +762,16 @@ def score(docs: DataFrame, held_out, tokenizer: str, id_col: str = "doc_id", tex
         scorer, row = _scorers[key], TaskContext.get().partitionId() << 33
         with quiet_gc():
             for batch in batches:
-                for at, data, offsets in texts_of(batch.column(1), 1 << 20):
-                    n, known, logs, scores, stops, flat, sizes, ratio = scorer.score(data, offsets)
-                    part = batch.slice(at, len(n))
+                for at, ids, offsets in ids_of(batch.column(1), scorer.coder.kind):
+                    part = batch.slice(at, len(offsets) - 1)
+                    n, known, logs, scores, stops, flat, sizes, ratio = scorer.rate_ids(ids, offsets, part.column(3))
                     rare = pa.StructArray.from_arrays([binaries(flat, sizes), pa.array(ratio.astype(np.float32))], ["word", "x"])
                     cols = [pa.array(np.arange(row, row + len(n))), part.column(0), part.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), rare)]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     row += len(n)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,x:float>>"))
+    scored = written(cut.filter("hash is not null").select("id", "ids", "held_out", "low").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,x:float>>"))
     rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", F.col("w.x").cast("double").alias("x"))
     # What the lexicon adds to the log of the rest: the log of one plus its share over the rest's.
     odds = F.log10("n") - F.col("x")

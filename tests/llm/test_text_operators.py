@@ -371,6 +371,45 @@ def test_lm_counts_of_long_words(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(7, 7, total), (4, 4, total), (3, 3, total), (4, 2, total)]
 
 
+def test_lm_cuts_texts_once(spark, docs):
+    """Each text is read and cut into ids once, whatever looks at the ids later."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = docs.select("doc_id", "text")
+    assert lm.score(rows.mapInArrow(count, rows.schema), F.lit(False), subword_vocabulary()).count() == rows.count()
+    assert seen.value == rows.count()
+
+
+def test_lm_words_come_back_from_ids():
+    with open(subword_vocabulary(), "rb") as f:
+        coder = lm.Subwords(f.read())
+    texts = ["", " a  bc\tDEF\n", "\u3000 \u3000 x\u3000y \u00a0", "donaudampfschifffahrtsgesellschaft" * 3, "\x00 \U0001f600\u00e9 \ud7ff'll"]
+    for _, data, offsets in units.texts_of(pa.array(texts)):
+        low = units.lowered(data)
+        starts, sizes, at = units.words(low, offsets)
+        ids, stops, _ = coder.ids(low, starts, sizes, at)
+        got, g_starts, g_sizes, g_at = coder.spell(ids, stops)
+        want = [low[a : a + n].tobytes() for a, n in zip(starts, sizes)]
+        assert [got[a : a + n].tobytes() for a, n in zip(g_starts, g_sizes)] == want and (g_at == at).all()
+        assert sum(map(len, want)) > 100 and len(stops) == len(texts) + 1
+
+
+def test_lm_halves_of_characters(spark):
+    """Words that ids don't give back keep counts of their own."""
+    docs = spark.sql("select * from values (1, 'a b'), (2, null) as t(doc_id, text) union all select 3, cast(X'6120EDA080204220EDA081' as string) union all select 4, cast(X'EDA0802061' as string)")
+    got = lm.score(docs, F.col("doc_id") == 4, subword_vocabulary()).orderBy("doc_id").collect()
+    total, kinds = 4 + 2 + 3, 4 + 1  # a, b and two halves
+    one = lambda c: math.log10((c + 1) / (total + kinds + 1))
+    want = [one(2) + one(2), 0, one(2) + one(1) + one(2) + one(1), one(1) + one(2)]
+    assert [r.base_score for r in got] == pytest.approx([x + one(3) for x in want])
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 3, 9), (1, 1, 9), (5, 5, 9), (3, 3, 9)]
+
+
 def test_lm_rows(docs, no_docs):
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     got = lm.score(docs, held, subword_vocabulary()).collect()
