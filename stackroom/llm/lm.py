@@ -245,20 +245,26 @@ _least = np.where(_gap == 0, 64 << 23, 0).astype(np.float32)
 _DQKV = np.repeat(np.array([1 / math.sqrt(DIM), 1 / _EXP_SCALE, 1], np.float32), DIM)
 
 
-def forward(p: dict, x: np.ndarray, first: np.ndarray | None = None, since: int = 0) -> tuple[np.ndarray, dict]:
+def tables(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the classes: queries, which hold the scale of the exponentials, keys, values; of two positions: what their gap adds."""
+    table = p["embed"] @ p["qkv"]
+    values = np.concatenate([table[:, 2 * DIM :], np.ones((CLASSES, 1), np.float32)], axis=1)  # the one adds up the weights
+    far = (p["far"][np.maximum(_gap, 0)] * _EXP_SCALE + _EXP_SHIFT).astype(np.float32)
+    return table[:, :DIM] * (_EXP_SCALE / np.float32(math.sqrt(DIM))), np.ascontiguousarray(table[:, DIM : 2 * DIM]), values, far
+
+
+def forward(p: dict, x: np.ndarray, first: np.ndarray | None = None, since: int = 0, known: tuple | None = None) -> tuple[np.ndarray, dict]:
     """Log-odds of the experts, and that a word opens, after each of the classes x (n, WINDOW) from position `since` on.
 
-    first: the earliest position of each window that may be attended to.
+    first: the earliest position of each window that may be attended to; known: the parameters' tables.
     """
     n, m = len(x), WINDOW - since
-    table = p["embed"] @ p["qkv"]
-    q_table = table[:, :DIM] * (_EXP_SCALE / np.float32(math.sqrt(DIM)))
-    v_table = np.concatenate([table[:, 2 * DIM :], np.ones((CLASSES, 1), np.float32)], axis=1)  # the one adds up the weights
-    k, v = np.take(np.ascontiguousarray(table[:, DIM : 2 * DIM]), x, axis=0), np.take(v_table, x, axis=0)
+    q_table, k_table, v_table, far = known or tables(p)
+    k, v = np.take(k_table, x, axis=0), np.take(v_table, x, axis=0)
     here = x[:, since:].ravel()
     q = np.take(q_table, here, axis=0).reshape(n, m, DIM)
     s = q @ k.transpose(0, 2, 1)
-    s += (p["far"][np.maximum(_gap, 0)] * _EXP_SCALE + _EXP_SHIFT).astype(np.float32)[since:]
+    s += far[since:]
     low = _least[since:]
     if first is not None and first.any():
         some = np.flatnonzero(first)
@@ -627,6 +633,11 @@ class Model:
         self.head = head  # bytes end to end, sizes, counts
 
 
+def log_one_plus(odds: np.ndarray) -> np.ndarray:
+    """Log of one plus the exponential."""
+    return np.maximum(odds, 0) + np.log(1 + np.exp(-np.abs(odds)))
+
+
 class Scorer:
     """A worker's: ids and counts of the words it knows, and batches of windows."""
 
@@ -653,11 +664,11 @@ class Scorer:
         first = np.where(starts == 0, CONTEXT, 0)
         line = np.concatenate([np.full(CONTEXT + 1, len(facts.of) - 1), ids, np.zeros(step, np.int64)])
         seen, then = (np.lib.stride_tricks.sliding_window_view(c, m) for c, m in ((facts.of[line], WINDOW), (line[CONTEXT + 1 :], step)))
-        log, odds, done = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32), 0
+        log, odds, done, known = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32), 0, tables(self.model.params)
         for a in range(0, len(place), batch):
             some, n = place[a : a + batch], left[a : a + batch]
             x = seen[some]
-            z, _ = forward(self.model.params, x, first[a : a + batch], CONTEXT)
+            z, _ = forward(self.model.params, x, first[a : a + batch], CONTEXT, known)
             before, g = x[:, CONTEXT:].ravel(), weights(z)
             g *= facts.experts(before, then[some].ravel())
             # The windows' own positions follow each other as the ids do.
@@ -686,11 +697,11 @@ class Scorer:
         word_at = at + np.arange(len(at))
         log, odds = self.windows(ids, stops)
         first, is_end = log[opened].astype(np.float64), begins == self.coder.end
-        further = log - np.logaddexp(0, odds)
+        further = log - log_one_plus(odds)
         further[opened] = 0
         after = np.flatnonzero(~is_end)
         spelled = np.add.reduceat(further, opened).astype(np.float64)
-        spelled[after] -= np.logaddexp(0, -odds[opened[after + 1]])  # the word ends: another one opens, or the text does
+        spelled[after] -= log_one_plus(-odds[opened[after + 1]])  # the word ends: another one opens, or the text does
         n = np.where(is_end, m.n_train, 0).astype(np.float64)
         common = np.zeros(len(opened), bool)
         common[after] = codes >= 0
@@ -708,7 +719,7 @@ class Scorer:
     def rate_ids(self, ids: np.ndarray, stops: np.ndarray, lost: pa.Array) -> tuple[np.ndarray, ...]:
         """Of texts given as ids. lost: the lowered bytes of those that the ids don't give back."""
         low, starts, sizes, at = self.coder.spell(ids, stops)
-        for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        for i in [i for i, x in enumerate(lost) if x.is_valid] if lost.null_count < len(lost) else ():
             raw = np.frombuffer(lost[i].as_py(), np.uint8)
             own, some, _ = words(raw, np.array([0, len(raw)]))
             starts[at[i] : at[i + 1]], sizes[at[i] : at[i + 1]] = own + len(low) - PADDING, some
