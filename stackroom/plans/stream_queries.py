@@ -52,9 +52,10 @@ def stm03_timer_stream(spark, d) -> DataFrame:
     """Stale items by timers of a stateful stream; two last files hold nothing but the clock's time."""
     late, path = "40 days", scratch(spark, "timers")
     log = items(spark, d).select("id", F.col("id").alias("seq"), F.col("updated_at").alias("ts"), "status", "stage", "error_group", F.col("attempt").cast("long").alias("attempt"))
-    log.repartitionByRange(2, "ts").write.parquet(f"{path}/log/1")
+    files = max(2, spark.sparkContext.defaultParallelism)  # of one batch, so that every core writes and reads some
+    log.repartitionByRange(files, "ts").write.parquet(f"{path}/log/1")
     clock = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (now() + F.expr(f"INTERVAL {late}")).alias("ts") for f in log.schema))
     for i in (2, 3):
         clock.coalesce(1).write.parquet(f"{path}/log/{i}")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/log/*")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/log/*")
     return timers.current(timers.run_watched(stream, path, late))

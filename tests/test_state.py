@@ -156,3 +156,93 @@ def test_new_items_make_few_calls_on_state():
     row = {"id": 1, "seq": 1, "status": "running", "error_group": None, "attempt": 0, "limit_ms": 5, "at_ms": 7}
     assert [r.status for r in processor.handleInputRows((1,), iter([row]), None)] == ["running"]
     assert calls == ["get", "update", "registerTimer"]
+
+
+def test_items_of_a_cell_share_calls_on_state():
+    """Neighbouring ids have one value of state and one timer, at the earliest moment among them."""
+    calls, kept = [], {}
+
+    class Handle:
+        def get(self):
+            calls.append("get")
+            return kept.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            kept["value"] = value
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def row(i, seq, status, at):
+        return {"id": i, "seq": seq, "status": status, "error_group": None, "attempt": None, "limit_ms": 5, "at_ms": at}
+
+    processor = timers.ItemTimers(1000)
+    processor.handle = processor.item = Handle()
+    rows = [row(i, 1, "running", 100 - i) for i in range(50)] + [row(60, 1, "done", 10)]
+    assert sorted(r.id for r in processor.handleInputRows((0,), iter(rows), None)) == [*range(50), 60]
+    assert calls == ["get", "update", ("register", 57)]
+    calls.clear()
+    assert [r.status for r in processor.handleInputRows((0,), iter([row(49, 2, "pending", 60), row(48, 1, "done", 60)]), None)] == ["pending"]
+    assert calls == ["get", "update", ("delete", 57), ("register", 58)]
+    calls.clear()
+    got = [(r.id, r.status, r.error_group, r.attempt, r.due) for r in processor.handleExpiredTimer((0,), Clock(60), None)]
+    assert got == [(i, "failed", "stale", 1, True) for i in (46, 47, 48)] and calls == ["get", "update", ("register", 61)]
+    calls.clear()
+    assert len(list(processor.handleExpiredTimer((0,), Clock(1010), None))) == 46 and calls == ["get", "update"]
+    assert processor._kept().keys() == set(range(50))  # the finished item's state is cleared
+
+
+def test_timers_of_many_items_as_a_plain_loop_gives_them(spark, tmp_path):
+    r, s = random.Random(5), dt.timedelta(seconds=1)
+    log = "id long, seq long, ts timestamp_ntz, status string, stage string, error_group string, attempt long"
+    ids = [0, 1, 2, 511, 512, 513, -1, -512, -513, (1 << 53) + 1, (1 << 53) + 2, (1 << 63) - 1, -(1 << 63)]
+    statuses = ["pending", "dispatched", "running", "running", "failed", "done", "canceled", None]
+    limits = {"extracted": 1200, "indexed": 900, None: 1800}
+    state, seen = {}, set()
+    for n in range(4):
+        rows = []
+        for place in r.sample(range(60), 25):  # some come later than others of the next batch
+            status = r.choice(statuses)
+            rows.append((r.choice(ids), (1 << 53) + n * 20 + place, T0 + (n * 3600 + r.randint(1, 3600)) * s, status, r.choice(list(limits)), r.choice(["llm_error", None]), r.choice([None, 3, (1 << 53) + 1])))
+        rows += [rows[0], (None, None, T0 + (n * 3600 + 3600) * s, None, None, None, None)]
+        spark.createDataFrame(rows, log).coalesce(1).write.parquet(f"{tmp_path}/log/{n}")
+        got = timers.run_watched(spark.readStream.schema(log).parquet(f"{tmp_path}/log/*"), str(tmp_path), "0 seconds", 2).collect()
+        for i, q, ts, status, stage, group, attempt in sorted((x for x in rows if x[0] is not None), key=lambda x: x[1]):
+            old = state.get(i, (-1, None, None, 0, None))
+            if q <= old[0]:
+                continue
+            group = group if status == "failed" else None
+            attempt = attempt if attempt is not None else old[3] + (status == "failed")
+            wait = {"dispatched": 14400, "running": limits[stage]}.get(status)
+            end = ts + wait * s + dt.timedelta(milliseconds=1) if wait else ts + 7200 * s if status in ("done", "canceled") else None
+            state[i] = (q, status, group, attempt, end)
+            seen.add((i, q, status, group, attempt, False))
+        clock = T0 + (n * 3600 + 3600) * s
+        for i, (q, status, _, attempt, end) in list(state.items()):
+            if end and end <= clock and status in ("dispatched", "running"):
+                state[i] = (q, "failed", "stale", attempt + 1, None)
+                seen.add((i, q, "failed", "stale", attempt + 1, True))
+            elif end and end <= clock:
+                del state[i]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, seen))
+    assert any(x[-1] for x in seen)
+
+
+def test_odd_times_of_items(spark, tmp_path):
+    """No time: no timer. Times that pandas doesn't know are taken like others."""
+    log = "id long, seq long, ts timestamp_ntz, status string, stage string, error_group string, attempt long"
+    rows = [(1, 1, T0, "running", None, None, None), (2, 1, None, "running", None, None, None), (3, 1, dt.datetime(3000, 1, 1), "running", None, None, None)]
+    spark.createDataFrame(rows, log).coalesce(1).write.parquet(f"{tmp_path}/log/1")
+    got = timers.current(timers.run_watched(spark.readStream.schema(log).parquet(f"{tmp_path}/log/*"), str(tmp_path), "0 seconds")).collect()
+    assert {(r.id, r.status, r.attempt) for r in got} == {(1, "failed", 1), (2, "running", 0), (3, "running", 0)}
